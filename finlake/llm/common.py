@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Rows handed to a Python worker at once, so that a batch of long texts stays small.
@@ -50,6 +51,16 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rank_by(df: DataFrame, order: Column) -> DataFrame:
+    """df with _rank, the place of each row from 0: rows are dealt by ranges of
+    ``order``, counted a range, and numbered within it. No task holds all rows."""
+    ranged = stash(df.repartitionByRange(partitions(df.sparkSession), order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return stash(ranged.join(offsets, "_part").withColumn("_rank", inside + F.col("_before")).drop("_part", "_before"))
+
+
 def purge(spark: SparkSession) -> None:
     """Delete what stash() has left in the shared folder, once results are written."""
     jvm = spark.sparkContext._jvm
