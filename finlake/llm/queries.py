@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, mixing, quality, simhash_dedup, substring_dedup, token_counts, toxicity, vector_search
+from . import decontamination, html_text, mixing, pii, quality, simhash_dedup, substring_dedup, token_counts, toxicity, vector_search
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_quality": quality.query,
     "op3_html_text": html_text.query,
+    "op4_pii": pii.query,
     "op5_vector_search": vector_search.query,
     "op6_decontamination": decontamination.query,
     "op7_simhash_dedup": simhash_dedup.query,
