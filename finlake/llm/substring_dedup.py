@@ -139,28 +139,34 @@ def _deal(pen, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, blocks: int
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], _NAMES)
 
 
-def _found(docs: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """A row a document with its positions."""
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    ids, cut = np.unique(docs, return_index=True)
-    cut = np.append(cut, len(docs))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([at[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["_n", "_at"])
+def _gather(pen, docs: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Entries by buckets of documents, each in order."""
+    bucket = (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((at, docs, bucket))
+    docs, at, cut = docs[order], at[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            yield (k, *_write(pen, docs[cut[k] : cut[k + 1]], at[cut[k] : cut[k + 1]]))
 
 
 def _compare(rows: DataFrame, later: bool) -> DataFrame:
-    """(_n, _at): the entries whose hash another batch sent too, and those settled
-    within a batch. With later, not the first of each hash by document and position."""
+    """(_n, _at), a row a document: the entries whose hash another batch sent too, and
+    those settled within a batch. With later, not the first of each hash by document
+    and position. Entries travel by buckets of documents, not a row a document."""
+    buckets = partitions(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        _, pen = _pen()
+        own, pen = _pen()
+        docs, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b in batches:
             for kind, block, d, x, a in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if kind == 0:
                     held.setdefault(block, []).append((d, x, a))
                 else:
-                    yield _found(*_load(pen, d, a))
+                    where = _load(pen, d, a)
+                    docs.append(where[0])
+                    at.append(where[1])
         for k in sorted(held):
             parts = held.pop(k)
             h = np.frombuffer(b"".join(p[1] for p in parts), np.uint64)
@@ -170,10 +176,29 @@ def _compare(rows: DataFrame, later: bool) -> DataFrame:
             h, d, a = h[order], d[order], a[order]
             same = np.concatenate([[False], h[1:] == h[:-1]])
             keep = same if later else same | np.append(same[1:], False)
-            if keep.any():
-                yield _found(d[keep], a[keep])
+            docs.append(d[keep])
+            at.append(a[keep])
+        out = list(_gather(own, np.concatenate(docs), np.concatenate(at), buckets))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "docs", "at"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, pen = _pen()
+        held: dict[int, list] = {}
+        for b in batches:
+            for k, d, a in zip(*(b.column(k).to_pylist() for k in range(3))):
+                held.setdefault(k, []).append((d, a))
+        for k in sorted(held):
+            where = [_load(pen, *x) for x in held.pop(k)]
+            d, a = (np.concatenate([w[i] for w in where]) for i in (0, 1))
+            order = np.lexsort((a, d))
+            d, a = d[order], a[order]
+            ids, cut = np.unique(d, return_index=True)
+            cut = np.append(cut, len(d))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a[x:y].astype("<i4").tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["_n", "_at"])
 
-    return rows.repartition(partitions(rows.sparkSession), "list").mapInArrow(run, "_n bigint, _at binary").groupBy("_n").agg(F.collect_list("_at").alias("_at"))
+    met = rows.repartition(buckets, "list").mapInArrow(meet, "bucket bigint, docs binary, at binary")
+    return met.repartition(buckets, "bucket").mapInArrow(each, "_n bigint, _at binary")
 
 
 def _spread(rows: DataFrame, entries, blocks: int, later: bool) -> DataFrame:
@@ -196,14 +221,14 @@ def _anchors_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (words.hashes(at, ANCHOR) if len(at) else np.zeros(0, np.uint64)), at
 
 
-def _joined(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<i4").astype(np.int64)
+def _starts(at: bytes | None) -> np.ndarray:
+    return np.frombuffer(at or b"", "<i4").astype(np.int64)
 
 
-def _windows_of(zipped: bytes, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _windows_of(zipped: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = Words(zstandard.ZstdDecompressor().decompress(zipped))
-    at = _near(_joined(parts), words.n)
-    return (words.hashes(at, WINDOW) if len(at) else np.zeros(0, np.uint64)), at
+    near = _near(_starts(at), words.n)
+    return (words.hashes(near, WINDOW) if len(near) else np.zeros(0, np.uint64)), near
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -222,15 +247,15 @@ def _settled(rows: DataFrame) -> DataFrame:
         pen, unpen = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for n, z, parts in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for n, z, at in zip(*(b.column(k).to_pylist() for k in range(3))):
                 words = unpen.decompress(z).split()
-                starts = np.unique(_joined(parts))
+                starts = np.unique(_starts(at))
                 gone = _covered(starts, len(words), WINDOW) if len(starts) else np.zeros(len(words), bool)
                 kept = b" ".join([w for w, x in zip(words, gone.tolist()) if not x] if len(starts) else words)
                 out.append((n, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), pen.compress(kept)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["_n", "n_words", "n_removed", "kept_sha256", "_kept"])
 
-    packed = rows.mapInArrow(pack, "_n bigint, _zip binary").repartition(partitions(spark), "_n")
+    packed = rows.mapInArrow(pack, "_n bigint, _zip binary").where("_n is not null").repartition(partitions(spark), "_n")  # the filter that an inner join adds: so both joins read one shuffle
     repeated = _compare(_spread(rows, _anchors_of, blocks, False), False)
     near = packed.join(repeated.hint("shuffle_hash"), "_n").select("_n", "_zip", "_at")
     later = _compare(_spread(near, _windows_of, blocks, True), True)
