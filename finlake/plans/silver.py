@@ -7,6 +7,7 @@ serves batches and micro-batches.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -42,7 +43,8 @@ class Dimension:
 class SilverTable:
     dataset: str
     dimensions: tuple[Dimension, ...]
-    columns: tuple[str | tuple[str, Column], ...]
+    #: made when a plan is built, as expressions need a session
+    columns: Callable[[], tuple[str | tuple[str, Column], ...]]
 
     @property
     def spec(self):
@@ -57,24 +59,32 @@ class SilverTable:
             side = side.select(c(d.key).alias("_join"), *[c(a).alias(b) for a, b in d.columns.items()])
             rows = rows.join(side, c(d.at) == c("_join"), "left").drop("_join")
         rows = rows.withColumn("_today", F.lit(as_of).cast("date") if as_of else F.current_date())
-        return rows.select(*[c(x) if isinstance(x, str) else x[1].alias(x[0]) for x in self.columns], F.current_timestamp().alias("processed_at"))
+        return rows.select(*[c(x) if isinstance(x, str) else x[1].alias(x[0]) for x in self.columns()], F.current_timestamp().alias("processed_at"))
 
 
-_CUSTOMER = token(c("customer_id"))
-_WIRE = c("transaction_type").isin(*domain.WIRES)
-_CLAIM = c("operation_type").isin(*domain.CLAIMS)
-_LINEAGE = (SOURCE_FILE, INGESTED)
+def _customer() -> Column:
+    return token(c("customer_id"))
+
+
+def _wire() -> Column:
+    return c("transaction_type").isin(*domain.WIRES)
+
 
+def _claim() -> Column:
+    return c("operation_type").isin(*domain.CLAIMS)
+
+
+_LINEAGE = (SOURCE_FILE, INGESTED)
 TABLES = {
     t.spec.table: t
     for t in (
-        SilverTable("customers", (), (
-            "customer_id", ("customer_token", _CUSTOMER), "country_code", "entity_type", "segment", "kyc_level", "onboarding_date", "region", "is_active",
+        SilverTable("customers", (), lambda: (
+            "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "segment", "kyc_level", "onboarding_date", "region", "is_active",
             ("anciennete_mois", F.floor(F.months_between(c("_today"), c("onboarding_date"))).cast("int")),
             ("kyc_limite", c("kyc_level") == "BASIC"),
         )),
-        SilverTable("accounts", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), (
-            "account_id", "customer_id", ("customer_token", _CUSTOMER), "country_code", "entity_type", "account_type",
+        SilverTable("accounts", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), lambda: (
+            "account_id", "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "account_type",
             ("account_number_masked", mask_tail(c("account_number"), 4)), ("iban_masked", mask_tail(c("iban"), 4, 2)),
             "currency", "balance", _eur("balance"), _eur("credit_limit"), "opened_date", "status", "customer_segment", "customer_kyc", "days_past_due",
             ("est_douteux", c("days_past_due") > domain.NPL_DAYS), ("est_pret", c("account_type") == "LOAN"),
@@ -85,31 +95,31 @@ TABLES = {
             Dimension("accounts", "account_id", "beneficiary_account", {"country_code": "beneficiary_country"}),
             Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment"}),
             Dimension("branches", "branch_id", "branch_id", {"city": "branch_city", "branch_type": "branch_type"}),
-        ), (
-            "transaction_id", "timestamp", ("transaction_date", F.to_date("timestamp")), "account_id", "customer_id", ("customer_token", _CUSTOMER), "customer_segment", "account_type",
+        ), lambda: (
+            "transaction_id", "timestamp", ("transaction_date", F.to_date("timestamp")), "account_id", "customer_id", ("customer_token", _customer()), "customer_segment", "account_type",
             "beneficiary_account", "beneficiary_country", "branch_id", "branch_city", "branch_type", "country_code", "entity_type", "transaction_type", "channel", "transaction_status",
             "currency", "amount", _eur("amount"), _eur("fee_amount"),
             ("est_aboutie", c("transaction_status") == "SUCCESS"),
-            ("depasse_seuil_aml", _WIRE & (c("amount") > domain.lookup(domain.AML_THRESHOLD, c("currency")))),
+            ("depasse_seuil_aml", _wire() & (c("amount") > domain.lookup(domain.AML_THRESHOLD, c("currency")))),
             ("est_transfrontalier", c("beneficiary_country").isNotNull() & (c("beneficiary_country") != c("country_code"))),
             ("frais_aberrants", (c("amount") > 0) & (F.try_divide(c("fee_amount"), c("amount")) > domain.MAX_FEE_RATIO)),
             ("beneficiaire_hors_groupe", c("beneficiary_country").isNull()), *_LINEAGE,
         )),
-        SilverTable("insurance_ops", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), (
-            "operation_id", "timestamp", ("operation_date", F.to_date("timestamp")), ("operation_month", F.trunc("timestamp", "month")), "customer_id", ("customer_token", _CUSTOMER),
+        SilverTable("insurance_ops", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), lambda: (
+            "operation_id", "timestamp", ("operation_date", F.to_date("timestamp")), ("operation_month", F.trunc("timestamp", "month")), "customer_id", ("customer_token", _customer()),
             "customer_segment", "customer_kyc", "account_id", "country_code", "entity_type", "operation_type", "product_line", "currency", "amount", _eur("amount"), "claim_status", "processing_days",
-            ("est_sinistre", _CLAIM), ("est_prime", c("operation_type").isin(*domain.PREMIUMS)), ("est_sinistre_regle", c("operation_type") == "CLAIM_PAYMENT"),
-            ("delai_manquant", _CLAIM & c("processing_days").isNull()), *_LINEAGE,
+            ("est_sinistre", _claim()), ("est_prime", c("operation_type").isin(*domain.PREMIUMS)), ("est_sinistre_regle", c("operation_type") == "CLAIM_PAYMENT"),
+            ("delai_manquant", _claim() & c("processing_days").isNull()), *_LINEAGE,
         )),
-        SilverTable("mobile_money", (Dimension("customers", "customer_id", "sender_id", {"country_code": "sender_home_country", "segment": "sender_segment"}),), (
+        SilverTable("mobile_money", (Dimension("customers", "customer_id", "sender_id", {"country_code": "sender_home_country", "segment": "sender_segment"}),), lambda: (
             "payment_id", "timestamp", ("payment_date", F.to_date("timestamp")), ("payment_hour", F.hour("timestamp")), "sender_id", ("sender_token", token(c("sender_id"))), "receiver_id",
             ("receiver_token", token(c("receiver_id"))), "sender_segment", "sender_country", "receiver_country", "country_code", "entity_type", "payment_type", "operator", "status", "currency", "amount",
             _eur("amount"), _eur("fee_amount"), ("est_aboutie", c("status") == "SUCCESS"), ("est_transfrontalier", c("sender_country") != c("receiver_country")),
             ("corridor", F.concat_ws("-", "sender_country", "receiver_country")),
             ("origine_inhabituelle", c("sender_home_country").isNotNull() & (c("sender_home_country") != c("sender_country"))), *_LINEAGE,
         )),
-        SilverTable("loan_repayments", (Dimension("accounts", "account_id", "loan_account_id", {"balance": "encours", "currency": "account_currency"}),), (
-            "repayment_id", "timestamp", ("repayment_date", F.to_date("timestamp")), "loan_account_id", "customer_id", ("customer_token", _CUSTOMER), "country_code", "entity_type", "loan_type", "currency",
+        SilverTable("loan_repayments", (Dimension("accounts", "account_id", "loan_account_id", {"balance": "encours", "currency": "account_currency"}),), lambda: (
+            "repayment_id", "timestamp", ("repayment_date", F.to_date("timestamp")), "loan_account_id", "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "loan_type", "currency",
             "amount_due", "amount_paid", "interest_amount", _eur("amount_due"), _eur("amount_paid"), _eur("interest_amount"), _eur("encours", "account_currency"), "due_date", "payment_date",
             "days_overdue", "repayment_status", ("est_douteux", c("days_overdue") > domain.NPL_DAYS), ("echeance_soldee", c("amount_paid") >= c("amount_due")),
             ("surpaiement", c("amount_paid") > c("amount_due") * domain.OVERPAID), *_LINEAGE,
