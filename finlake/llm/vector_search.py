@@ -22,7 +22,7 @@ from .common import rank_by, read, stash
 
 K, EVERY, SCALE = 5, 50, 256
 #: Bits a component's cell drops, and the rows of a block of queries and of cells.
-CELL_BITS, QUERY_BLOCK, CELL_BLOCK = 4, 1024, 8192
+CELL_BITS, QUERY_BLOCK, CELL_BLOCK = 2, 1024, 8192
 
 
 def integers(embedding: Column) -> Column:
