@@ -104,13 +104,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by one newline; empty if there are none."""
     found = lines(page or "")
-    if any(ok and held for _, ok, held in found):  # a page that marks its article
+    marked = any(ok and held for _, ok, held in found)
+    if marked:  # what the page marks as its article is the text: around it, lengths are 0
         found = [(t, ok and held, held) for t, ok, held in found]
     size = [len(t) if ok else 0 for t, ok, _ in found]
     if not any(size):
         return ""
     total = [sum(size[max(0, k - WINDOW + 1) : k + WINDOW]) for k in range(len(size))]
-    surge = min(SURGE, max(total))
+    surge = 1 if marked else min(SURGE, max(total))
     first = next(k for k in range(len(size)) if size[k] and total[k] >= surge)
     last = next(k for k in range(len(size) - 1, -1, -1) if size[k] and total[k] >= surge)
     return "\n".join(t for (t, _, _), n in zip(found[first : last + 1], size[first : last + 1]) if n)
