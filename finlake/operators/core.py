@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +61,14 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.join(parent.select(F.col(parent_key).alias("_parent")).distinct(), F.col(child_key) == F.col("_parent"), "left_anti")
 
 
+def missing(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys known lacks; nulls match nulls."""
+    probe = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    return rows.join(probe, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left_anti")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], insert_only: bool = False) -> DataFrame:
     """target merged with source: null-safe on all keys; columns that only one side
     has become null on the other. source must hold a key once."""
     kept, new = (source, target) if not insert_only else (target, source)
-    probe = kept.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    return kept.unionByName(new.join(probe, cond, "left_anti"), allowMissingColumns=True)
+    return kept.unionByName(missing(new, kept, keys), allowMissingColumns=True)

@@ -1,10 +1,12 @@
 """Versioned Parquet tables with atomic commits, keyed merge and a manifest.
 
-A table is root/<zone>/<table>/v=<n>/ plus a commit log root/<zone>/<table>/_log/
-with one JSON line file a version; the highest version is current. Files are
-written first and the log entry last, by a rename, so a reader sees all or none.
-All file work goes through Hadoop's FileSystem, so root may be any store that
-Spark reads.
+A commit writes one folder root/<zone>/<table>/finlake_commit=<n>/ with the rows it
+adds or rewrites, then a log entry root/<zone>/<table>/_log/<n>.json that names the
+partition folders of the version, of this commit and earlier ones. The entry comes
+last, by a rename, so a reader sees all of a commit or none. An append or an
+insert-only merge writes its new rows alone; an upsert rewrites the partitions that
+its source touches. All file work goes through Hadoop's FileSystem, so root may be
+any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -13,20 +15,29 @@ import json
 import threading
 import time
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from finlake.operators.core import upsert
+from finlake.operators.core import missing, upsert
 
 _LOCKS: dict[str, threading.RLock] = {}
 _GUARD = threading.Lock()
+_COMMIT, _NULL = "finlake_commit", "__HIVE_DEFAULT_PARTITION__"
 
 
 class DuplicateKeys(ValueError):
     """The source of a merge holds a key more than once."""
 
 
+def _values(part: dict) -> dict[str, str | None]:
+    """Partition values of a folder, as text."""
+    pairs = [x.split("=", 1) for x in part["path"].split("/")[1:]]
+    return {unquote(k): None if v == _NULL else unquote(v) for k, v in pairs}
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, keep_versions: int = 3):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep_versions
@@ -51,143 +62,199 @@ class TableStore:
             return _LOCKS.setdefault(self.path(zone, table), threading.RLock())
 
     # log
+    def _entries(self, zone: str, table: str, last: int | None = None) -> list[dict]:
+        names = sorted(i.getPath().toString() for i in self._list(f"{self.path(zone, table)}/_log") if i.getPath().getName().endswith(".json"))
+        if not names:
+            return []
+        lines = self.spark.read.text(names[-last:] if last else names).collect()  # one line a version
+        return sorted((json.loads(r.value) for r in lines), key=lambda c: c["version"])
+
     def history(self, zone: str, table: str) -> list[dict]:
-        """Commits, oldest first: version, committed_at, operation, schema, rows, files, bytes, added."""
-        out = []
-        for item in self._list(f"{self.path(zone, table)}/_log"):
-            name = item.getPath().getName()
-            if name.endswith(".json"):
-                text = "".join(r.value for r in self.spark.read.text(str(item.getPath())).collect())
-                out.append(json.loads(text))
-        return sorted(out, key=lambda c: c["version"])
+        """Commits, oldest first: version, committed_at, operation, rows, added, files, bytes, schema, parts."""
+        return self._entries(zone, table)
+
+    def current(self, zone: str, table: str) -> dict | None:
+        found = self._entries(zone, table, 1)
+        return found[-1] if found else None
 
     def exists(self, zone: str, table: str) -> bool:
-        return bool(self.history(zone, table))
+        return any(i.getPath().getName().endswith(".json") for i in self._list(f"{self.path(zone, table)}/_log"))
 
     def tables(self, zone: str) -> list[str]:
         return sorted(i.getPath().getName() for i in self._list(f"{self.root}/{zone}") if i.isDirectory())
 
+    def _frame(self, zone: str, table: str, entry: dict, parts: list[dict]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        top = self.path(zone, table)
+        reader = self.spark.read.schema(StructType([*schema.fields, StructField(_COMMIT, StringType())])).option("basePath", top)
+        return reader.parquet(*[f"{top}/{p['path']}" for p in parts]).select(*[F.col(f"`{n}`") for n in schema.names])
+
     def read(self, zone: str, table: str) -> DataFrame:
-        """The current version; its schema comes from the log, not from the files."""
-        now = self.history(zone, table)
-        if not now:
+        """The current version; schema and folders come from the log."""
+        now = self.current(zone, table)
+        if now is None:
             raise LookupError(f"no table {zone}.{table}")
-        from pyspark.sql.types import StructType
-
-        schema = StructType.fromJson(json.loads(now[-1]["schema"]))
-        where = f"{self.path(zone, table)}/v={now[-1]['version']}"
-        return self.spark.read.schema(schema).parquet(where) if now[-1]["files"] else self.spark.createDataFrame([], schema)
+        return self._frame(zone, table, now, now["parts"])
 
     def files(self, zone: str, table: str) -> list[tuple[str, int]]:
         """(path, bytes) of the current version's data files, from listing alone."""
-        now, out, todo = self.history(zone, table), [], []
-        if now:
-            todo = [f"{self.path(zone, table)}/v={now[-1]['version']}"]
-        while todo:
-            for item in self._list(todo.pop()):
-                if item.isDirectory():
-                    todo.append(str(item.getPath()))
-                elif item.getPath().getName().startswith("part-"):
-                    out.append((str(item.getPath()), item.getLen()))
-        return out
+        now = self.current(zone, table)
+        return [f for p in (now["parts"] if now else []) for f in self._data(f"{self.path(zone, table)}/{p['path']}")]
+
+    def _data(self, folder: str) -> list[tuple[str, int]]:
+        return [(i.getPath().toString(), i.getLen()) for i in self._list(folder) if i.getPath().getName().startswith("part-")]
 
     def partitions(self, zone: str, table: str) -> DataFrame:
-        """partition, file_count, record_count of the current version."""
-        rows = self.read(zone, table).select(F.regexp_extract("_metadata.file_path", r"/v=\d+/(.*)/[^/]*$", 1).alias("partition"), F.col("_metadata.file_path").alias("f"))
-        return rows.groupBy("partition").agg(F.count_distinct("f").alias("file_count"), F.count("*").alias("record_count"))
+        """partition, file_count, record_count of the current version, from the log alone."""
+        now, out = self.current(zone, table), {}
+        for p in now["parts"]:
+            name = "/".join(p["path"].split("/")[1:])
+            files, rows = out.get(name, (0, 0))
+            out[name] = (files + p["files"], rows + p["rows"])
+        return self.spark.createDataFrame([(k, *v) for k, v in out.items()], "partition string, file_count bigint, record_count bigint")
 
     # commits
-    def _commit(self, zone: str, table: str, df: DataFrame, by: Iterable[str], operation: str, before: int = 0) -> dict:
-        log = self.history(zone, table)
-        version = log[-1]["version"] + 1 if log else 1
-        where, by = f"{self.path(zone, table)}/v={version}", [c for c in by if c in df.columns]
-        out = df.repartition(*by) if by else df  # one writer a partition value
-        writer = out.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(where)
+    def _commit(self, zone: str, table: str, df: DataFrame | None, by: Iterable[str], operation: str, kept: list[dict], schema: StructType | None = None) -> dict:
+        """A version of the kept folders and of df's rows."""
+        now = self.current(zone, table)
+        version, top = (now["version"] + 1 if now else 1), self.path(zone, table)
+        schema = schema or df.schema
+        by, new = [c for c in by if c in schema.names], []
+        if df is not None:
+            name = f"{_COMMIT}={version:010d}"
+            writer = (df.repartition(*by) if by else df).write.mode("overwrite").option("compression", "zstd")  # one writer a partition value
+            (writer.partitionBy(*by) if by else writer).parquet(f"{top}/{name}")
+            todo = [name]
+            while todo:
+                folder = todo.pop()
+                items = self._list(f"{top}/{folder}")
+                todo += [f"{folder}/{i.getPath().getName()}" for i in items if i.isDirectory()]
+                files = self._data(f"{top}/{folder}")
+                if files:
+                    new.append({"path": folder, "files": len(files), "bytes": sum(b for _, b in files), "rows": 0})
+            if new:
+                place = F.regexp_extract("_metadata.file_path", rf"({_COMMIT}=.*)/[^/]*$", 1).alias("p")
+                found = self.spark.read.option("basePath", top).parquet(*[f"{top}/{p['path']}" for p in new]).groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
+                count = {k: r.n for r in found for k in (r.p, unquote(r.p))}
+                for p in new:
+                    p["rows"] = count.get(p["path"], 0)
+                if sum(p["rows"] for p in new) != sum(r.n for r in found):
+                    raise RuntimeError(f"{top}/{name}: rows of some folder were not counted")
+                new = [p for p in new if p["rows"]]
+        parts = [*kept, *new]
+        total = {k: sum(p[k] for p in parts) for k in ("rows", "files", "bytes")}
+        entry = {"version": version, "committed_at": time.time(), "operation": operation, "schema": schema.json(), "partitioned_by": by, "added": total["rows"] - (now["rows"] if now else 0), "parts": parts} | total
         jvm, fs = self._fs()
-        rows = self.spark.read.schema(df.schema).parquet(where).count() if not df.isEmpty() else 0
-        entry = {"version": version, "committed_at": time.time(), "operation": operation, "schema": df.schema.json(), "rows": rows, "added": rows - before, "partitioned_by": by, "files": 0, "bytes": 0}
-        todo = [where]
-        while todo:
-            for item in self._list(todo.pop()):
-                if item.isDirectory():
-                    todo.append(str(item.getPath()))
-                elif item.getPath().getName().startswith("part-"):
-                    entry["files"] += 1
-                    entry["bytes"] += item.getLen()
         P = jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(P(f"{self.path(zone, table)}/_log"))
-        draft, final = P(f"{self.path(zone, table)}/_log/.{version}.tmp"), P(f"{self.path(zone, table)}/_log/{version:010d}.json")
+        fs.mkdirs(P(f"{top}/_log"))
+        draft, final = P(f"{top}/_log/.{version}.tmp"), P(f"{top}/_log/{version:010d}.json")
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
-        if not fs.rename(draft, final):
+        if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"another writer committed version {version} of {zone}.{table}")
-        for old in log[: -self.keep] if len(log) >= self.keep else []:
-            fs.delete(P(f"{self.path(zone, table)}/v={old['version']}"), True)
+        self._sweep(zone, table)
         return entry
 
+    def _sweep(self, zone: str, table: str) -> None:
+        """Delete folders that none of the last versions names."""
+        jvm, fs = self._fs()
+        used = {p["path"].split("/")[0] for e in self._entries(zone, table, self.keep) for p in e["parts"]}
+        for item in self._list(self.path(zone, table)):
+            name = item.getPath().getName()
+            if name.startswith(f"{_COMMIT}=") and name not in used:
+                fs.delete(item.getPath(), True)
+
     def create(self, zone: str, table: str, ddl: str, by: Iterable[str] = ()) -> None:
         """An empty table, if it does not exist; new columns are added to one that does."""
         with self.lock(zone, table):
             empty = self.spark.createDataFrame([], ddl)
             if not self.exists(zone, table):
-                self._commit(zone, table, empty, by, "create")
+                self._commit(zone, table, None, by, "create", [], empty.schema)
             else:
                 self.evolve(zone, table, empty)
 
-    def evolve(self, zone: str, table: str, like: DataFrame) -> list[str]:
-        """Add columns that ``like`` has more, by names without case. Nothing is dropped or retyped."""
-        now = self.read(zone, table)
-        have = {c.lower() for c in now.columns}
+    def _widened(self, entry: dict, like: DataFrame) -> tuple[StructType, list[str]]:
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        have = {n.lower() for n in schema.names}
         new = [f for f in like.schema if f.name.lower() not in have]
-        if new:
-            wide = now.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
-            self._commit(zone, table, wide, self.history(zone, table)[-1]["partitioned_by"], "evolve", now.count())
-        return [f.name for f in new]
+        return StructType([*schema.fields, *[StructField(f.name, f.dataType) for f in new]]), [f.name for f in new]
+
+    def evolve(self, zone: str, table: str, like: DataFrame) -> list[str]:
+        """Add columns that ``like`` has more, by names without case; a change of the log
+        alone, as old files read them as null. Nothing is dropped or retyped."""
+        with self.lock(zone, table):
+            now = self.current(zone, table)
+            schema, new = self._widened(now, like)
+            if new:
+                self._commit(zone, table, None, now["partitioned_by"], "evolve", now["parts"], schema)
+            return new
+
+    @staticmethod
+    def _shaped(df: DataFrame, schema: StructType) -> DataFrame:
+        """df with the schema's columns in order, absent ones null."""
+        have = {n.lower(): n for n in df.columns}
+        return df.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
     def append(self, zone: str, table: str, df: DataFrame, by: Iterable[str] = ()) -> dict:
+        """Add rows; nothing that is there is read or rewritten."""
         with self.lock(zone, table):
-            if not self.exists(zone, table):
-                return self._commit(zone, table, df, by, "append")
-            now = self.read(zone, table)
-            return self._commit(zone, table, now.unionByName(df, allowMissingColumns=True), self.history(zone, table)[-1]["partitioned_by"] or by, "append", self.history(zone, table)[-1]["rows"])
+            now = self.current(zone, table)
+            if now is None:
+                return self._commit(zone, table, df, by, "append", [])
+            schema, _ = self._widened(now, df)
+            return self._commit(zone, table, self._shaped(df, schema), now["partitioned_by"], "append", now["parts"], schema)
 
     def overwrite(self, zone: str, table: str, df: DataFrame, by: Iterable[str] = ()) -> dict:
         with self.lock(zone, table):
-            return self._commit(zone, table, df, by, "overwrite")
+            return self._commit(zone, table, df, by, "overwrite", [])
 
     def merge(self, zone: str, table: str, source: DataFrame, keys: list[str], by: Iterable[str] = (), mode: str = "upsert") -> dict:
         """insert_only: rows of new keys; upsert: also replace rows of known keys;
         replace_partitions: the source's partitions become what the source says.
-        Keys match null-safely; a key twice in the source is an error."""
+        Keys match null-safely; a key twice in the source is an error. Only
+        partitions that can hold a key of the source are read, by those partition
+        columns that are keys; an upsert rewrites these, insert_only adds files."""
         with self.lock(zone, table):
             twice = source.groupBy(*keys).count().where("count > 1").limit(1).count()
             if twice:
                 raise DuplicateKeys(f"{zone}.{table}: the source repeats a key of {keys}")
-            if not self.exists(zone, table):
-                return self._commit(zone, table, source, by, mode)
-            log, now = self.history(zone, table)[-1], self.read(zone, table)
-            by = log["partitioned_by"] or list(by)
+            now = self.current(zone, table)
+            if now is None:
+                return self._commit(zone, table, source, by, mode, [])
+            by = now["partitioned_by"]
+            schema, _ = self._widened(now, source)
+            source = self._shaped(source, schema)
+            prune = [b for b in by if b in keys or mode == "replace_partitions"]
+            touched, others = now["parts"], []
+            if prune:
+                values = {tuple(r) for r in source.select(*[F.col(b).cast("string") for b in prune]).distinct().collect()}  # a row a partition
+                touched = [p for p in now["parts"] if tuple(_values(p)[b] for b in prune) in values]
+                others = [p for p in now["parts"] if p not in touched]
             if mode == "replace_partitions":
-                touched = source.select(*by).distinct()
-                cond = [now[c].eqNullSafe(touched[c]) for c in by]
-                merged = now.join(F.broadcast(touched) if touched.count() <= 100_000 else touched, cond, "left_anti").unionByName(source, allowMissingColumns=True)
-            else:
-                merged = upsert(now, source, keys, mode == "insert_only")
-            return self._commit(zone, table, merged, by, mode, log["rows"])
+                return self._commit(zone, table, source, by, mode, others, schema)
+            target = self._shaped(self._frame(zone, table, now, touched), schema)
+            if mode == "insert_only":
+                return self._commit(zone, table, missing(source, target, keys), by, mode, now["parts"], schema)
+            return self._commit(zone, table, upsert(target, source, keys), by, mode, others, schema)
 
     def compact(self, zone: str, table: str, target_mb: int = 32, min_files: int = 2) -> dict | None:
-        """Rewrite into files of about target_mb, if there are at least min_files."""
+        """Rewrite partitions of at least min_files files into files of about target_mb."""
         with self.lock(zone, table):
-            files = self.files(zone, table)
-            if len(files) < min_files:
+            now = self.current(zone, table)
+            files: dict[str, int] = {}
+            where = lambda p: p["path"].partition("/")[2]
+            for p in now["parts"] if now else []:
+                files[where(p)] = files.get(where(p), 0) + p["files"]
+            small = [p for p in (now["parts"] if now else []) if files[where(p)] >= min_files]
+            if not small:
                 return None
-            log = self.history(zone, table)[-1]
-            df, by = self.read(zone, table), log["partitioned_by"]
+            df, by = self._frame(zone, table, now, small), now["partitioned_by"]
             if not by:
-                df = df.repartition(max(1, round(sum(b for _, b in files) / (target_mb << 20))))
-            return self._commit(zone, table, df, by, "compact", log["rows"])
+                df = df.repartition(max(1, round(sum(p["bytes"] for p in small) / (target_mb << 20))))
+            return self._commit(zone, table, df, by, "compact", [p for p in now["parts"] if p not in small], df.schema)
 
     def view(self, zone: str, table: str, name: str | None = None) -> None:
         self.read(zone, table).createOrReplaceTempView(name or f"{zone}_{table}")

@@ -163,6 +163,25 @@ def test_store(spark, tmp_path):
     assert store.partitions("z", "t").count() == 2
 
 
+def test_store_rewrites_only_what_a_merge_touches(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(k, f"a:{k % 4}" if k % 4 else None, k) for k in range(40)], "k int, p string, v int")
+    store.merge("z", "t", rows, ["k", "p"], ["p"])
+    before = {p["path"] for p in store.current("z", "t")["parts"]}
+    store.merge("z", "t", rows.where("p = 'a:1'").withColumn("v", F.lit(-1)), ["k", "p"])
+    after = {p["path"] for p in store.current("z", "t")["parts"]}
+    assert len(before & after) == 3 and store.read("z", "t").count() == 40 and store.read("z", "t").where("v = -1").count() == 10
+    store.merge("z", "t", spark.createDataFrame([(0, None, 9), (99, None, 9)], rows.schema), ["k", "p"], mode="insert_only")
+    assert after < {p["path"] for p in store.current("z", "t")["parts"]}
+    assert store.read("z", "t").where("p is null and v = 9").count() == 1
+    assert store.current("z", "t")["rows"] == store.read("z", "t").count() == 41
+    store.compact("z", "t")
+    assert store.read("z", "t").count() == 41 and store.partitions("z", "t").where("file_count > 1").count() == 0
+    now = store.read("z", "t")
+    store.merge("z", "t", now.where("k < 5").withColumn("v", F.lit(5)), ["k", "p"])  # a source that reads the table itself
+    assert store.read("z", "t").where("v = 5").count() >= 5 and store.read("z", "t").count() == 41
+
+
 def test_archive_and_event_stream(spark, tmp_path):
     root = tmp_path / "in"
     (root / "CI" / "bank_txn").mkdir(parents=True)
