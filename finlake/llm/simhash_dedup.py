@@ -200,7 +200,8 @@ def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     has no other id. An empty table gives an empty result.
     """
     rows = classes(docs, id_col, text_col, radius)
-    named = rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
+    # written first, so that a large class meets its id in a join that can be split
+    named = stash(rows.groupBy("_root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(named, "_root").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
