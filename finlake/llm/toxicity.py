@@ -22,7 +22,7 @@ from .common import read, small_batches
 
 BUCKETS, HEADS = 1 << 22, (4, 5, 6, 7)
 #: Labelled rows used for fitting, of each grade: those with the smallest hash of doc_id.
-SAMPLE, STEPS, PENALTY = 3000, 200, 2e-4
+SAMPLE, STEPS, PENALTY = 3000, 200, 8e-4
 MEMO = 500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -58,13 +58,15 @@ class Ordinal:
         """share: how much of the labelled rows each grade makes up, to undo the sampling."""
         if len(rows) == 0 or len(set(grade)) < 2:
             return self  # nothing to tell apart: every severity is 0
-        flat = np.concatenate(rows)
-        ids, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        often = seen >= 3
-        to = np.cumsum(often) - 1
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[often[at]]
-        col = to[at[often[at]]]
-        n, m = len(rows), int(often.sum())
+        seen = np.zeros(BUCKETS, np.int32)
+        for r in rows:
+            seen[r] += 1  # a row's ids are distinct
+        often = np.flatnonzero(seen >= 3)
+        to = np.full(BUCKETS, -1, np.int32)
+        to[often] = np.arange(len(often), dtype=np.int32)
+        kept = [x[x >= 0] for x in (to[r] for r in rows)]
+        row, col = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate(kept)
+        n, m = len(rows), len(often)
         weight = (share / np.maximum(np.bincount(grade, minlength=self.grades), 1))[grade]
         below = np.clip(np.cumsum(share)[:-1], 1e-6, 1 - 1e-6)
         theta = np.log(below / (1 - below))
@@ -89,7 +91,7 @@ class Ordinal:
             theta_sq += g_theta**2
             theta = np.maximum.accumulate(theta - 0.5 * g_theta / np.sqrt(theta_sq))
         keep = w != 0
-        self.ids, self.weights, self.theta = ids[often][keep], w[keep], theta
+        self.ids, self.weights, self.theta = often[keep].astype(np.uint32), w[keep], theta
         return self
 
     def severity(self, eta):
