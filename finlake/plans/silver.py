@@ -22,6 +22,8 @@ from finlake.sources.store import TableStore
 
 log = logging.getLogger(__name__)
 WINDOW_DAYS = 7
+#: Flags whose rows a run counts as outliers.
+OUTLIERS = ("frais_aberrants", "delai_manquant", "origine_inhabituelle", "surpaiement")
 c = F.col
 
 
@@ -140,11 +142,13 @@ def run(spark: SparkSession, store: TableStore, tables=None, countries=None, win
                 source = core.recent(source, table.spec.event_time, window_days, "day")
             rows = table.build(source, lambda t: store.read("raw", t)).cache()
             try:
-                read, written = source.count(), rows.count()
+                odd = F.coalesce(*[c(f) for f in OUTLIERS if f in rows.columns], F.lit(False))
+                written, outliers = rows.agg(F.count("*"), F.count_if(odd)).first()
+                read = source.count()
                 done = store.merge("silver", name, rows, [table.spec.key, "country_code"], ["country_code"])
             finally:
                 rows.unpersist()
-            out[name] = {"rows_in": read, "rows_out": written, "duplicates": read - written, "added": done["added"]}
+            out[name] = {"rows_in": read, "rows_out": written, "duplicates": read - written, "outliers": outliers, "added": done["added"]}
         except Exception as e:
             log.exception("silver %s failed", name)
             out[name] = {"error": str(e)[:500]}

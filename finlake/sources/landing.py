@@ -107,3 +107,16 @@ def stream_events(spark: SparkSession, spec: DatasetSpec, root: str, max_files:
     lined = rows.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(INGESTED))
     body = F.to_json(F.struct(*spec.columns, INGESTED, SOURCE_FILE))
     return lined.select(topic_of(F.col(SOURCE_FILE)).alias("topic"), F.col("country_code").alias("kafka_key"), body.alias("payload")).where("topic is not null")
+
+
+def file_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Files below root that no rule routes, as dead letters that hold the file as it is."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    parts = F.split("path", "/")
+    folder, name = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    known = name.rlike(r"(?i)\.csv$") & ((folder == "referentials") & name.isin(*[f"{n}.csv" for n, s in SPECS.items() if s.is_referential]) | topic_of(F.col("path")).isNotNull())
+    none = F.lit(None)
+    return files.where(~F.coalesce(known, F.lit(False))).select(
+        none.cast("string").alias("dataset"), none.cast("string").alias("source_topic"), none.cast("int").alias("source_partition"), none.cast("bigint").alias("source_offset"), F.col("modificationTime").alias("received_at"),
+        F.lit("chemin non reconnu").alias("rejection_reason"), F.col("path").alias("source_file"), F.lit("landing").alias("stage"), F.col("content").cast("string").alias("original_message"),
+    )

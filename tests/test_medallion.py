@@ -70,6 +70,7 @@ def test_silver_gold_report(spark, lake, made):
     out = silver.run(spark, store, window_days=0)
     assert not any("error" in o for o in out.values()), out
     assert out["bank_transactions"]["rows_out"] == made["bank_txn"].count()
+    assert out["mobile_money_payments"]["outliers"] == PLANTED
     again = silver.run(spark, store, ["accounts", "bank_transactions"], window_days=0)
     assert [o["added"] for o in again.values()] == [0, 0]
     assert analytics.clear_text_columns(store) == []
@@ -134,6 +135,7 @@ def test_streams_agree_with_oracles_and_replay_to_nothing(spark, lake, made):
     gold.run(spark, live, ["daily_transaction_volume"], window_days=0)
     analytics.register(spark, live, bus)
     assert analytics.run(spark, "lambda_unifiee").where("operations_temps_reel > 0").count() == 0
+    assert analytics.run(spark, "lambda_par_jour").where("operations_temps_reel > 0").count() == 0
     assert analytics.run(spark, "surveillance_aml").where("detenus_par_le_batch_seul <> 0").count() == 0
     for name, chart in analytics.CHARTS.items():
         if chart.source.startswith("silver") or live.exists("gold", chart.source.removeprefix("gold_")):
@@ -192,6 +194,10 @@ def test_archive_and_event_stream(spark, tmp_path):
     q.awaitTermination()
     row = spark.table("routed").first()
     assert row.topic == domain.RAW_TOPICS["bank_txn"] and '"transaction_id":"t1"' in row.payload and '"ingestion_timestamp"' in row.payload
+    (root / "odd").mkdir()
+    (root / "odd" / "notes.txt").write_text("hello")
+    lost = landing.file_rejects(spark, str(root)).collect()
+    assert [(r.stage, r.rejection_reason, r.original_message) for r in lost] == [("landing", "chemin non reconnu", "hello")]
     found = landing.discover(spark, str(root))["bank_txn"]
     assert landing.archive(spark, landing.aged(found, 0), str(root), str(tmp_path / "old")) == (1, 0)
     assert (tmp_path / "old/CI/bank_txn/bank_txn_CI_20260101_01.csv").exists() and not landing.discover(spark, str(root))
