@@ -12,7 +12,7 @@ and their values seed the next round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, stash
@@ -52,14 +52,20 @@ def _octets(x: Column) -> Column:
 _VALID = {"email": lambda x: F.lit(True), "ip": _octets, "card": _luhn, "phone": lambda x: F.length(_digits(x)).between(8, 15)}
 _SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+#: Matches that are turned into spans at a time.
+CHUNK = 256
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,cue:string>>"
 
 
-def spans(text: Column, pattern: str, sign: str, valid) -> Column:
-    """Matches of a pattern that pass ``valid``, with their code points and the word
-    before. The text between matches gives the places: a pass each for both."""
+def _pairs(text: Column, pattern: str, sign: str) -> Column:
+    """Matches of a pattern with the text before each, and last the rest; none without the sign."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+    return F.when(text.rlike(sign), pairs)
+
+
+def _spans(pairs: Column, valid) -> Column:
+    """Pairs as code points with the word before, those that pass ``valid``. The folds
+    run over pieces of CHUNK pairs, as a fold that appends copies what it has."""
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -68,8 +74,15 @@ def spans(text: Column, pattern: str, sign: str, valid) -> Column:
         own = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), cue.alias("cue")))
         return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, state, step)["out"]
-    return F.when(text.rlike(sign), F.filter(found, lambda s: valid(s["value"]))).otherwise(F.array().cast(_SPANS))
+    def state(at: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def piece(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), state(acc["at"]), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.filter(inner["out"], lambda s: valid(s["value"]))).alias("out"))
+
+    pieces = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(pairs) > 0, F.aggregate(pieces, state(F.lit(0)), piece)["out"]).otherwise(F.array().cast(_SPANS))
 
 
 def _line(kinds: tuple[str, ...], column) -> Column:
@@ -80,20 +93,25 @@ def seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """A row a row of docs: the spans of each kind, and the other mentions; _row holds docs' columns with keep."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []))
-    out = own.select("*", *[spans(text, _PATTERN[k], _SIGN[k], _VALID[k]).alias(k) for k in KINDS], spans(text, MENTION, "[0-9]", lambda x: F.lit(True)).alias("_all"))
-    base = F.concat(*[F.col(k) for k in KINDS])
-    apart = F.filter("_all", lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    out = out.withColumn("_base", base).withColumn("mentions", apart).drop("_all", "_base", "_text")
-    return out.withColumn("_id", F.monotonically_increasing_id())
+    cut = own.select("*", *[_pairs(text, _PATTERN[k], _SIGN[k]).alias(f"_p_{k}") for k in KINDS], _pairs(text, MENTION, "[0-9]").alias("_p_mentions"))
+    out = cut.select("*", *[_spans(F.col(f"_p_{k}"), _VALID[k]).alias(k) for k in KINDS], _spans(F.col("_p_mentions"), lambda x: F.lit(True)).alias("mentions"))
+    return out.drop("_text", *[f"_p_{k}" for k in (*KINDS, "mentions")]).withColumn("_id", F.monotonically_increasing_id())
 
 
 def discover(rows: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """rows: seeds(), written. Gives (_id, kind, start, end) of the new entities."""
     spread = None
     for k in (*KINDS, None):
-        part = rows.select("_id", F.lit(k).cast("string").alias("kind"), F.explode(k or "mentions").alias("s")).select("_id", "kind", "s.*").where("cue <> ''")
+        part = rows.select("_id", F.lit(k).cast("string").alias("kind"), F.explode(k or "mentions").alias("s")).select("_id", "kind", "s.*")
         spread = part if spread is None else spread.unionAll(part)
-    spread = spread.withColumn("value", F.lower("value"))
+    # mentions that overlap an entity are that entity: told by the ends before and the starts behind
+    order = Window.partitionBy("_id").orderBy("start", "end")
+    base = F.col("kind").isNotNull()
+    before = F.max(F.when(base, F.col("end"))).over(order)
+    behind = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("_id").orderBy(F.desc("start"), F.desc("end")))
+    spread = spread.withColumns({"_before": before, "_behind": behind})
+    spread = spread.where(base | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_behind", F.col("end")) >= F.col("end")))).drop("_before", "_behind")
+    spread = stash(spread.where("cue <> ''").withColumn("value", F.lower("value")))
     # how often a pattern (cue) has each instance (value); hot cues are summed where they are read
     graph = stash(spread.groupBy("cue", "value", "kind").agg(F.count("*").alias("n")))
     known = stash(graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("known")))
@@ -138,15 +156,30 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = _with_new(stash(seeds(docs, id_col, text_col, keep=True)))
     marked = F.array_sort(F.concat(*[F.transform(f"all_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("mark"))) for k in KINDS]))
     text = F.col(f"_row.`{text_col}`")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.call_function("substr", text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        piece = F.when(s["start"] >= acc["at"], F.array(gap, s["mark"])).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    # the folds carry what is left of the text, in pieces of CHUNK spans, as each cut copies its rest
+    def state(at: Column, rest: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), rest.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def head(x: Column, n: Column) -> Column:
+        return F.call_function("substr", x, F.lit(1), F.greatest(F.lit(0), n).cast("int"))
 
-    done = rows.withColumn("_marked", marked).withColumn("_cut", F.aggregate("_marked", state, step))
-    whole = F.concat(F.array_join("_cut.out", ""), F.call_function("substr", text, (F.col("_cut.at") + 1).cast("int")))
+    def tail(x: Column, n: Column) -> Column:
+        return F.call_function("substr", x, (F.greatest(F.lit(0), n) + 1).cast("int"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.when(s["start"] >= acc["at"], F.array(head(acc["rest"], s["start"] - acc["at"]), s["mark"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), tail(acc["rest"], s["end"] - acc["at"]).alias("rest"), F.concat(acc["out"], piece).alias("out"))
+
+    def some(acc: Column, k: Column) -> Column:
+        own = F.slice("_marked", k * CHUNK + 1, F.lit(CHUNK))
+        last = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        inner = F.aggregate(own, state(acc["at"], head(acc["rest"], last - acc["at"])), step)
+        return F.struct(last.alias("at"), tail(acc["rest"], last - acc["at"]).alias("rest"), F.concat(acc["out"], F.array(F.array_join(inner["out"], ""))).alias("out"))
+
+    pieces = F.sequence(F.lit(0), F.floor((F.size("_marked") - 1) / CHUNK).cast("int"))
+    done = rows.withColumn("_marked", marked).withColumn("_cut", F.when(F.size("_marked") > 0, F.aggregate(pieces, state(F.lit(0), text), some)))
+    whole = F.concat(F.array_join("_cut.out", ""), F.col("_cut.rest"))
     new = F.when(F.size("_marked") > 0, whole).otherwise(text)
     done = done.withColumn("_clean", new)
     return done.select(*[(F.col("_clean") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
