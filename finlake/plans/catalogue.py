@@ -568,8 +568,8 @@ _STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    reader = spark.readStream.schema(_STREAM_SCHEMA).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true")
-    return reader.parquet(d).withColumn("ts", c("ts").cast("timestamp"))
+    reader = spark.readStream.schema(_STREAM_SCHEMA)
+    return reader.parquet(f"{d}/events.parque[t]").withColumn("ts", c("ts").cast("timestamp"))  # as a pattern it may be a file or a folder
 
 
 def _drain(df: DataFrame, mode: str) -> DataFrame:
