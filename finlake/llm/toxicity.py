@@ -22,7 +22,7 @@ from .common import read, small_batches
 
 BUCKETS, HEADS = 1 << 22, (4, 5, 6, 7)
 #: Labelled rows used for fitting, of each grade: those with the smallest hash of doc_id.
-SAMPLE, STEPS, PENALTY = 3000, 200, 8e-4
+SAMPLE, STEPS, PENALTY = 3000, 300, 6e-4
 MEMO = 500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -65,7 +65,14 @@ class Ordinal:
         to = np.full(BUCKETS, -1, np.int32)
         to[often] = np.arange(len(often), dtype=np.int32)
         kept = [x[x >= 0] for x in (to[r] for r in rows)]
-        row, col = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate(kept)
+        size = np.array([len(x) for x in kept])
+        full = np.flatnonzero(size)  # rows that have a feature
+        col = np.concatenate(kept)
+        starts = (np.cumsum(size) - size)[full]
+        by_col = np.argsort(col, kind="stable").astype(np.int32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), size)[by_col]  # of each entry, by feature
+        col_starts = np.searchsorted(col[by_col], np.arange(len(often)))
+        del kept, by_col, to, seen
         n, m = len(rows), len(often)
         weight = (share / np.maximum(np.bincount(grade, minlength=self.grades), 1))[grade]
         below = np.clip(np.cumsum(share)[:-1], 1e-6, 1 - 1e-6)
@@ -73,14 +80,16 @@ class Ordinal:
         w, sum_sq = np.zeros(m), np.full(m, 1e-8)
         theta_sq = np.full(len(theta), 1e-8)
         for _ in range(STEPS):
-            eta = np.bincount(row, w[col], n)
+            eta = np.zeros(n)
+            if m:
+                eta[full] = np.add.reduceat(w[col], starts)
             edge = np.concatenate([[-np.inf], theta, [np.inf]])
             hi, lo = _sigmoid(edge[grade + 1] - eta), _sigmoid(edge[grade] - eta)
             hi, lo = np.where(grade == self.grades - 1, 1.0, hi), np.where(grade == 0, 0.0, lo)
             p = np.maximum(hi - lo, 1e-12)
             d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
             g_eta = weight * (d_hi - d_lo) / p
-            g = np.bincount(col, g_eta[row], m)
+            g = np.add.reduceat(g_eta[row], col_starts) if m else np.zeros(0)
             sum_sq += g * g
             step = 0.5 / np.sqrt(sum_sq)
             w = w - step * g
@@ -127,6 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Ordinal(grades).fit([np.frombuffer(x, np.uint32) for x in got["ids"]], np.array(got["_y"], int), share / share.sum())
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as no column of docs has."""
+    while name.lower() in [t.lower() for t in taken]:
+        name = f"_{name}"
+    return name
+
+
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """doc_id, severity, toxic for every row, or all columns of docs with
     keep_columns. A text is toxic when a grade above 0 is likelier than not.
@@ -165,7 +181,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).alias("_text"))
     kinds = ", ".join(f"c{k} {renamed.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(names)))
     out = renamed.mapInArrow(run, f"{kinds}, severity double, toxic boolean")
-    return out.select(*[F.col(f"c{k}").alias(c if keep_columns else "doc_id") for k, c in enumerate(names)], F.col("severity").alias("_severity" if keep_columns else "severity"), F.col("toxic").alias("_toxic" if keep_columns else "toxic"))
+    return out.select(*[F.col(f"c{k}").alias(c if keep_columns else "doc_id") for k, c in enumerate(names)], *[F.col(x).alias(_free(f"_{x}", docs.columns) if keep_columns else x) for x in ("severity", "toxic")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +191,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that are not toxic, with their columns as they were."""
-    return score(docs, train(docs, read(spark, sf_dir, "labels")), keep_columns=True).where("not _toxic").select(*docs.columns)
+    return score(docs, train(docs, read(spark, sf_dir, "labels")), keep_columns=True).where(~F.col(_free("_toxic", docs.columns))).select(*[f"`{c}`" for c in docs.columns])

@@ -120,7 +120,7 @@ def test_ordinal_grades():
 
 
 def test_toxic_stage_keeps_columns(spark, data):
-    docs = read(spark, data, "documents").withColumn("toxic", F.lit("mine")).withColumn("severity", F.lit(1))
+    docs = read(spark, data, "documents").withColumn("toxic", F.lit("mine")).withColumn("severity", F.lit(1)).withColumn("_toxic", F.lit(2)).withColumn("c0", F.lit(3))
     out = toxicity.stage(spark, docs, data)
     assert out.columns == docs.columns and {r[0] for r in out.select("toxic").distinct().collect()} == {"mine"}
 
