@@ -7,6 +7,12 @@ there: only pairs that reach the guaranteed number of matches meet in a list,
 which is the tally's result without the lists of single bytes (each of these
 holds a 256th of all fingerprints). Pairs in a list are verified by their
 Hamming distance; a list gives a spanning forest of its links, not all pairs.
+
+The pipeline's stage has a rule of its own: texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more are copies. That lies far beyond the radius
+(5 to 13 bits and more), where lists of bytes would hold a large share of all rows.
+Its candidates agree in a band of minima of the sets under random orders, and every
+link is verified by the exact similarity.
 """
 
 from __future__ import annotations
@@ -27,6 +33,11 @@ WORDS, RADIUS, SEED = 4, 4, 42
 LIST_ROWS = 1 << 20
 #: Fingerprints under one key from which on their other bytes are indexed in turn.
 DENSE = 2048
+#: The stage's rule: words of a shingle, and the least Jaccard similarity of copies.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Bands of minima, and minima in each: a pair at 0.8 meets in none with probability (1 - 0.8**4)**25 = 2e-6.
+BANDS, MINIMA = 25, 4
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -205,15 +216,104 @@ def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(named, "_root").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct XXH64 of all runs of STAGE_WORDS words, sorted; shorter texts are one run, blank ones none."""
+    words = (text or "").encode().lower().split()
+    k = min(STAGE_WORDS, len(words))
+    of = xxhash.xxh64_intdigest
+    return np.unique(np.array([of(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
+
+
+def _bands(own: np.ndarray) -> np.ndarray:
+    """A value a band: sets agree in one if their MINIMA minima under its orders are the same."""
+    least = np.full(BANDS * MINIMA, np.uint64(2**64 - 1))
+    for at in range(0, len(own), 1 << 12):
+        least = np.minimum(least, (own[at : at + (1 << 12), None] * _ORDERS).min(0))
+    least = least.reshape(BANDS, MINIMA)
+    out = np.zeros(BANDS, np.uint64)
+    for k in range(MINIMA):
+        out = mix(out ^ least[:, k])
+    return out
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, _text, _key (a hash of the set of shingles), _size and _bands, a row a row of docs."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            bands = _lists([_bands(x) if len(x) else x for x in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([len(x) for x in sets], pa.int64()), bands], ["doc_id", "_text", "_key", "_size", "_bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, _key bigint, _size bigint, _bands array<bigint>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_key and _set of the texts that wanted (_key, _id, _hash) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t) for t in b.column(1).to_pylist()])], ["_key", "_set"])
+
+    keyed = docs.select(F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_same"), "text")
+    texts = keyed.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")))
+    return texts.select("_key", "text").mapInArrow(run, "_key bigint, _set array<bigint>").dropDuplicates(["_key"])
+
+
+def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, _text and _root (the class), a row a row of docs: classes are the
+    components of all pairs of a Jaccard similarity of at least ``least``.
+
+    A list holds the sets that agree in a band. All are compared with its smallest
+    key first; only those that this leaves in other components are compared with the
+    rest, unless sizes or the triangle inequality of the distance rule a pair out.
+    """
+    rows = stash(sketches(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
+    kinds = stash(rows.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
+    posts = kinds.select("_key", "_size", F.posexplode("_bands").alias("p", "v"))
+    lists = stash(posts.groupBy("p", "v").agg(F.min("_key").alias("_lead"), F.count("*").alias("_of")).where("_of > 1").drop("_of"))
+    members = stash(posts.join(lists, ["p", "v"]))
+    named = members.select("_key").distinct().join(kinds, "_key").select("_key", F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
+    sets = stash(_sets(docs, named))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(a, b) with their exact similarity."""
+        both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+        return stash(both.select("a", "b", (F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n"))).alias("s")))
+
+    led = scored(members.where("_key <> _lead").select(F.col("_lead").alias("a"), F.col("_key").alias("b")).distinct())
+    near = led.where(F.col("s") >= least).select("a", "b")
+    roots = components(near).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    placed = members.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    placed = stash(placed.join(led.toDF("_lead", "_key", "s"), ["_lead", "_key"], "left").withColumn("d", 1 - F.coalesce("s", F.lit(1.0))).drop("s"))
+    open_ = placed.groupBy("p", "v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.max(F.when(F.col("_key") == F.col("_lead"), F.col("_root"))).alias("_main")).where("_lo <> _hi").select("p", "v", "_main")
+    left = stash(placed.join(open_, ["p", "v"]).where("_key <> _lead"))
+    stray = left.where("_root <> _main").select("p", "v", *[F.col(c).alias(f"x{c}") for c in ("_key", "_root", "_size", "d")])
+    fit = (F.least("_size", "x_size") >= least * F.greatest("_size", "x_size") - 1e-9 * F.col("_size")) & (F.abs(F.col("d") - F.col("xd")) <= 1 - least + 1e-9)
+    cross = stray.join(left, ["p", "v"]).where((F.col("_root") != F.col("x_root")) & ((F.col("_root") == F.col("_main")) | (F.col("x_key") < F.col("_key"))) & fit)
+    rest = scored(cross.select(F.least("_key", "x_key").alias("a"), F.greatest("_key", "x_key").alias("b")).distinct())
+    roots = components(near.unionAll(rest.where(F.col("s") >= least).select("a", "b"))).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    return stash(rows.select("doc_id", "_text", "_key").join(roots, "_key", "left").select("doc_id", "_text", F.coalesce("_root", "_key").alias("_root")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_components(read(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every class: that of the smallest doc_id, nulls last, then of
-    the smallest text hash; of rows alike in both, any one."""
+    """One row of every class of similar(): that of the smallest doc_id, nulls last,
+    then of the smallest text hash; of rows alike in both, any one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
-    kept = classes(docs).groupBy("_root").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
+    kept = similar(docs).groupBy("_root").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_same"))
     joined = rows.join(kept, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")), "left_semi")
     one = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_same").orderBy(F.lit(0)))).where("_n = 1")

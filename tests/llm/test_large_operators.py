@@ -79,6 +79,34 @@ def test_simhash_stage_keeps_one_of_each_group(spark, odd):
     assert len(out) == len(roots) and simhash_dedup.stage(spark, odd, "").columns == odd.columns
 
 
+def test_simhash_stage_finds_copies_down_to_its_similarity(spark, docs_of):
+    """Near copies at 0.8 to 0.95, a chain of them and a group of many: as brute force has them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    line = [word() for _ in range(25)]
+    texts = []
+    for k in range(30):
+        base = [word() for _ in range(rng.randint(20, 300))] + (line if k % 3 == 0 else [])
+        texts.append(list(base))
+        for _ in range(40 if k == 7 else 2):
+            own = list(base)
+            for _ in range(max(1, int(len(base) * rng.choice([0.005, 0.01, 0.018, 0.025, 0.04])))):
+                own[rng.randrange(len(own))] = "changed" + word()
+            texts.append(own)
+    chain = [word() for _ in range(200)]
+    for k in range(6):
+        chain = chain[6:] + [word() for _ in range(6)]
+        texts.append(list(chain))
+    texts += [["A", "b", "c"], ["a", "B", "C"], ["a", "b", "d"]]
+    bags = [{tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    sims = {(i, j): len(bags[i] & bags[j]) / len(bags[i] | bags[j]) for i in range(len(bags)) for j in range(i)}
+    want = components(range(len(bags)), [p for p, s in sims.items() if s >= 0.8])
+    assert sum(0.8 <= s < 0.95 for s in sims.values()) > 50 and sum(0.6 < s < 0.8 for s in sims.values()) > 50
+    docs = docs_of([" ".join(w) for w in texts])
+    assert sorted(r.doc_id for r in simhash_dedup.stage(spark, docs, "").collect()) == sorted(set(want.values()))
+    assert simhash_dedup.stage(spark, docs.where("false"), "").count() == 0
+
+
 def brute_passages(docs):
     """docs in order: (id, text)."""
     seen, out = {}, []
