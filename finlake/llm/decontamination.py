@@ -56,7 +56,9 @@ def _blocks(fp: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words, hamming, and _text (a hash
-    of the text): the best window of every item found in every document.
+    of the text): the best window of every item found in every document. Where an
+    item runs over an end of the text, that is the first or last window, or the
+    whole text if it has fewer words than the item.
 
     Words are runs of letters and digits in lower case. Items of fewer than five
     words are one shingle; items and documents without words match nothing. Null
@@ -70,9 +72,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .withColumn("fp", simhash(F.col("bag"))).withColumn("item", F.xxhash64("item_id", "n", "bag"))
     )
     items = stash(items)
-    # windows of enough similarity share 2s/(1+s) of the shingles, in one or a few aligned runs
-    share = 2 * least / (1 + least)
-    floor = F.size("bag") * share / (1 + F.size("bag") * (1 - share) / 4)
+    # windows of enough similarity hold the share s of the item's shingles at least; every break
+    # between aligned runs costs both bags four shingles, and they have (1/s - 1) of the common ones to lose
+    common = F.size("bag") * least
+    floor = common / (1 + common * (1 / least - 1) / 8)
     index = items.select("item", "k", "n", F.greatest(F.lit(1), F.floor(floor)).alias("floor"), F.posexplode("bag").alias("offset", "h"))
     lengths = [r[0] for r in items.select("k").distinct().collect()]  # at most five
     small = items.agg(F.sum(F.size("bag"))).first()[0] or 0
@@ -83,24 +86,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hashed = keyed.select("doc_id", "_text", words_of(F.col("t")).alias("w")).select("doc_id", "_text", F.size("w").alias("size"), shingles(F.col("w"), F.lit(k)).alias("all"))
         # the outer form: from the other one Spark infers a filter that computes the array anew for each element
         spread = hashed.select("doc_id", "_text", "size", F.posexplode_outer("all").alias("at", "h"))
-        seeds = spread.join(index.where(F.col("k") == k), "h").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0 and start + n <= size")
-        runs = seeds.groupBy("doc_id", "_text", "item", "start", "n", "floor").agg(F.count_distinct("offset").alias("aligned")).where("aligned >= floor")
+        seeds = spread.join(index.where(F.col("k") == k), "h").withColumn("start", F.col("at") - F.col("offset"))
+        runs = seeds.groupBy("doc_id", "_text", "size", "item", "start", "n", "floor").agg(F.count_distinct("offset").alias("aligned")).where("aligned >= floor")
+        # a start outside the text is moved to the nearest window; a text shorter than the item is one window
+        runs = runs.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("size") - F.col("n"))))
         hits = stash(runs.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("start", "n")).alias("hits")))
         hits = hits.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
         hits = F.broadcast(hits) if (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_ROWS // 10 else hits
         texts = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
         whole = texts.select("doc_id", "_text", "hits", words_of(F.col("t")).alias("w")).select("doc_id", "_text", "hits", shingles(F.col("w"), F.lit(k)).alias("all"))
-        cut = whole.select("doc_id", "_text", F.explode_outer(F.expr(f"transform(hits, x -> struct(x.start as start, x.n as n, slice(all, x.start + 1, x.n - {k} + 1) as bag))")).alias("x"))
+        cut = whole.select("doc_id", "_text", F.explode_outer(F.expr(f"transform(hits, x -> struct(x.start as start, x.n as n, slice(all, x.start + 1, x.n - {k} + 1) as bag, least(x.n, size(all) + {k} - 1) as own))")).alias("x"))
         part = cut.select("doc_id", "_text", "x.*")
         out = part if out is None else out.unionAll(part)
     found = stash(out.dropDuplicates(["doc_id", "_text", "n", "start"]).withColumn("fp", simhash(F.col("bag"))))
     # multi-index Hamming blocks: a window meets the items of its length that agree with it in a block
-    left = found.select("doc_id", "_text", "n", "start", "bag", "fp", F.explode_outer(_blocks(F.col("fp"))).alias("z"))
+    left = found.select("doc_id", "_text", "n", "own", "start", "bag", "fp", F.explode_outer(_blocks(F.col("fp"))).alias("z"))
     right = items.select("item_id", "n", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode_outer(_blocks(F.col("fp"))).alias("z"))
     right = F.broadcast(right) if small <= BROADCAST_ROWS // (RADIUS + 1) else right
+    # the smaller bag of a text shorter than the item may lie a bit or two beyond the radius
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["n", "z"]).where(hamming <= RADIUS).withColumn("hamming", hamming).dropDuplicates(["doc_id", "_text", "n", "start", "item_id"])
-    scored = near.select("doc_id", "_text", "item_id", F.struct(similarity(F.col("bag"), F.col("item_bag")).alias("similarity"), (-F.col("start")).alias("start"), F.col("n"), F.col("hamming")).alias("best"))
+    near = left.join(right, ["n", "z"]).where((hamming <= RADIUS) | (F.col("own") < F.col("n"))).withColumn("hamming", hamming).dropDuplicates(["doc_id", "_text", "n", "start", "item_id"])
+    scored = near.select("doc_id", "_text", "item_id", F.struct(similarity(F.col("bag"), F.col("item_bag")).alias("similarity"), (-F.col("start")).alias("start"), F.col("own").alias("n"), F.col("hamming")).alias("best"))
     best = scored.where(F.col("best.similarity") >= least).groupBy("doc_id", "_text", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start_word"), F.col("best.n").alias("n_words"), F.col("best.hamming").alias("hamming"), "_text")
 

@@ -218,6 +218,31 @@ def test_decontamination(spark, docs_of):
     assert decontamination.contaminated(docs, bench.where("false")).count() == decontamination.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_at_both_ends_of_a_text(spark, docs_of):
+    """Items cut short or with a word left out, at the start, at the end and as a whole text."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [[word() for _ in range(n)] for n in (9, 15, 30, 59, 90)]
+    texts = []
+    for i in items:
+        other = [word() for _ in range(100)]
+        cuts = [i[1:], i[:-1], i[2:-1], i[:5] + i[6:], i[:-6] + i[-5:], i[: len(i) // 2] + i[len(i) // 2 + 1 :], i[3:], i[5:]]
+        texts += [w for c in cuts for w in (c, c + other, other + c, other[:50] + c + other[50:])]
+    every = {}
+    for k, w in enumerate(texts):
+        for n, i in enumerate(items):
+            bag, size = shingle_bag(i), min(len(i), len(w))
+            for s in range(len(w) - size + 1):
+                own = shingle_bag(w[s : s + size])
+                both = sum((own & bag).values())
+                every[k, n, s] = (both / (sum(own.values()) + sum(bag.values()) - both), size)
+    want = {x[:2] for x, (sim, _) in every.items() if sim >= 0.8}
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontamination.contaminated(docs_of([" ".join(w) for w in texts]), bench).collect()}
+    assert len(want) > 80 and set(got) == want
+    assert all(sim >= 0.8 and every[*x, s] == (sim, size) for x, (sim, s, size) in got.items())
+
+
 def test_similar_windows_stay_within_the_radius(spark):
     """Bags of similarity 0.8 or a little more: their fingerprints are within RADIUS bits."""
     rng = np.random.default_rng(1)
