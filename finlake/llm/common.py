@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ASCII_SPACE = b" \t\n\x0b\x0c\r"
-#: Rows handed to a Python worker at once, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes handed to a Python worker at once, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Folders that stash() has written and purge() has not deleted, oldest first.
+_STASHED: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,10 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes where
+    they are larger. They are read when a plan runs, so they stay lowered."""
+    unit = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"(-?[0-9]+)([kmg]?)", spark.conf.get(key).lower())
+        if not now or not 0 < int(now[1]) * unit[now[2]] <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -32,11 +38,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, of spark.checkpoint.dir. Where it is not
+    set, one process (a local master, as in tests) gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="finlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,10 +54,35 @@ def stash(df: DataFrame) -> DataFrame:
     files, so a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/finlake-{uuid.uuid4().hex}"
+    _STASHED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stashed() -> int:
+    """How many folders stash() has left so far; purge() can begin there."""
+    return len(_STASHED)
+
+
+def purge(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete the folders that this process has stashed from the place ``since`` on, but
+    for the ``last`` newest: once what was made from them is written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    upto = max(since, len(_STASHED) - last)
+    for path in _STASHED[since:upto]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _STASHED[since:upto]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as no column of docs has, in any case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def rank_by(df: DataFrame, order: Column) -> DataFrame:
     """df with _rank, the place of each row from 0: rows are dealt by ranges of
     ``order``, counted a range, and numbered within it. No task holds all rows."""
@@ -61,16 +93,6 @@ def rank_by(df: DataFrame, order: Column) -> DataFrame:
     return stash(ranged.join(offsets, "_part").withColumn("_rank", inside + F.col("_before")).drop("_part", "_before"))
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete what stash() has left in the shared folder, once results are written."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for item in fs.listStatus(top):
-        if item.getPath().getName().startswith("finlake-"):
-            fs.delete(item.getPath(), True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 over an array of uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rank_by, read, stash
+from .common import free_name, rank_by, read, stash
 
 #: Weights by the order of the sources, the share of all sizes to take, and how often a source may be taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -111,10 +111,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mix takes, with their columns, mix_words (words taken) and mix_target."""
-    plain = docs.select(F.col("doc_id"), F.col("source"), _source(F.col("source")).alias("_source"), size_of(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text")).alias("_key"))
-    cut = cuts(stash(plain), weights=WEIGHTS)
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), _source(F.col("source")).alias("_source"), size_of(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text")).alias("_key"))
+    """Rows that the mix takes, with their columns, mix_words (words taken, repeats
+    counted) and mix_target (the source's). Where docs has a column of such a name, in
+    any case, the new one gets an underscore before it.
+
+    Null and blank texts have no words and are not taken. A null source is a source of
+    its own. Repeated rows share a key and what is left at a cut. An empty table gives
+    an empty one.
+    """
+    names, key = docs.columns, _key(F.col("doc_id"), F.col("text"))
+    measures = [_source(F.col("source")).alias("_source"), size_of(F.col("text")).alias("size"), key.alias("_key")]
+    cut = cuts(stash(docs.select("doc_id", "source", *measures)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *measures)
     taken = rows.join(cut, "_source").withColumn("_taken", _taken()).where("_taken > 0")
-    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[F.col(a).alias(b) for a, b in (("_taken", "mix_words"), ("target", "mix_target")) if b not in names])
+    new = [F.col(a).alias(free_name(b, names)) for a, b in (("_taken", "mix_words"), ("target", "mix_target"))]
+    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *new)

@@ -1,13 +1,15 @@
 """Personal data: fixed patterns first, then bootstrapped contextual extraction.
 DataFrame functions only.
 
-The fixed patterns give seed entities. The word before an entity is a lexical
-pattern of its kind; every other identifier-like mention (a run with a digit)
-has such a word too. Patterns and instances form a bipartite graph, which is
-scored in rounds: a pattern is as good as the share of its mentions that are
-known entities of one kind, an instance as good as the best pattern it is seen
-in. Mentions under patterns of high confidence are new entities of that kind,
-and their values seed the next round.
+The fixed patterns give seed entities. A seed's context gives lexical patterns of its
+kind: the word before it, the two words before it, the word after it, and the words on
+both sides. Every other mention that looks like an identifier (digits in groups, a
+token with a digit, a token around an at-sign) has such patterns too. Patterns and
+instances form a bipartite graph, which is scored in rounds: a pattern is as good as
+the share of its mentions that are known entities of one kind, by the lower end of
+that share's interval, so that few mentions prove little; an instance is as good as
+the best pattern it is seen in. Mentions under patterns of high confidence are new
+entities of that kind, and their values seed the next round.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Characters of a mention, and how many it has at least.
+#: Characters of a mention, the characters that a token has and the digits that groups have at least.
 _IN, LEAST = r"[^\s\x22'=:,;()<>|\[\]{}]", 6
-MENTION = rf"(?<!{_IN})(?={_IN.replace('[^', '[^0-9')}*+[0-9]){_IN}{{{LEAST},}}+"
-#: A pattern's least share of known entities, and of how many different ones; rounds of scoring.
-CONFIDENCE, SUPPORT, ROUNDS = 0.8, 5, 3
-#: Rows of new entities up to which they are broadcast to the texts.
-BROADCAST_ROWS = 100_000
+_GROUPS = rf"(?<![\w.+@-])\+?\(?[0-9]{{1,6}}\)?(?:[\x20./-]{{1,2}}\(?[0-9]{{2,6}}\)?)++(?!{_IN})"
+_AROUND_AT = rf"(?<!{_IN}){_IN.replace('[^', '[^@')}++@{_IN}++"
+_TOKEN = rf"(?<!{_IN})(?={_IN.replace('[^', '[^0-9')}*+[0-9]){_IN}{{{LEAST},}}+"
+MENTION = f"{_GROUPS}|{_AROUND_AT}|{_TOKEN}"
+#: A pattern's least share of known entities, the width of its interval, and of how many different ones; rounds of scoring.
+CONFIDENCE, WIDTH, SUPPORT, ROUNDS = 0.8, 2.0, 5, 3
+#: New spans, in all rows together, up to which they are broadcast to the texts.
+BROADCAST_SPANS = 300_000
 
 
 def _digits(x: Column) -> Column:
@@ -54,24 +59,36 @@ _SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 _PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: Matches that are turned into spans at a time.
 CHUNK = 256
-_SPANS = "array<struct<start:bigint,end:bigint,value:string,cue:string>>"
+_WORDS = ("before", "second", "after")
+_SPANS = f"array<struct<start:bigint,end:bigint,value:string,{','.join(f'{w}:string' for w in _WORDS)}>>"
+#: What stands between a word and what it is the context of.
+_BETWEEN = r"[\s=:\x22'()<>|,;]"
+_WORD = _BETWEEN.replace("[", "[^", 1)
 
 
 def _pairs(text: Column, pattern: str, sign: str) -> Column:
-    """Matches of a pattern with the text before each, and last the rest; none without the sign."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    """Matches of a pattern with the text before and after each, and last the rest; none without the sign."""
+    gaps = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
     return F.when(text.rlike(sign), pairs)
 
 
+def _context(x: Column) -> list[Column]:
+    """The last word, the last but one, and the next word around a match, in lower case; none has a digit."""
+    two = rf"(?:({_WORD}*){_BETWEEN}+)?({_WORD}+){_BETWEEN}*$"
+    left, right = F.substring(x["gap"], -80, 80), F.substring(x["next"], 1, 40)
+    found = F.regexp_extract(left, two, 2), F.regexp_extract(left, two, 1), F.regexp_extract(right, rf"^{_BETWEEN}*({_WORD}+)", 1)
+    return [F.when(~w.rlike("[0-9]"), F.lower(w)).otherwise("").alias(n) for n, w in zip(_WORDS, found)]
+
+
 def _spans(pairs: Column, valid) -> Column:
-    """Pairs as code points with the word before, those that pass ``valid``. The folds
+    """Pairs as code points with the words around, those that pass ``valid``. The folds
     run over pieces of CHUNK pairs, as a fold that appends copies what it has."""
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        cue = F.lower(F.regexp_extract(F.substring(x["gap"], -80, 80), r"([^\s=:\x22'()<>|,;]+)[\s=:\x22'()<>|]*$", 1))
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), cue.alias("cue")))
+        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), *_context(x)))
         return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
     def state(at: Column) -> Column:
@@ -89,17 +106,40 @@ def _line(kinds: tuple[str, ...], column) -> Column:
     return F.array_join(F.concat(*[F.transform(column(k), lambda s: F.concat(F.lit(f"{k}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))) for k in kinds]), ",")
 
 
+def _mention(x: Column) -> Column:
+    """Whether a match has enough digits, or an at-sign."""
+    return (F.length(_digits(x)) >= LEAST) | x.contains("@") | ~x.rlike(r"^[\x20()+./0-9-]+$")
+
+
 def seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """A row a row of docs: the spans of each kind, and the other mentions; _row holds docs' columns with keep."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []))
-    cut = own.select("*", *[_pairs(text, _PATTERN[k], _SIGN[k]).alias(f"_p_{k}") for k in KINDS], _pairs(text, MENTION, "[0-9]").alias("_p_mentions"))
-    out = cut.select("*", *[_spans(F.col(f"_p_{k}"), _VALID[k]).alias(k) for k in KINDS], _spans(F.col("_p_mentions"), lambda x: F.lit(True)).alias("mentions"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *row)
+    cut = own.select("*", *[_pairs(text, _PATTERN[k], _SIGN[k]).alias(f"_p_{k}") for k in KINDS], _pairs(text, MENTION, "[0-9@]").alias("_p_mentions"))
+    out = cut.select("*", *[_spans(F.col(f"_p_{k}"), _VALID[k]).alias(k) for k in KINDS], _spans(F.col("_p_mentions"), _mention).alias("mentions"))
     return out.drop("_text", *[f"_p_{k}" for k in (*KINDS, "mentions")]).withColumn("_id", F.monotonically_increasing_id())
 
 
+def _patterns() -> Column:
+    """The lexical patterns of a mention."""
+    has = lambda *names: F.concat(*[F.col(n) for n in names]) != ""
+    before = F.when(has("before"), F.concat(F.lit("<"), "before"))
+    second = F.when(has("before") & has("second"), F.concat(F.lit("<<"), "second", F.lit(" "), "before"))
+    after = F.when(has("after"), F.concat(F.lit(">"), "after"))
+    both = F.when(has("before") & has("after"), F.concat(F.lit("<>"), "before", F.lit(" "), "after"))
+    return F.array_compact(F.array(before, second, after, both))
+
+
+def _lower_end(n: Column, of: Column, z: float = WIDTH) -> Column:
+    """The lower end of the interval of a share of n among of, z standard deviations wide to each side."""
+    share = n / of
+    return (share + z * z / (2 * of) - z * F.sqrt(share * (1 - share) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
 def discover(rows: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """rows: seeds(), written. Gives (_id, kind, start, end) of the new entities."""
+    """rows: seeds(), written. Gives (_id, start, end, kind) of the new entities: each
+    under the kind of the best pattern that it is seen in."""
     spread = None
     for k in (*KINDS, None):
         part = rows.select("_id", F.lit(k).cast("string").alias("kind"), F.explode(k or "mentions").alias("s")).select("_id", "kind", "s.*")
@@ -110,30 +150,36 @@ def discover(rows: DataFrame, confidence: float = CONFIDENCE, support: int = SUP
     before = F.max(F.when(base, F.col("end"))).over(order)
     behind = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("_id").orderBy(F.desc("start"), F.desc("end")))
     spread = spread.withColumns({"_before": before, "_behind": behind})
-    spread = spread.where(base | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_behind", F.col("end")) >= F.col("end")))).drop("_before", "_behind")
-    spread = stash(spread.where("cue <> ''").withColumn("value", F.lower("value")))
-    # how often a pattern (cue) has each instance (value); hot cues are summed where they are read
-    graph = stash(spread.groupBy("cue", "value", "kind").agg(F.count("*").alias("n")))
+    free = (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_behind", F.col("end")) >= F.col("end"))
+    spread = spread.where(base | free).select("_id", "kind", "start", "end", F.lower("value").alias("value"), _patterns().alias("patterns"))
+    spread = stash(spread.where(F.size("patterns") > 0))
+    # how often a pattern has each instance (value); hot patterns are summed where they are read
+    graph = stash(spread.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")))
     known = stash(graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("known")))
     good = None
     for _ in range(rounds):
-        scored = graph.join(known, "value", "left").groupBy("cue", "known").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("different"))
-        total = graph.groupBy("cue").agg(F.sum("n").alias("of"))
-        best = scored.where("known is not null").join(total, "cue").withColumn("score", F.col("n") / (F.col("of") + 1))
-        good = stash(best.where((F.col("score") >= confidence) & (F.col("different") >= support)).groupBy("cue").agg(F.max_by("known", F.struct("score", "known")).alias("kind")))
-        found = graph.where("kind is null").drop("kind").join(good, "cue").groupBy("value").agg(F.max("kind").alias("known"))
+        scored = graph.join(known, "value", "left").groupBy("pattern", "known").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("different"))
+        total = graph.groupBy("pattern").agg(F.sum("n").alias("of"))
+        best = scored.where("known is not null").join(total, "pattern").withColumn("score", _lower_end(F.col("n"), F.col("of")))
+        best = best.where((F.col("score") >= confidence) & (F.col("different") >= support))
+        good = stash(best.groupBy("pattern").agg(F.max_by("known", F.struct("score", "known")).alias("kind"), F.max("score").alias("score")))
+        found = graph.where("kind is null").drop("kind").join(good, "pattern").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("known"))
         more = stash(found.join(known, "value", "left_anti"))
         if more.isEmpty():
             break
         known = stash(known.unionAll(more))
-    return spread.where("kind is null").drop("kind").join(good, "cue").select("_id", "kind", "start", "end").distinct()
+    new = spread.where("kind is null").select("_id", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    return new.groupBy("_id", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 
 def _with_new(rows: DataFrame) -> DataFrame:
     """rows with each kind's new spans added, in order."""
-    new = stash(discover(rows).groupBy("_id", "kind").agg(F.collect_list(F.struct("start", "end", F.lit("").alias("value"), F.lit("").alias("cue"))).alias("s")).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "s"))).alias("_new")))
-    n = new.count()
-    rows = rows.join(F.broadcast(new) if n <= BROADCAST_ROWS else new, "_id", "left") if n else rows.withColumn("_new", F.lit(None).cast(f"map<string,{_SPANS}>"))
+    span = F.struct("start", "end", *[F.lit("").alias(n) for n in ("value", *_WORDS)])
+    each = discover(rows).groupBy("_id", "kind").agg(F.collect_list(span).alias("s"), F.count("*").alias("n"))
+    new = stash(each.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "s"))).alias("_new"), F.sum("n").alias("n")))
+    n = new.agg(F.sum("n")).first()[0]
+    new = new.drop("n")
+    rows = rows.join(F.broadcast(new) if n <= BROADCAST_SPANS else new, "_id", "left") if n else rows.withColumn("_new", F.lit(None).cast(f"map<string,{_SPANS}>"))
     return rows.withColumns({f"all_{k}": F.array_sort(F.concat(F.col(k), F.coalesce(F.col("_new")[k], F.array().cast(_SPANS)))) for k in KINDS})
 
 
@@ -190,6 +236,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with personal data redacted and n_chars counted anew."""
+    """docs with personal data redacted and n_chars, where docs has it, counted anew.
+
+    A null text stays null, and its n_chars becomes null; texts without personal data,
+    null ids and repeated rows stay as they were; other columns stay, whatever their
+    names. An empty table gives an empty one.
+    """
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

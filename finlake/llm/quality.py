@@ -26,7 +26,7 @@ BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
 SAMPLE, EPOCHS, RATE, SEED = 4000, 6, 0.5, 7
 KEEP = 0.3
 #: Distinct words whose share of the score a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -95,7 +95,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample`` labelled rows outside the held-out fold.
 
     Labels other than 0 and 1 and null ids are left out; several labels of one id
-    count as their largest. Features are made on the executors, whole texts.
+    count as their largest. Features are made on the executors, whole texts. Of several
+    rows of an id, the text of the smallest hash is learned from, so the driver gets one
+    row an id.
     """
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
     chosen = (
@@ -103,12 +105,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most sample rows
+    pairs = pairs.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, counts = [], []
-            for t in b.column(1).to_pylist():
-                got = bag(t or "")
+            for t in b.column(1):
+                got = bag(t.as_py() or "")
                 ids.append(np.fromiter(got.keys(), np.uint32, len(got)).tobytes())
                 counts.append(np.fromiter(got.values(), np.uint32, len(got)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["_id", "_y", "ids", "counts"])
@@ -123,7 +126,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted for every row.
 
     A null or empty text is scored by the output layer's bias alone. Rows of one
-    id are scored each; a null id is not held out. No shuffle.
+    id are scored each; a null id is not held out. Other columns are not read,
+    whatever their names. An empty table gives an empty one. No shuffle.
     """
     small_batches(docs.sparkSession)
     weights, bias = model.folded()
@@ -141,8 +145,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         for b in batches:
             scores = []
-            for t in b.column(1).to_pylist():
-                words = (t or "").split()
+            for t in b.column(1):
+                words = (t.as_py() or "").split()
                 total, n = 0.0, 0
                 for x, c in Counter(words).items():
                     s, k = memo.get(x) or learn(x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, html_text, mixing, pii, quality, simhash_dedup, substring_dedup, token_counts, toxicity, vector_search
+from .common import purge
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -55,3 +56,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+def clean_up(spark) -> None:
+    """Delete what the queries so far have stashed; their results must be written."""
+    purge(spark)

@@ -1,18 +1,20 @@
 """Near-duplicates by SimHash, found through a byte-position inverted index.
 
 Fingerprints that differ in at most R bits differ in at most R of their 8 bytes,
-so they share at least 8 - R bytes at their positions. The index therefore lists
-fingerprints under every choice of 8 - R positions together with the bytes
-there: only pairs that reach the guaranteed number of matches meet in a list,
-which is the tally's result without the lists of single bytes (each of these
-holds a 256th of all fingerprints). Pairs in a list are verified by their
-Hamming distance; a list gives a spanning forest of its links, not all pairs.
+so they share at least 8 - R bytes at their positions. The index lists fingerprints
+by the byte at a position, and a list of it by the byte at a second and third one
+where there are so many rows that single bytes would leave lists long: of any 8 - R
+shared positions, d are among the first R + d, so lists under each d of these lose
+no pair. In a list, the shared positional bytes of each pair are tallied over all
+positions; pairs that reach the guaranteed 8 - R are verified by their Hamming
+distance. A list gives a spanning forest of its links, not all pairs.
 
 The pipeline's stage has a rule of its own: texts whose sets of five-word shingles
 have a Jaccard similarity of 0.8 or more are copies. That lies far beyond the radius
-(5 to 13 bits and more), where lists of bytes would hold a large share of all rows.
-Its candidates agree in a band of minima of the sets under random orders, and every
-link is verified by the exact similarity.
+(5 to 13 bits and more). It goes the same way with a longer signature: one byte of
+each of 100 minima of the set under random orders in place of SimHash's 8 bytes.
+Lists are named by four minima, the shared positional bytes of a pair are tallied,
+and pairs that reach the least number are verified by the exact similarity.
 """
 
 from __future__ import annotations
@@ -23,21 +25,35 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, partitions, read, small_batches, stash
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Fingerprints that one list of the index is expected to hold at most; lists are split by key beyond it.
-LIST_ROWS = 1 << 20
-#: Fingerprints under one key from which on their other bytes are indexed in turn.
-DENSE = 2048
+#: Byte positions of a fingerprint.
+BYTES = 8
+#: Random fingerprints that a list may hold on average before one more position names it.
+LIST_ROWS = 64
+#: Fingerprints that a block of lists is expected to hold.
+BLOCK_ROWS = 1 << 16
+#: Fingerprints from which on a block is listed anew.
+HOT_ROWS = 4 * BLOCK_ROWS
+#: Lists up to SHORT are tallied pair by pair; those above DENSE are listed anew by further positions.
+SHORT, DENSE = 16, 2048
 #: The stage's rule: words of a shingle, and the least Jaccard similarity of copies.
 STAGE_WORDS, SIMILARITY = 5, 0.8
 #: Bands of minima, and minima in each: a pair at 0.8 meets in none with probability (1 - 0.8**4)**25 = 2e-6.
 BANDS, MINIMA = 25, 4
-_ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Positional bytes of a signature that copies share at least: of 100, 80 +- 4 at 0.8, so fewer with probability 1e-8.
+SHARED = 55
+#: Rounds of leads before members are compared pair by pair; ids up to which a side of a join is broadcast.
+ROUNDS, BROADCAST_ROWS = 3, 300_000
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+# fixed odd multiplier of the rolling hash
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 
 
 def fingerprint(text: str | None) -> int:
@@ -73,98 +89,209 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, _text bigint, _fp bigint")
 
 
-def _masks(parts: int, width: int, least: int) -> list[np.uint64]:
-    """Bits of every choice of ``least`` among ``parts`` fields of ``width`` bits."""
-    return [np.uint64(sum(((1 << width) - 1) << (width * p) for p in c)) for c in combinations(range(parts), least)]
+def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair, how many byte positions hold the same byte in both."""
+    return ((a ^ b).reshape(-1, 1).view(np.uint8) == 0).sum(1)
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs reach the guaranteed number of shared positions and pass the verification."""
+    b = np.broadcast_to(b, a.shape)
+    out = _tally(a, b) >= BYTES - radius
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= radius
+    return out
+
+
+def _choices(free: list[int], needed: int, depth: int) -> list[tuple[int, ...]]:
+    """Sets of ``depth`` positions, one of which at least is shared by every pair that
+    shares ``needed`` of the free positions."""
+    return list(combinations(free[: len(free) - needed + depth], depth))
+
 
+def _mask(at: tuple[int, ...]) -> np.uint64:
+    return np.uint64(sum(0xFF << (8 * p) for p in at))
 
-def _forest(fps: np.ndarray, radius: int, masks: list[np.uint64], finer: list[list[np.uint64]]) -> np.ndarray:
-    """Links of at most radius bits among distinct fingerprints, as a spanning
-    forest of the links found under each key: an array of pairs."""
-    out = [np.zeros((0, 2), np.uint64)]
-    for mask in masks:
-        keys = fps & mask
+
+def depth_of(rows: int, radius: int) -> int:
+    """Byte positions that name a list: as many as keep a list of random fingerprints short."""
+    return min(BYTES - radius, next(d for d in range(1, 9) if d == 8 or rows <= LIST_ROWS << (8 * d)))
+
+
+class _Forest:
+    """Links among distinct fingerprints of one block of the index, as a spanning forest."""
+
+    def __init__(self, fps: np.ndarray, radius: int):
+        self.fps, self.radius, self.up, self.pairs = fps, radius, np.arange(len(fps)), []
+
+    def _root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return int(x)
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            r, t = self._root(x), self._root(y)
+            if r != t:
+                self.up[max(r, t)] = min(r, t)
+                self.pairs.append((x, y))
+
+    def _settled(self, group: np.ndarray) -> bool:
+        first = self._root(int(group[0]))
+        return all(self._root(x) == first for x in group[1:].tolist())
+
+    def lists(self, at: np.ndarray, keys: np.ndarray, deeper) -> None:
+        """at: places of fingerprints; those with the same key are one list. Short lists
+        are tallied pair by pair, all lists at once; long ones by a search that takes
+        what it has found out of the list; longer ones are listed anew by ``deeper``."""
         order = np.argsort(keys, kind="stable")
-        keys, own = keys[order], fps[order]
+        keys, at = keys[order], at[order]
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        a, b = own[two], own[two + 1]
-        near = np.bitwise_count(a ^ b) <= radius
-        out.append(np.stack([a[near], b[near]], 1))
-        for s, m in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            group = own[s : s + m]
-            if m > DENSE and finer:
-                out.append(_forest(group, radius, finer[0], finer[1:]))
+        short = np.repeat(size <= SHORT, size)
+        for step in range(1, SHORT):
+            same = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:])
+            if not len(same):
+                break
+            a, b = at[same], at[same + step]
+            near = _near(self.fps[a], self.fps[b], self.radius)
+            self._join(a[near], b[near])
+        for s, m in zip(edge[:-1][size > SHORT].tolist(), size[size > SHORT].tolist()):
+            group = at[s : s + m]
+            if self._settled(group):
+                continue
+            if m > DENSE and deeper:
+                deeper(group)
                 continue
             rest = group
             while len(rest) > 1:
                 queue, rest = [rest[0]], rest[1:]
                 while queue and len(rest):
                     x = queue.pop()
-                    near = np.bitwise_count(rest ^ x) <= radius
+                    near = _near(self.fps[rest], self.fps[x], self.radius)
                     if near.any():
                         got = rest[near]
-                        out.append(np.stack([np.full(len(got), x), got], 1))
+                        self._join(np.full(len(got), x), got)
                         queue += list(got)
                         rest = rest[~near]
-    return np.concatenate(out)
 
+    def index(self, at: np.ndarray, shared: tuple[int, ...]) -> None:
+        """Lists of fingerprints that agree at ``shared``; long ones by one more position,
+        and by pieces of the other bits once enough positions agree."""
+
+        def deeper(group: np.ndarray) -> None:
+            needed = BYTES - self.radius - len(shared)
+            if needed > 0:
+                for (p,) in _choices([p for p in range(BYTES) if p not in shared], needed, 1):
+                    self.index(group, (*shared, p))
+            else:
+                for mask in dense_masks(_mask(shared), self.radius):
+                    self.lists(group, self.fps[group] & mask, None)
+
+        self.lists(at, self.fps[at] & _mask(shared), deeper)
+
+
+def _keys(own: np.ndarray, path: str, radius: int) -> np.ndarray:
+    """What names a fingerprint's list under a path: the bytes at its positions, and
+    after a slash a choice of fields among the other bits."""
+    at, _, fields = path.partition("/")
+    mask = _mask(tuple(map(int, at)))
+    return own & (dense_masks(mask, radius)[int(fields)] if fields else mask)
+
+
+def _deeper(path: str, radius: int) -> list[str]:
+    """Paths that list the fingerprints of one path anew, by one more position each, or
+    by fields of the other bits. Under the latter a list holds 2**16 fingerprints at
+    most, as 48 of 64 bits agree at radius 4."""
+    needed = BYTES - radius - len(path)
+    if needed > 0:
+        return [f"{path}{p}" for (p,) in _choices([p for p in range(BYTES) if str(p) not in path], needed, 1)]
+    return [f"{path}/{k}" for k in range(len(dense_masks(np.uint64(0), radius)))]
+
+
+def _post(fps: DataFrame, radius: int, paths: list[str] | None, split: int) -> DataFrame:
+    """fps: _fp; or, without paths, blocks (_path, _part, _fps, _n) that hold _n
+    fingerprints, which are listed anew. Gives blocks (_path, _part, _fps)."""
+
+    def deal(own: np.ndarray, path: str, parts: int) -> pa.RecordBatch:
+        part = (mix(_keys(own, path, radius)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        full = np.flatnonzero(cut[:-1] < cut[1:])
+        data = [own[order[cut[j] : cut[j + 1]]].tobytes() for j in full]
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(data, pa.binary())], ["_path", "_part", "_fps"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for path in paths:
+                yield deal(own, path, split)
 
-def _thin(pairs: np.ndarray) -> np.ndarray:
-    """The pairs that join something new, by union-find."""
-    if len(pairs) < 2:
-        return pairs
-    names, at = np.unique(pairs, return_inverse=True)
-    at, up, keep = at.reshape(-1, 2).tolist(), list(range(len(names))), []
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                for finer in _deeper(path, radius):
+                    yield deal(np.frombuffer(data.as_py(), np.uint64), finer, -(-n // BLOCK_ROWS))
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    rows = fps.select("_fp") if paths else fps.select("_path", "_fps", "_n")
+    return rows.mapInArrow(first if paths else again, "_path string, _part bigint, _fps binary")
 
-    for k, (a, b) in enumerate(at):
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            keep.append(k)
-    return pairs[keep]
 
+def _meet(blocks: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of each block. Blocks are sorted by the shuffle and worked off one
+    at a time: a task holds one block."""
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps: distinct _fp. Pairs (a, b) whose components are those of all links."""
-    spark = fps.sparkSession
-    masks = _masks(8, 8, 8 - radius)
-    split = max(1, -(-fps.count() // LIST_ROWS))
+    def settle(path: str, parts: list[bytes]) -> pa.RecordBatch:
+        own = np.unique(np.frombuffer(b"".join(parts), np.uint64))
+        forest = _Forest(own, radius)
+        at = np.arange(len(own))
+        if "/" in path:
+            forest.lists(at, _keys(own, path, radius), None)
+        else:
+            forest.index(at, tuple(map(int, path)))
+        pairs = own[np.array(forest.pairs, np.int64).reshape(-1, 2)].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else [], pa.int64()), pa.array(pairs.max(1) if len(pairs) else [], pa.int64())], ["a", "b"])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            lists, data = [], []
-            for k, mask in enumerate(masks):
-                part = (mix(own & mask) % np.uint64(split)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(split + 1))
-                for j in range(split):
-                    if cut[j] < cut[j + 1]:
-                        lists.append(k * split + j)
-                        data.append(own[order[cut[j] : cut[j + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(data, pa.binary())], ["_list", "_fps"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(k, []).append(x)
-        found = [np.zeros((0, 2), np.uint64)]
-        for k in sorted(held):
-            own = np.unique(np.frombuffer(b"".join(held.pop(k)), np.uint64))
-            found.append(_forest(own, radius, [masks[k // split]], [dense_masks(masks[k // split], radius)]))
-        pairs = _thin(np.concatenate(found)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else [], pa.int64()), pa.array(pairs.max(1) if len(pairs) else [], pa.int64())], ["a", "b"])
+            for path, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if (path, part) != now:
+                    if parts:
+                        yield settle(now[0], parts)
+                    now, parts = (path, part), []
+                parts.append(data.as_py())
+        if parts:
+            yield settle(now[0], parts)
 
-    return fps.select("_fp").mapInArrow(post, "_list bigint, _fps binary").repartition(partitions(spark), "_list").mapInArrow(meet, "a bigint, b bigint").distinct()
+    dealt = blocks.repartition(partitions(blocks.sparkSession), "_path", "_part").sortWithinPartitions("_path", "_part")
+    return dealt.select("_path", "_part", "_fps").mapInArrow(run, "a bigint, b bigint")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, depth: int | None = None) -> DataFrame:
+    """fps: distinct _fp. Pairs (a, b) whose components are those of all links.
+
+    A block holds the lists of one choice of positions whose keys hash alike. Blocks
+    that a common key makes too large are listed anew by one more position, all of
+    them, until none is left or their lists are bounded by the bits that differ.
+    """
+    rows = fps.count()
+    choices = _choices(list(range(BYTES)), BYTES - radius, depth or depth_of(rows, radius))
+    blocks, found = _post(fps, radius, ["".join(map(str, c)) for c in choices], max(1, -(-rows // BLOCK_ROWS))), []
+    while True:
+        blocks = stash(blocks)
+        sizes = blocks.groupBy("_path", "_part").agg(F.sum(F.length("_fps") / 8).cast("long").alias("_n"))
+        large = stash(sizes.where((F.col("_n") > HOT_ROWS) & ~F.contains("_path", F.lit("/"))))
+        if large.isEmpty():
+            found.append(_meet(blocks, radius))
+            break
+        found.append(_meet(blocks.join(large, ["_path", "_part"], "left_anti"), radius))
+        blocks = _post(blocks.join(large, ["_path", "_part"]), radius, None, 0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out.distinct()
 
 
 def dense_masks(mask: np.uint64, radius: int) -> list[np.uint64]:
@@ -208,7 +335,8 @@ def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null, empty and blank texts have fingerprint zero and link as any other.
     Texts of fewer than four words are one shingle. Repeated rows have the same
     fingerprint and so one component. Null ids never name a component unless it
-    has no other id. An empty table gives an empty result.
+    has no other id. Other columns are not read, whatever their names. An empty table
+    gives an empty result.
     """
     rows = classes(docs, id_col, text_col, radius)
     # written first, so that a large class meets its id in a join that can be split
@@ -217,20 +345,30 @@ def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Distinct XXH64 of all runs of STAGE_WORDS words, sorted; shorter texts are one run, blank ones none."""
+    """Distinct hashes of all runs of STAGE_WORDS words, sorted; shorter texts are one run, blank ones none."""
     words = (text or "").encode().lower().split()
-    k = min(STAGE_WORDS, len(words))
-    of = xxhash.xxh64_intdigest
-    return np.unique(np.array([of(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], np.uint64))
+    k, n = min(STAGE_WORDS, len(words)), len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    out = np.zeros(n - k + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = (out + each[j : n - k + 1 + j]) * _BASE
+    return np.unique(mix(out))
+
+
+def _minima(own: np.ndarray) -> np.ndarray:
+    """The least of a set under each of the random orders."""
+    low, out = own.astype(np.uint32), np.full(BANDS * MINIMA, np.uint32(2**32 - 1))
+    for at in range(0, len(low), 1 << 10):
+        out = np.minimum(out, (low[at : at + (1 << 10), None] * _ORDERS).min(0))
+    return out
 
 
-def _bands(own: np.ndarray) -> np.ndarray:
+def _bands(least: np.ndarray) -> np.ndarray:
     """A value a band: sets agree in one if their MINIMA minima under its orders are the same."""
-    least = np.full(BANDS * MINIMA, np.uint64(2**64 - 1))
-    for at in range(0, len(own), 1 << 12):
-        least = np.minimum(least, (own[at : at + (1 << 12), None] * _ORDERS).min(0))
-    least = least.reshape(BANDS, MINIMA)
-    out = np.zeros(BANDS, np.uint64)
+    least, out = least.astype(np.uint64).reshape(BANDS, MINIMA), np.arange(BANDS, dtype=np.uint64)
     for k in range(MINIMA):
         out = mix(out ^ least[:, k])
     return out
@@ -242,66 +380,123 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, _key (a hash of the set of shingles), _size and _bands, a row a row of docs."""
+    """doc_id, _text, _key (a hash of the set of shingles), _size, _bytes (one of each
+    minimum) and _bands, a row a row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            bands = _lists([_bands(x) if len(x) else x for x in sets])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([len(x) for x in sets], pa.int64()), bands], ["doc_id", "_text", "_key", "_size", "_bands"])
+            keys, sizes, signs, bands = [], [], [], []
+            for t in b.column(2):
+                own = shingle_set(t.as_py())
+                least = _minima(own)
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                signs.append((least & np.uint32(0xFF)).astype(np.uint8).tobytes())
+                bands.append(_bands(least) if len(own) else own)
+            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), _lists(bands)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_text", "_key", "_size", "_bytes", "_bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, _key bigint, _size bigint, _bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, _key bigint, _size bigint, _bytes binary, _bands array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_key and _set of the texts that wanted (_key, _id, _hash) names."""
+def tallied(pairs: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of keys, those that share SHARED positional bytes at least and
+    whose sizes allow the similarity."""
+    side = kinds.select("_key", "_size", "_bytes")
+    both = pairs.join(side.toDF("a", "_m", "_x"), "a").join(side.toDF("b", "_n", "_y"), "b").where(F.least("_m", "_n") >= least * F.greatest("_m", "_n") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t) for t in b.column(1).to_pylist()])], ["_key", "_set"])
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * MINIMA) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array((x == y).sum(1) >= SHARED))
 
-    keyed = docs.select(F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_same"), "text")
-    texts = keyed.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")))
-    return texts.select("_key", "text").mapInArrow(run, "_key bigint, _set array<bigint>").dropDuplicates(["_key"])
+    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of keys, those whose sets have the similarity, by their texts.
+
+    Texts travel compressed, each once to its pairs; a row a pair, none with a list of
+    other members, so a common text is a skewed join, which adaptive execution splits.
+    """
+    pairs = stash(tallied(pairs, kinds, least))
+    first = F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash")
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct().join(kinds, "_key").select("_key", *first))
+    few = wanted.count() <= BROADCAST_ROWS
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pen = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pen.compress((t.as_py() or "").encode()) for t in b.column(b.num_columns - 1)], pa.binary())], b.schema.names[:-1] + ["_zip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_same"), "text")
+    texts = texts if few else texts.mapInArrow(pack, f"_own {kind}, _same bigint, _zip binary")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")))
+    texts = texts.select("_key", "text").mapInArrow(pack, "_key bigint, _zip binary") if few else texts.select("_key", "_zip")
+    texts = stash(texts.groupBy("_key").agg(F.first("_zip").alias("_zip")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pen, held = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            keep = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if a not in held:
+                    if len(held) >= 8:
+                        held.clear()
+                    held[a] = shingle_set(pen.decompress(x.as_py()).decode())
+                other = shingle_set(pen.decompress(y.as_py()).decode())
+                n = len(np.intersect1d(held[a], other, assume_unique=True))
+                keep.append(n >= least * (len(held[a]) + len(other) - n) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.toDF("b", "_y"), "b").join(texts.toDF("a", "_x"), "a").select("a", "b", "_x", "_y")
+    return stash(both.mapInArrow(run, "a bigint, b bigint"))
+
+
+def _between(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _text and _root (the class), a row a row of docs: classes are the
     components of all pairs of a Jaccard similarity of at least ``least``.
 
-    A list holds the sets that agree in a band. All are compared with its smallest
-    key first; only those that this leaves in other components are compared with the
-    rest, unless sizes or the triangle inequality of the distance rule a pair out.
+    A list holds the sets that agree in a band. All are compared with its lead, the
+    smallest key, first. While members that have not led are in different components,
+    one of them leads for those of other components; after ROUNDS rounds, the members
+    of different components that none of them has settled are compared pair by pair.
     """
     rows = stash(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
-    kinds = stash(rows.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
-    posts = kinds.select("_key", "_size", F.posexplode("_bands").alias("p", "v"))
-    lists = stash(posts.groupBy("p", "v").agg(F.min("_key").alias("_lead"), F.count("*").alias("_of")).where("_of > 1").drop("_of"))
-    members = stash(posts.join(lists, ["p", "v"]))
-    named = members.select("_key").distinct().join(kinds, "_key").select("_key", F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
-    sets = stash(_sets(docs, named))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """(a, b) with their exact similarity."""
-        both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
-        return stash(both.select("a", "b", (F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n"))).alias("s")))
-
-    led = scored(members.where("_key <> _lead").select(F.col("_lead").alias("a"), F.col("_key").alias("b")).distinct())
-    near = led.where(F.col("s") >= least).select("a", "b")
-    roots = components(near).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
-    placed = members.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-    placed = stash(placed.join(led.toDF("_lead", "_key", "s"), ["_lead", "_key"], "left").withColumn("d", 1 - F.coalesce("s", F.lit(1.0))).drop("s"))
-    open_ = placed.groupBy("p", "v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.max(F.when(F.col("_key") == F.col("_lead"), F.col("_root"))).alias("_main")).where("_lo <> _hi").select("p", "v", "_main")
-    left = stash(placed.join(open_, ["p", "v"]).where("_key <> _lead"))
-    stray = left.where("_root <> _main").select("p", "v", *[F.col(c).alias(f"x{c}") for c in ("_key", "_root", "_size", "d")])
-    fit = (F.least("_size", "x_size") >= least * F.greatest("_size", "x_size") - 1e-9 * F.col("_size")) & (F.abs(F.col("d") - F.col("xd")) <= 1 - least + 1e-9)
-    cross = stray.join(left, ["p", "v"]).where((F.col("_root") != F.col("x_root")) & ((F.col("_root") == F.col("_main")) | (F.col("x_key") < F.col("_key"))) & fit)
-    rest = scored(cross.select(F.least("_key", "x_key").alias("a"), F.greatest("_key", "x_key").alias("b")).distinct())
-    roots = components(near.unionAll(rest.where(F.col("s") >= least).select("a", "b"))).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    kinds = stash(rows.groupBy("_key").agg(first, *[F.first(c).alias(c) for c in ("_size", "_bytes", "_bands")]))
+    posts = kinds.select("_key", F.explode("_bands").alias("v"))
+    lists = stash(posts.groupBy("v").agg(F.min("_key").alias("_lead"), F.count("*").alias("_of")).where("_of > 1"))
+    members = stash(posts.join(lists, "v"))
+
+    def classes_of(found: DataFrame) -> DataFrame:
+        return components(found).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+
+    found = verified(docs, kinds, members.where("_key <> _lead").select(F.col("_lead").alias("a"), F.col("_key").alias("b")).distinct(), least)
+    roots = classes_of(found)
+    rest = members.where("_of > 2 and _key <> _lead").select("v", "_key")
+    for at in range(ROUNDS + 1):
+        placed = rest.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+        # large components have small roots, so the largest root leads: one that few share
+        lead = F.max(F.struct("_root", F.xxhash64("_key", "v"), "_key")).alias("_l")
+        open_ = placed.groupBy("v").agg(F.min("_root").alias("_lo"), lead).where("_lo <> _l._root").select("v", F.col("_l._key").alias("_lead"), F.col("_l._root").alias("_main"))
+        placed = stash(placed.join(open_, "v"))
+        if placed.isEmpty():
+            break
+        if at < ROUNDS:
+            pairs = placed.where("_root <> _main").select(*_between("_lead", "_key"))
+            rest = placed.where("_key <> _lead").select("v", "_key")
+        else:
+            pairs = placed.alias("x").join(placed.alias("y"), "v").where("x._root <> y._root and x._key < y._key").select(F.col("x._key").alias("a"), F.col("y._key").alias("b"))
+        found = found.unionAll(verified(docs, kinds, pairs.distinct(), least))
+        roots = classes_of(found)
     return stash(rows.select("doc_id", "_text", "_key").join(roots, "_key", "left").select("doc_id", "_text", F.coalesce("_root", "_key").alias("_root")))
 
 
@@ -311,10 +506,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every class of similar(): that of the smallest doc_id, nulls last,
-    then of the smallest text hash; of rows alike in both, any one."""
+    then of the smallest text hash; of rows alike in both, any one.
+
+    Null and blank texts are one class. Columns stay as they were, whatever their
+    names; an empty table gives an empty one. Texts are not shuffled: the rows to
+    drop are looked up by id and text hash.
+    """
+    found = similar(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
-    kept = similar(docs).groupBy("_root").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
+    kept = found.groupBy("_root").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash"))
+    each = found.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.count("*").alias("_of"))
+    same = each["_id"].eqNullSafe(kept["_id"]) & (each["_hash"] == kept["_hash"])
+    gone = stash(each.join(kept, same, "left_anti").drop("_of"))
+    alike = stash(each.where("_of > 1").drop("_of"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_same"))
-    joined = rows.join(kept, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")), "left_semi")
-    one = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_same").orderBy(F.lit(0)))).where("_n = 1")
-    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+    def among(some: DataFrame, how: str, df: DataFrame) -> DataFrame:
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return df.join(some, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")), how)
+
+    rows = among(gone, "left_anti", rows)
+    if not alike.isEmpty():
+        once = among(alike, "left_semi", rows).groupBy("_key", "_same").agg(F.first("_row").alias("_row")).select("_row", "_key", "_same")
+        rows = among(alike, "left_anti", rows).unionAll(once)
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

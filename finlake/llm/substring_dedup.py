@@ -269,7 +269,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text has no words. Documents are in the order of doc_id, nulls last,
     then of a hash of their text; rows alike in both are one document and get the
     same result. Texts under 20 words keep all. An empty table gives an empty
-    result. Sequences of words are compared by 64-bit hashes.
+    result. Other columns are not read, whatever their names. Sequences of words are
+    compared by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

@@ -15,15 +15,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import free_name, read, small_batches
 
 BUCKETS, HEADS = 1 << 22, (4, 5, 6, 7)
 #: Labelled rows used for fitting, of each grade: those with the smallest hash of doc_id.
 SAMPLE, STEPS, PENALTY = 3000, 300, 6e-4
-MEMO = 500_000
+#: Different grades that labels may have, and words that a worker remembers.
+GRADES, MEMO = 100, 100_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -111,48 +112,53 @@ class Ordinal:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", sample: int = SAMPLE) -> Ordinal:
     """Fit on at most ``sample`` labelled rows of each grade.
 
-    Grades are the integers from 0; null or negative ones and null ids are left
-    out; several labels of one id count as their largest.
+    Grades are 0 and the labels above it, by rank, so that a label's size does not
+    matter; more than GRADES are an error. Null or negative labels and null ids are left
+    out; several labels of one id count as their largest. Of several rows of an id, the
+    text of the smallest hash is learned from, so the driver gets one row an id.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_y")).where("_y >= 0 and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
-    total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # one row a grade
-    grades = max(total, default=1) + 1
+    own = labels.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("long").alias("_y")).where("_y >= 0 and _id is not null")
+    known = own.groupBy("_id").agg(F.max("_y").alias("_y"))
+    total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).limit(GRADES + 1).collect()}
+    if len(total) > GRADES:
+        raise ValueError(f"more than {GRADES} different grades in {grade_col}")
+    grades = sorted({0, *total})
     if len(total) < 2:
-        return Ordinal(max(2, grades))
-    by = [known.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in sorted(total)]
-    chosen = by[0]
-    for more in by[1:]:
-        chosen = chosen.unionAll(more)
+        return Ordinal(max(2, len(grades)))
+    chosen = None
+    for k in sorted(total):
+        some = known.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        chosen = some if chosen is None else chosen.unionAll(some)
     pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most sample rows a grade
+    pairs = pairs.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [present(t or "").tobytes() for t in b.column(1).to_pylist()]
+            found = [present(t.as_py() or "").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["_id", "_y", "ids"])
 
     kind = pairs.schema["_id"].dataType.simpleString()
-    got = pairs.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y int, ids binary").toArrow().sort_by("_id").to_pydict()
-    share = np.array([total.get(k, 0) for k in range(grades)], float)
-    return Ordinal(grades).fit([np.frombuffer(x, np.uint32) for x in got["ids"]], np.array(got["_y"], int), share / share.sum())
-
-
-def _free(name: str, taken: list[str]) -> str:
-    """name, with as many underscores before it as no column of docs has."""
-    while name.lower() in [t.lower() for t in taken]:
-        name = f"_{name}"
-    return name
+    got = pairs.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y bigint, ids binary").toArrow().sort_by("_id").to_pydict()
+    share = np.array([total.get(k, 0) for k in grades], float)
+    rank = {k: r for r, k in enumerate(grades)}
+    return Ordinal(len(grades)).fit([np.frombuffer(x, np.uint32) for x in got["ids"]], np.array([rank[y] for y in got["_y"]], int), share / share.sum())
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """doc_id, severity, toxic for every row, or all columns of docs with
-    keep_columns. A text is toxic when a grade above 0 is likelier than not.
+    """doc_id, severity, toxic for every row; with keep_columns all columns of docs,
+    then _severity and _toxic. Severity counts grades by rank. A text is toxic when a
+    grade above 0 is likelier than not.
 
     Null and empty texts hold no words: the thresholds alone grade them. Repeated
-    rows are scored each. No shuffle.
+    rows are scored each; columns of like names keep their values. An empty table
+    gives an empty one. No shuffle: each column goes through Python once.
     """
     small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(dict(zip(model.ids.tolist(), model.weights.tolist())))  # as many as the sample has features
     first, spare = float(model.theta[0]), model
+    names = docs.columns if keep_columns else [id_col, text_col]
+    text = names.index(text_col)
+    kept = len(names) if keep_columns else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, memo = weights.value, {}
@@ -165,23 +171,24 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             eta = np.zeros(b.num_rows)
-            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            for k, t in enumerate(b.column(text)):
                 hits: set[int] = set()
-                for x in set((t or "").split()):
+                for x in set((t.as_py() or "").split()):
                     ids = memo.get(x)
                     if ids is None:
                         ids = learn(x)
                     if ids:
                         hits.update(ids)
                 eta[k] = sum(w[i] for i in sorted(hits))
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spare.severity(eta)), pa.array(eta > first)], [f"c{k}" for k in range(len(cols) + 2)])
+            cols = b.columns[:kept]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spare.severity(eta)), pa.array(eta > first)], [f"c{k}" for k in range(kept)] + ["severity", "toxic"])
 
-    names = docs.columns if keep_columns else [id_col]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"c{k} {renamed.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(names)))
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    kinds = ", ".join(f"c{k} {renamed.schema[f'c{k}'].dataType.simpleString()}" for k in range(kept))
     out = renamed.mapInArrow(run, f"{kinds}, severity double, toxic boolean")
-    return out.select(*[F.col(f"c{k}").alias(c if keep_columns else "doc_id") for k, c in enumerate(names)], *[F.col(x).alias(_free(f"_{x}", docs.columns) if keep_columns else x) for x in ("severity", "toxic")])
+    if not keep_columns:
+        return out.withColumnRenamed("c0", "doc_id")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *[F.col(x).alias(free_name(f"_{x}", names)) for x in ("severity", "toxic")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,5 +197,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of docs that are not toxic, with their columns as they were."""
-    return score(docs, train(docs, read(spark, sf_dir, "labels")), keep_columns=True).where(~F.col(_free("_toxic", docs.columns))).select(*[f"`{c}`" for c in docs.columns])
+    """Rows of docs that are not toxic, with their columns as they were.
+
+    Null and empty texts are graded by the thresholds alone, which toxic documents
+    being the fewer keeps them; null ids and repeated rows are judged each. An empty
+    table gives an empty one; without labels of two grades all rows stay.
+    """
+    scored = score(docs, train(docs, read(spark, sf_dir, "labels")), keep_columns=True)
+    return scored.where(~F.col(free_name("_toxic", docs.columns))).select(*[f"`{c}`" for c in docs.columns])

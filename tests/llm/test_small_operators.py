@@ -42,6 +42,22 @@ def test_special_strings_and_budget(counter):
     assert plain(counter, text[:cut]) <= 3 < plain(counter, text)
 
 
+@pytest.mark.parametrize("text", ["中文字符没有空格" * 40, "internationalisation" * 20, "don't they'll<|endoftext|>x", "eJx9" * 60, "e\u0301\u0323a\u0300ß", "...!!!'s" * 9])
+def test_prefixes_inside_a_unit(counter, text):
+    want = [plain(counter, text[:n]) for n in range(1, len(text) + 1)]
+    assert counter.inside(text) == want
+    for budget in (0, 1, 7, 20):
+        assert counter.fit(text, budget) == max((n for n, x in enumerate(want, 1) if x <= budget), default=0)
+
+
+def test_recurrence_does_not_encode_again(counter, monkeypatch):
+    text = "unbelievablyextraordinary" * 30
+    counter.inner.pop(text, None)
+    seen = []
+    monkeypatch.setattr(counter, "_plain", lambda t: seen.append(t))
+    assert len(counter.inside(text)) == len(text) and not seen
+
+
 def test_token_counts_of_whole_texts(spark, data, odd, counter):
     docs = read(spark, data, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     want = sorted((str(i), len((t or "").encode()), plain(counter, t or "")) for i, t in docs.collect())
@@ -92,6 +108,107 @@ def test_classifiers_on_odd_rows(spark, odd):
     assert quality.score(odd.where("false"), quality.Model()).count() == 0
 
 
+def test_an_id_that_repeats_is_learned_from_once(spark, docs_of, monkeypatch):
+    """Thousands of rows of one id, and a label of 10**9, reach the driver as one row and one more grade."""
+    docs = docs_of([(1, f"bad word {k}") for k in range(4000)] + [(2, "good words"), (3, "awful"), (4, None)]).withColumn("_id", F.lit(9)).withColumn("_y", F.lit(8))
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 10**9), (4, 0, 0), (5, 1, 1)], "doc_id bigint, quality int, toxic int")
+    sizes = []
+    fit = toxicity.Ordinal.fit
+    monkeypatch.setattr(toxicity.Ordinal, "fit", lambda self, rows, grade, share: sizes.append((len(rows), self.grades)) or fit(self, rows, grade, share))
+    model = toxicity.train(docs, labels)
+    assert sizes == [(4, 3)] and toxicity.score(docs, model).count() == docs.count()
+    learn = quality.Model.fit
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: sizes.append(len(bags)) or learn(self, bags, y))
+    quality.train(docs, labels)
+    assert sizes[1] <= 4
+    many = spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").alias("toxic"))
+    with pytest.raises(ValueError):
+        toxicity.train(docs, many)
+
+
+@pytest.mark.parametrize("column", ["_text", "_id", "severity", "SCORE", "held_out", "c0", "ids", "text_", "_fp", "n_tokens"])
+def test_extra_columns_with_clashing_names(spark, docs_of, column):
+    from finlake.llm import pii, simhash_dedup, substring_dedup
+
+    docs = docs_of(["one two three four five", None, "six"]).withColumn(column, F.lit("mine"))
+    assert token_counts.token_counts(docs).count() == quality.score(docs, quality.Model()).count() == 3
+    assert toxicity.score(docs, toxicity.Ordinal()).count() == simhash_dedup.dedup_components(docs).count() == 3
+    assert substring_dedup.dedup_passages(docs).count() == pii.find(docs).count() == 3
+    kept = toxicity.score(docs, toxicity.Ordinal(), keep_columns=True)
+    assert kept.columns[: len(docs.columns)] == docs.columns and {r[0] for r in kept.select(column).collect()} == {"mine"}
+
+
+def plain_ordinal(rows, grade, share, steps, penalty):
+    """The same proximal steps over a dense matrix."""
+    import numpy as np
+
+    ids = sorted({i for r in rows for i in r})
+    ids = [i for i in ids if sum(i in r for r in rows) >= 3]
+    x = np.array([[float(i in r) for i in ids] for r in rows])
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    weight = (share / np.maximum(np.bincount(grade, minlength=len(share)), 1))[grade]
+    below = np.cumsum(share)[:-1]
+    theta = np.log(below / (1 - below))
+    w, s, t = np.zeros(len(ids)), np.full(len(ids), 1e-8), np.full(len(theta), 1e-8)
+    for _ in range(steps):
+        eta, g, gt = x @ w, np.zeros(len(ids)), np.zeros(len(theta))
+        for k, y in enumerate(grade):
+            hi = sig(theta[y] - eta[k]) if y < len(theta) else 1.0
+            lo = sig(theta[y - 1] - eta[k]) if y else 0.0
+            p = max(hi - lo, 1e-12)
+            g += weight[k] * (hi * (1 - hi) - lo * (1 - lo)) / p * x[k]
+            if y < len(theta):
+                gt[y] -= weight[k] * hi * (1 - hi) / p
+            if y:
+                gt[y - 1] += weight[k] * lo * (1 - lo) / p
+        s += g * g
+        w = w - 0.5 / np.sqrt(s) * g
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 / np.sqrt(s) * penalty, 0)
+        t += gt**2
+        theta = np.maximum.accumulate(theta - 0.5 * gt / np.sqrt(t))
+    return {i: v for i, v in zip(ids, w) if v}, theta
+
+
+def test_ordinal_steps_against_a_dense_version(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [np.array(sorted(rng.choice(30, rng.integers(0, 9), replace=False)), np.uint32) for _ in range(60)]
+    grade = rng.integers(0, 3, 60)
+    share = np.array([0.7, 0.2, 0.1])
+    monkeypatch.setattr(toxicity, "STEPS", 25)
+    got = toxicity.Ordinal(3).fit(rows, grade, share)
+    want, theta = plain_ordinal([set(r.tolist()) for r in rows], grade, share, 25, toxicity.PENALTY)
+    assert dict(zip(got.ids.tolist(), got.weights.tolist())) == pytest.approx(want) and got.theta.tolist() == pytest.approx(theta.tolist())
+
+
+def test_quality_steps_against_a_plain_version(monkeypatch):
+    """One pass of gradient descent, feature by feature."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    bags = [(np.array([1, 5, 9], np.uint32), np.array([2, 1, 1], np.float32)), (np.array([5, 7], np.uint32), np.array([1, 3], np.float32)), (np.zeros(0, np.uint32), np.zeros(0, np.float32))]
+    labels = [1, 0, 1]
+    got, own = quality.Model().fit(bags, labels), quality.Model()
+    own.bias[:] = np.log(np.bincount(labels, minlength=2) / 3)
+    for step, k in enumerate(np.random.default_rng(quality.SEED).permutation(3)):
+        ids, counts = bags[k]
+        rate = quality.RATE * (1 - step / 3)
+        if not len(ids):
+            continue
+        part = counts / counts.sum()
+        hidden = sum(p * own.table[i] for p, i in zip(part, ids))
+        z = [float(hidden @ own.out[:, c] + own.bias[c]) for c in (0, 1)]
+        back = [np.exp(z[c]) / (np.exp(z[0]) + np.exp(z[1])) - (c == labels[k]) for c in (0, 1)]
+        grad = own.out @ np.array(back)
+        for c in (0, 1):
+            own.out[:, c] -= rate * hidden * back[c]
+            own.bias[c] -= 0.1 * rate * back[c]
+        for p, i in zip(part, ids):
+            own.table[i] -= rate * 20 * min(p, 0.05) * grad
+    assert np.allclose(got.table, own.table, atol=1e-5) and np.allclose(got.out, own.out, atol=1e-5) and np.allclose(got.bias, own.bias, atol=1e-5)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = read(spark, d, "labels")
@@ -140,6 +257,54 @@ def test_html_main_text():
     assert "paragraph" in html_text.main_text(bare) and "Menu" not in html_text.main_text(bare)
 
 
+MENU = "".join(f"<div><a>menu item {k:02d}</a></div>" for k in range(30))
+PLAIN = MENU.replace("<a>", "").replace("</a>", "")
+TEXT = "".join(f"<p>Paragraph {k} of some length, which is the text.</p>" for k in range(5))
+BODY = [f"Paragraph {k} of some length, which is the text." for k in range(5)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (MENU + TEXT + MENU, BODY),  # no article: the windows alone tell menus from text
+        (PLAIN + TEXT + PLAIN, BODY),
+        (f'<div class="layout-sidebar-right"><div>{MENU}</div>{TEXT}</div>', BODY),
+        (f'<div class="content has-sidebar">{TEXT}</div>', BODY),
+        (f'<div class="sidebar-page"><h1>T</h1>{TEXT}</div>', ["T", *BODY]),  # a mark on what holds the page
+        (f'<form id="aspnetForm"><h1>T</h1>{TEXT}<input></form>', ["T", *BODY]),
+        (f'<article><h1>A</h1><section id="discussion">{TEXT}</section><h2 id="market-share">Share</h2><p>x</p></article>', ["A", *BODY, "Share", "x"]),
+        (f"<article><p>A teaser card here.</p></article><div>{TEXT}</div>", ["A teaser card here.", *BODY]),  # the dense block lies outside the mark
+        (f'<p>First <span class="ad">buy <span>now</span> cheap</span> and last part.</p>{TEXT}', ["First and last part.", *BODY]),
+        (f'<div data-id="ad" data-class="nav">{TEXT}</div>', BODY),
+        (f'<article>{TEXT}</article><section class="comments">{TEXT * 5}</section>', BODY),
+        (f'<article>{TEXT}</article><div class="cookie-notice">{TEXT}</div><div role="complementary">{TEXT}</div>', BODY),
+        (f"<main><ul><li>one</li><li>two</li></ul>{TEXT}<ul><li>three</li></ul></main>{PLAIN}", ["one", "two", *BODY, "three"]),
+        ("<div><a>only</a></div><div><a>links</a></div>", ["only", "links"]),
+    ],
+)
+def test_html_surge_and_dive(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+def test_html_bounds_against_a_plain_version():
+    rng = random.Random(7)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 0, 3, 8, 30, 200]) for _ in range(rng.randint(0, 30))]
+        sums = [sum(w[j] for j in range(len(w)) if abs(j - k) <= html_text.WINDOW) for k in range(len(w))]
+        if not any(w):
+            assert html_text.bounds(w) is None
+            continue
+        good = [k for k in range(len(w)) if w[k] >= min(html_text.EDGE, max(w)) and sums[k] >= min(html_text.SURGE, max(sums))]
+        assert html_text.bounds(w) == ((good[0], good[-1]) if good else None)
+
+
+def test_html_windows_cut_lines_on_every_page(spark, data):
+    for p in read(spark, data, "pages").collect():
+        weights = [x.weight for x in html_text.lines(p.html)]
+        first, last = html_text.bounds(weights)
+        assert first > 0 and last < len(weights) - 1
+
+
 def test_html_pages(spark, data):
     pages = read(spark, data, "pages")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
