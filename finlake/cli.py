@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
 
     tables = ("--tables", {"type": _names})
     once = [("--once", {"action": "store_true"}), ("--bus", {"required": True, "help": "folder, or kafka:HOST:PORT"}), ("--checkpoints", {"required": True}), ("--starting-offsets", {"default": "earliest"})]
-    command("ingest", ("--landing", {"required": True}), ("--datasets", {"type": _names}), ("--batch-size", {"type": int, "default": landing.CHUNK}), ("--archive", {}), ("--archive-after", {"type": float, "default": landing.GRACE_MINUTES}), ("--no-archive", {"action": "store_true"}))
+    command("ingest", ("--landing", {"required": True}), ("--datasets", {"type": _names}), ("--batch-size", {"type": int, "default": landing.CHUNK}), ("--archive", {}), ("--archive-after", {"type": float, "default": landing.GRACE_MINUTES}), ("--no-archive", {"action": "store_true"}), ("--bus", {"help": "where files that no rule routes are reported"}))
     for name in ("silver", "gold"):
         command(name, tables, ("--window-days", {"type": int, "default": silver.WINDOW_DAYS}))
     command("regulatory", ("--report-date", {"type": date.fromisoformat, "required": True}))
@@ -49,11 +49,13 @@ def main(argv: list[str] | None = None) -> int:
     store = TableStore(spark, a.warehouse)
     bus = None
     if getattr(a, "bus", None):
-        bus = KafkaBus(spark, a.bus[6:], a.starting_offsets) if a.bus.startswith("kafka:") else FileBus(spark, a.bus)
+        bus = KafkaBus(spark, a.bus[6:], getattr(a, "starting_offsets", "earliest")) if a.bus.startswith("kafka:") else FileBus(spark, a.bus)
     if a.command == "ingest":
         done = ingest.run(spark, store, a.landing, a.datasets, a.countries, a.batch_size, None if a.no_archive else a.archive, a.archive_after)
         for o in done:
             print(o)
+        if bus:
+            print(landing.publish_rejects(spark, bus, a.landing), "files that no rule routes")
         return int(any(o.error for o in done))
     if a.command in ("silver", "gold"):
         plan = silver if a.command == "silver" else gold

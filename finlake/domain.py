@@ -17,13 +17,14 @@ RATES = {"XOF": 655.957, "GHS": float(os.environ.get("FINLAKE_GHS_PER_EUR") or 1
 # fixed values: amounts by currency from which a transfer is declared, or counts for a burst
 AML_THRESHOLD = {"XOF": 1_000_000.0, "GHS": 5_000.0}
 BURST_AMOUNT = {"XOF": 500_000.0, "GHS": 2_500.0}
+# fixed values: minutes and transfers of a burst, times the yearly premium, and the ratios of the indicators
 BURST_MINUTES, BURST_COUNT = 5, 3
 CLAIM_RATIO = 3.0
 NPL_CEILING, NPL_DAYS, LOSS_RATIO_ALERT = 0.05, 90, 0.70
 MAX_FEE_RATIO, OVERPAID = 0.05, 1.01
 LIQUIDITY_RATIO = float(os.environ.get("FINLAKE_LIQUIDITY_RATIO") or 0.02)
 
-# fixed values: codes that a column may hold
+# fixed values: codes that a column may hold; the first mobile operator is the house's own, and a setting
 CODES = {
     "segment": ("RETAIL", "SME", "CORPORATE", "PREMIUM"),
     "kyc_level": ("BASIC", "STANDARD", "ENHANCED"),
@@ -37,12 +38,14 @@ CODES = {
     "product_line": ("VIE", "IARD_AUTO", "IARD_HABITATION", "IARD_SANTE", "PREVOYANCE"),
     "claim_status": ("PENDING", "APPROVED", "REJECTED", "PAID"),
     "payment_type": ("P2P", "MERCHANT_PAYMENT", "BILL_PAYMENT", "AIRTIME", "CROSS_BORDER_TRANSFER"),
+    "mobile_operator": tuple(x for x in (os.environ.get("FINLAKE_MOBILE_OPERATORS") or "HOUSE_PAY,ORANGE_MONEY_PARTNER,MTN_PARTNER").split(",") if x),
     "mobile_status": ("SUCCESS", "FAILED", "PENDING"),
     "loan_type": ("CONSUMER", "MORTGAGE", "SME", "AGRICULTURAL", "MICROCREDIT"),
     "repayment_status": ("ON_TIME", "LATE", "DEFAULT"),
     "entity_type": tuple(PRESENCE),
     "currency": tuple(RATES),
 }
+# fixed values: groups of codes
 WIRES = ("TRANSFER", "INTERNATIONAL_WIRE")
 OUTFLOWS = ("WITHDRAWAL", "PAYMENT")
 CLAIMS = ("CLAIM_SUBMISSION", "CLAIM_PAYMENT")

@@ -18,6 +18,32 @@ def deduplicate(df: DataFrame, key: str, order: list[str], keep: str = "earliest
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+#: Hash buckets in which rows are numbered or summed up, so that no task holds all of them.
+BUCKETS = 64
+
+
+def numbered(df: DataFrame, name: str, by: Column) -> DataFrame:
+    """df with ``name``, a number from 0 in the order of a hash of ``by``: rows are
+    numbered within hash buckets, after those of the buckets before."""
+    rows = df.withColumn("_hash", F.xxhash64(by)).withColumn("_bucket", F.shiftrightunsigned("_hash", 58).cast("int"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("_bucket").count().collect()}  # a row a bucket
+    before = F.array(*[F.lit(sum(sizes.get(b, 0) for b in range(k))).cast("long") for k in range(BUCKETS)])
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", by)) - 1
+    return rows.withColumn(name, before[F.col("_bucket")] + place).drop("_hash", "_bucket")
+
+
+def running_share(df: DataFrame, name: str, group: str, by: Column, amount: Column) -> DataFrame:
+    """df with ``name``, the share of its group's amount that rows have up to and with
+    this one, in the order of a hash of ``by``; summed in hash buckets first."""
+    rows = df.withColumns({"_hash": F.xxhash64(by), "_amount": amount}).withColumn("_bucket", F.shiftrightunsigned("_hash", 58).cast("int"))
+    sums = rows.groupBy(group, "_bucket").agg(F.sum("_amount").alias("_sum"))
+    w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    sums = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias("_total"))
+    inside = F.sum("_amount").over(Window.partitionBy(group, "_bucket").orderBy("_hash", by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.join(sums, [group, "_bucket"]).withColumn(name, F.try_divide(F.col("_before") + inside, F.col("_total")))
+    return out.drop("_hash", "_amount", "_bucket", "_before", "_total")
+
+
 def within_countries(df: DataFrame, countries: list[str] | None, column: str = "country_code") -> DataFrame:
     """Rows of the given countries; all rows if none are given."""
     return df.where(F.col(column).isin(*countries)) if countries else df

@@ -22,8 +22,6 @@ def rejection_reason(spec: DatasetSpec, corrupt: Column | None = None, corrupt_r
     rules += [(c(n).isNotNull() & parse(c(n), t).isNull(), f"{n} non convertible en {t.upper()}") for n, t in spec.types.items() if t != "string"]
     rules.append((~c("country_code").isin(*domain.COUNTRIES), "country_code hors périmètre"))
     rules += [(~c(n).isin(*domain.CODES[v]), f"{n} hors nomenclature") for n, v in spec.codes.items()]
-    if "operator" in spec.columns:  # the house brand, or a partner
-        rules.append((~c("operator").rlike("^([A-Z]+_PAY|ORANGE_MONEY_PARTNER|MTN_PARTNER)$"), "operator hors nomenclature"))
     if "currency" in spec.columns:
         rules.append((c("currency") != domain.lookup(domain.CURRENCY, c("country_code")), "devise incohérente avec le pays"))
     home = F.coalesce(*[F.when(c("entity_type") == e, F.array(*map(F.lit, where))) for e, where in domain.PRESENCE.items()])

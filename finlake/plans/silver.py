@@ -40,6 +40,12 @@ class Dimension:
     at: str
     columns: dict[str, str]
 
+    def join(self, rows: DataFrame, read) -> DataFrame:
+        """rows with the columns of the referential, reduced to a row a key first; read(table) gives it."""
+        side = core.deduplicate(read(self.table).select(self.key, *self.columns), self.key, [self.key])
+        side = side.select(c(self.key).alias("_join"), *[c(a).alias(b) for a, b in self.columns.items()])
+        return rows.join(side, c(self.at) == c("_join"), "left").drop("_join")
+
 
 @dataclass(frozen=True)
 class SilverTable:
@@ -52,14 +58,22 @@ class SilverTable:
     def spec(self):
         return SPECS[self.dataset]
 
+    @property
+    def day(self) -> str | None:
+        """The column of an event's day, by which the table is partitioned beside the country."""
+        names = [x[0] for x in self.columns() if not isinstance(x, str)]
+        return next((n for n in ("transaction_date", "operation_date", "repayment_date", "payment_date") if n in names), None)
+
+    @property
+    def partitioning(self) -> list[str]:
+        return ["country_code", *([self.day] if self.day else [])]
+
     def build(self, source: DataFrame, read, as_of: date | None = None, keep: str = "earliest") -> DataFrame:
         """read(table) gives a raw referential; each is reduced to a row a key first."""
         order = [self.spec.key] if self.spec.is_referential else [INGESTED, SOURCE_FILE]
         rows = core.deduplicate(source, self.spec.key, order, keep)
         for d in self.dimensions:
-            side = core.deduplicate(read(d.table).select(d.key, *d.columns), d.key, [d.key])
-            side = side.select(c(d.key).alias("_join"), *[c(a).alias(b) for a, b in d.columns.items()])
-            rows = rows.join(side, c(d.at) == c("_join"), "left").drop("_join")
+            rows = d.join(rows, read)
         rows = rows.withColumn("_today", F.lit(as_of).cast("date") if as_of else F.current_date())
         return rows.select(*[c(x) if isinstance(x, str) else x[1].alias(x[0]) for x in self.columns()], F.current_timestamp().alias("processed_at"))
 
@@ -145,7 +159,7 @@ def run(spark: SparkSession, store: TableStore, tables=None, countries=None, win
                 odd = F.coalesce(*[c(f) for f in OUTLIERS if f in rows.columns], F.lit(False))
                 written, outliers = rows.agg(F.count("*"), F.count_if(odd)).first()
                 read = source.count()
-                done = store.merge("silver", name, rows, [table.spec.key, "country_code"], ["country_code"])
+                done = store.merge("silver", name, rows, [table.spec.key, "country_code"], table.partitioning)
             finally:
                 rows.unpersist()
             out[name] = {"rows_in": read, "rows_out": written, "duplicates": read - written, "outliers": outliers, "added": done["added"]}

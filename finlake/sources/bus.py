@@ -2,8 +2,10 @@
 
 A folder holds one sub-folder a topic and in it files that are written once. The
 envelope is (topic, partition, offset, kafka_key, kafka_timestamp, payload). A
-batch publishes under a name of its own, so a repeated batch replaces its files
-and adds no message.
+batch publishes under a name of its own: a repeated batch replaces its files, so a
+later reader finds each message once. The new files have new names, so a stream that
+runs meanwhile reads them as new messages, as a broker would deliver them again;
+keyed merges and deduplication by key absorb that.
 """
 
 from __future__ import annotations
@@ -15,18 +17,28 @@ ENVELOPE = "topic string, partition int, offset bigint, kafka_key string, kafka_
 MAX_PER_TRIGGER = 20_000
 
 
+def messages(df: DataFrame, key: str | None, headers: DataFrame | None = None) -> DataFrame:
+    """(kafka_key, payload) of rows: the key column, and all columns as JSON; with headers, which name the key, also these."""
+    key_col = F.col(f"`{key}`").cast("string") if key else F.lit(None).cast("string")
+    out = df.select(key_col.alias("kafka_key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("payload"))
+    return out if headers is None else out.join(headers.withColumnRenamed(key, "kafka_key"), "kafka_key", "left")
+
+
 class FileBus:
     def __init__(self, spark: SparkSession, root: str, max_files: int = 50):
         self.spark, self.root, self.max_files = spark, root.rstrip("/"), max_files
 
-    def publish(self, df: DataFrame, topic: str, key: str | None = None, batch: str = "0") -> None:
-        """Rows as messages: key column, to_json of all columns."""
-        key_col = F.col(key).cast("string") if key else F.lit(None).cast("string")
-        self.send(df.select(key_col.alias("kafka_key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("payload")), topic, batch)
+    def publish(self, df: DataFrame, topic: str, key: str | None = None, batch: str = "0", headers: DataFrame | None = None) -> None:
+        """Rows as messages: key column, to_json of all columns. headers: (key, headers) by key."""
+        self.send(messages(df, key, headers), topic, batch)
 
     def send(self, messages: DataFrame, topic: str, batch: str = "0") -> None:
-        """(kafka_key, payload) as they are."""
-        out = messages.select(F.lit(topic).alias("topic"), F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("offset"), "kafka_key", F.current_timestamp().alias("kafka_timestamp"), "payload")
+        """(kafka_key, payload) and, where there are any, headers, as they are."""
+        more = ["headers"] if "headers" in messages.columns else []
+        out = messages.select(
+            F.lit(topic).alias("topic"), F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("offset"), "kafka_key",
+            F.current_timestamp().alias("kafka_timestamp"), "payload", *more,
+        )
         out.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{self.root}/{topic}/batch={batch}")
 
     def _ready(self, topics: list[str]) -> list[str]:
@@ -77,11 +89,12 @@ class KafkaBus:
         return self._envelope(self.spark.read.format("kafka").options(**self._options([topic])).load())
 
     values = FileBus.values
-
-    def publish(self, df: DataFrame, topic: str, key: str | None = None, batch: str = "0") -> None:
-        key_col = F.col(key).cast("string") if key else F.lit(None).cast("string")
-        self.send(df.select(key_col.alias("kafka_key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("payload")), topic, batch)
+    publish = FileBus.publish
 
     def send(self, messages: DataFrame, topic: str, batch: str = "0") -> None:
-        out = messages.selectExpr("kafka_key as key", "payload as value")
-        out.write.format("kafka").option("kafka.bootstrap.servers", self.servers).option("topic", topic).save()
+        more = ["headers"] if "headers" in messages.columns else []
+        out = messages.selectExpr("kafka_key as key", "payload as value", *more)
+        out.write.format("kafka").options(**self._target(topic)).save()
+
+    def _target(self, topic: str) -> dict[str, str]:
+        return {"kafka.bootstrap.servers": self.servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true"}

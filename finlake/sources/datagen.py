@@ -20,7 +20,8 @@ from .specs import SPECS
 
 c = F.col
 START, DAYS = "2026-01-01 00:00:00", 90
-NPL_TARGET, LOSS_TARGET = 0.05, 0.65
+# fixed values: the ranges in which the indicators of the data lie
+NPL_RANGE, LOSS_RANGE, NPL_MARGIN = (0.03, 0.08), (0.50, 0.85), 0.005
 
 
 def uniform(seed: int, name: str, row: str = "id") -> Column:
@@ -63,6 +64,21 @@ def _scale() -> Column:
     return F.when(c("currency") == "GHS", 0.01).otherwise(1.0)
 
 
+def _of_name(name: Column, low: float, high: float) -> Column:
+    """A number of the range that depends on a name alone."""
+    return F.lit(low) + (F.pmod(F.xxhash64(F.lit("target"), name), F.lit(1 << 20)) + 0.5) / float(1 << 20) * (high - low)
+
+
+def npl_target(country: Column) -> Column:
+    """Share of bad loans that a country's balances have: its own, and stable."""
+    return _of_name(country, NPL_RANGE[0] + NPL_MARGIN, NPL_RANGE[1] - NPL_MARGIN)
+
+
+def loss_target(country: Column, line: Column) -> Column:
+    """Claims over premiums of a country and line."""
+    return _of_name(F.concat(country, F.lit(":"), line), *LOSS_RANGE)
+
+
 def customers(spark: SparkSession, n: int, seed: int) -> DataFrame:
     df = spark.range(1, n + 1).withColumn("country_code", _home(seed)).withColumn("entity_type", _entity(seed))
     return df.select(
@@ -77,10 +93,9 @@ def accounts(clients: DataFrame, n: int, seed: int) -> DataFrame:
     df = spark.range(1, n + 1).withColumn("_owner", (c("id") - 1) % total + 1).join(clients.select(c("id").alias("_owner"), "customer_id", "country_code", "entity_type"), "_owner")
     kind = F.when(c("entity_type") == "INSURANCE", "INSURANCE_POLICY").when(c("entity_type") == "MOBILE_MONEY", "MOBILE_WALLET").otherwise(choice(seed, "kind", ("CURRENT", "SAVINGS", "LOAN")))
     df = df.withColumn("account_type", kind).withColumn("currency", domain.lookup(domain.CURRENCY, c("country_code"))).withColumn("balance", F.round(lognormal(seed, "balance", 400_000, 1.0) * _scale(), 2))
-    order = Window.partitionBy("country_code").orderBy(F.xxhash64(F.lit(seed), "id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loan = F.when(c("account_type") == "LOAN", c("balance")).otherwise(0.0)
-    share = F.try_divide(F.sum(loan).over(order), F.sum(loan).over(Window.partitionBy("country_code")))
-    overdue = F.when(share <= NPL_TARGET, 91 + F.floor(uniform(seed, "late") * 200)).otherwise(F.floor(uniform(seed, "late") * 90)).cast("int")
+    df = core.running_share(df, "_share", "country_code", F.xxhash64(F.lit(seed), "id"), loan)
+    overdue = F.when(c("_share") <= npl_target(c("country_code")), 91 + F.floor(uniform(seed, "late") * 200)).otherwise(F.floor(uniform(seed, "late") * 90)).cast("int")
     number = F.lpad(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10**12)).cast("string"), 12, "0")
     return df.withColumn("_n", number).select(
         _identifier("A", 7).alias("account_id"), "customer_id", "country_code", "entity_type", "account_type", c("_n").alias("account_number"), F.when(c("country_code") != "GH", F.concat("country_code", F.lit("93"), "_n", F.lpad(c("id").cast("string"), 8, "0"))).alias("iban"),
@@ -101,7 +116,7 @@ def products(spark: SparkSession, seed: int, n: int = 50) -> DataFrame:
 
 def _flow(accounts_: DataFrame, n: int, seed: int, tag: str, kinds: tuple[str, ...]) -> DataFrame:
     """n rows over the accounts of some types, in turn by hash."""
-    own = accounts_.where(c("account_type").isin(*kinds)).withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(tag), "account_id"))) - 1)  # fixtures are small
+    own = core.numbered(accounts_.where(c("account_type").isin(*kinds)), "_k", F.concat(F.lit(tag), c("account_id")))
     total = own.count()
     if not total:
         return own.where("false").withColumn("timestamp", F.lit(None).cast("timestamp"))
@@ -128,7 +143,7 @@ def insurance(accounts_: DataFrame, n: int, seed: int) -> DataFrame:
     rows = rows.withColumn("_raw", F.round(c("annual_premium") / 12 * (0.8 + 0.4 * uniform(seed, "part")), 2))
     w, claim = Window.partitionBy("country_code", "product_line"), c("operation_type") == "CLAIM_PAYMENT"
     total = lambda cond: F.sum(F.when(cond, c("_raw")).otherwise(0.0)).over(w)
-    factor = F.try_divide(F.lit(LOSS_TARGET) * total(~claim), total(claim))
+    factor = F.try_divide(loss_target(c("country_code"), c("product_line")) * total(~claim), total(claim))
     return rows.withColumn("_f", factor).select(
         c("_uuid").alias("operation_id"), "timestamp", "customer_id", "account_id", "country_code", "operation_type", "product_line", F.when(claim, c("_raw") * c("_f")).otherwise(c("_raw")).alias("amount"), "currency",
         F.when(claim, F.lit("PAID")).alias("claim_status"), F.when(claim, F.floor(uniform(seed, "delay") * 60).cast("int")).alias("processing_days"), "entity_type",
@@ -141,7 +156,7 @@ def mobile(accounts_: DataFrame, n: int, seed: int) -> DataFrame:
     rows = rows.withColumn("_to", F.floor(uniform(seed, "peer") * accounts_.count()).cast("long") + 1).join(peer, "_to")
     return rows.withColumn("amount", F.round(lognormal(seed, "mobile", 15_000, 0.8) * _scale(), 2)).select(
         c("_uuid").alias("payment_id"), "timestamp", c("customer_id").alias("sender_id"), "receiver_id", c("country_code").alias("sender_country"), "receiver_country", "amount", "currency",
-        choice(seed, "pay", domain.CODES["payment_type"]).alias("payment_type"), F.lit("MTN_PARTNER").alias("operator"), F.when(uniform(seed, "ok") < 0.96, "SUCCESS").otherwise("FAILED").alias("status"), F.round(c("amount") * 0.005, 2).alias("fee_amount"), "entity_type", "country_code",
+        choice(seed, "pay", domain.CODES["payment_type"]).alias("payment_type"), choice(seed, "operator", domain.CODES["mobile_operator"]).alias("operator"), F.when(uniform(seed, "ok") < 0.96, "SUCCESS").otherwise("FAILED").alias("status"), F.round(c("amount") * 0.005, 2).alias("fee_amount"), "entity_type", "country_code",
     )
 
 
@@ -263,3 +278,45 @@ def conformance(data: dict[str, DataFrame]) -> dict[str, int]:
     out["iban_in_ghana"] = ac.where("country_code = 'GH' and iban is not null").count()
     out["premium_off_policy"] = ac.where("(account_type = 'INSURANCE_POLICY') <> (annual_premium is not null)").count()
     return out
+
+
+_FILE = r"^([a-z_]+)_([A-Z]{2})_([0-9]{8})_([0-9]{2})\.csv$"
+
+
+def deposited(spark: SparkSession, root: str) -> dict[str, int]:
+    """Violations by check in the files of a landing area, read again as text, so that
+    an account number keeps its zeros; all are 0 for a sound deposit with anomalies."""
+    from . import landing
+
+    found = landing.discover(spark, root)
+    read = {n: spark.read.options(header=True, inferSchema=False).csv([f.path for f in files]) for n, files in found.items()}
+    out = {"referentials_missing": sum(n not in read for n, s in SPECS.items() if s.is_referential)}
+    names = [(f.path.split("/")[-3:], n) for n, files in found.items() if not SPECS[n].is_referential for f in files]
+    out["flow_files_missing"] = int(not names)
+    out["names_off_pattern"] = sum(not (m := re.match(_FILE, p[-1])) or m[1] != n for p, n in names)
+    out["files_in_other_countries"] = sum((m := re.match(_FILE, p[-1])) is not None and m[2] != p[-3] for p, _ in names)
+    if out["referentials_missing"]:
+        return out
+    numbers = read["accounts"].where("account_number is not null")
+    out["account_numbers_cut"] = numbers.where(F.length("account_number") != 12).count()
+    universe = {"account_id": ("accounts", "account_id"), "beneficiary_account": ("accounts", "account_id"), "loan_account_id": ("accounts", "account_id"), "branch_id": ("branches", "branch_id")}
+    universe |= {k: ("customers", "customer_id") for k in ("customer_id", "sender_id", "receiver_id")}
+    for n, df in read.items():
+        spec = SPECS[n]
+        out[f"{n}_key_repeated"] = df.groupBy(spec.key).count().where("count > 1").count()
+        for k, (table, key) in universe.items():
+            if k in df.columns and k != spec.key:
+                out[f"{n}_{k}_orphans"] = core.orphans(df.where(c(k).isNotNull()), read[table], k, key).count()
+        if {"currency", "country_code"} <= set(df.columns):
+            out[f"{n}_currency_of_country"] = df.where(c("currency") != domain.lookup(domain.CURRENCY, c("country_code"))).count()
+        home = F.coalesce(*[F.when(c("entity_type") == e, c("country_code").isin(*w)) for e, w in domain.PRESENCE.items()])
+        out[f"{n}_entity_of_country"] = df.where(~home).count()
+    typed = {n: df.withColumns({k: c(k).try_cast("double") for k in ("amount", "annual_premium") if k in df.columns}) for n, df in read.items()}
+    if "bank_txn" in typed:
+        moves = typed["bank_txn"].withColumn("timestamp", c("timestamp").try_cast("timestamp"))
+        out["no_bursts"], out["no_declarations"] = int(find_bursts(moves).isEmpty()), int(find_aml(moves).isEmpty())
+    if "mobile_money" in typed:
+        out["no_foreign_payments"] = int(find_foreign(typed["mobile_money"], typed["customers"]).isEmpty())
+    if "insurance_ops" in typed:
+        out["no_excessive_claims"] = int(find_claims(typed["insurance_ops"], typed["accounts"]).isEmpty())
+    return out

@@ -99,6 +99,23 @@ def scan(spark: SparkSession, spec: DatasetSpec, paths: list[str]) -> DataFrame:
     return reader.schema(spec.text_schema).csv(paths).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.current_timestamp().alias(INGESTED))
 
 
+def settled(spark: SparkSession, root: str, pending: str, min_age: float = 5.0, now: float | None = None) -> int:
+    """Move files below ``pending`` that are at least min_age seconds old to the same place
+    below root, where the stream lists them: a file that is still being written waits.
+    How many were moved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    P = jvm.org.apache.hadoop.fs.Path
+    fs = P(pending).getFileSystem(conf)
+    base = fs.makeQualified(P(pending)).toString().rstrip("/")
+    done = 0
+    for files in discover(spark, pending).values():
+        for f in aged(files, min_age / 60, now):
+            target = P(root.rstrip("/") + "/" + f.path.removeprefix(base).lstrip("/"))
+            fs.mkdirs(target.getParent())
+            done += bool(fs.rename(P(f.path), target))
+    return done
+
+
 def stream_events(spark: SparkSession, spec: DatasetSpec, root: str, max_files: int = 100, max_age: str = "7d") -> DataFrame:
     """A stream of (topic, kafka_key, payload) from CSV files that arrive below
     root/<country>/<dataset>/: every row as a JSON event with its lineage."""
@@ -110,13 +127,32 @@ def stream_events(spark: SparkSession, spec: DatasetSpec, root: str, max_files:
 
 
 def file_rejects(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root that no rule routes, as dead letters that hold the file as it is."""
+    """Files below root that no rule routes, as dead letters: the envelope's columns, the
+    file's bytes as base64, and the reason and the path as headers of the message."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
     folder, name = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
-    known = name.rlike(r"(?i)\.csv$") & ((folder == "referentials") & name.isin(*[f"{n}.csv" for n, s in SPECS.items() if s.is_referential]) | topic_of(F.col("path")).isNotNull())
+    referential = (folder == "referentials") & name.isin(*[f"{n}.csv" for n, s in SPECS.items() if s.is_referential])
+    known = name.rlike(r"(?i)\.csv$") & (referential | topic_of(F.col("path")).isNotNull())
+    reason = F.lit("chemin non reconnu")
+    header = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value"))
     none = F.lit(None)
     return files.where(~F.coalesce(known, F.lit(False))).select(
-        none.cast("string").alias("dataset"), none.cast("string").alias("source_topic"), none.cast("int").alias("source_partition"), none.cast("bigint").alias("source_offset"), F.col("modificationTime").alias("received_at"),
-        F.lit("chemin non reconnu").alias("rejection_reason"), F.col("path").alias("source_file"), F.lit("landing").alias("stage"), F.col("content").cast("string").alias("original_message"),
+        none.cast("string").alias("dataset"), none.cast("string").alias("source_topic"), none.cast("int").alias("source_partition"), none.cast("bigint").alias("source_offset"),
+        F.col("modificationTime").alias("received_at"), reason.alias("rejection_reason"), F.col("path").alias("source_file"), F.lit("landing").alias("stage"),
+        F.base64("content").alias("original_message"), F.array(header("reason", reason), header("path", F.col("path"))).alias("headers"),
     )
+
+
+def publish_rejects(spark: SparkSession, bus, root: str, topic: str = domain.DLQ_TOPIC) -> int:
+    """Send the files that no rule routes to the dead-letter topic, under the name of
+    their paths and times, so that the same files again add nothing to a folder bus.
+    How many there were."""
+    lost = file_rejects(spark, root).persist()
+    try:
+        n, mark = lost.agg(F.count("*"), F.sum(F.xxhash64("source_file", "received_at").cast("decimal(20,0)"))).first()
+        if n:
+            bus.publish(lost.drop("headers"), topic, "source_file", f"landing-{mark}", headers=lost.select("source_file", "headers"))
+        return n
+    finally:
+        lost.unpersist()

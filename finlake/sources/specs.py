@@ -76,7 +76,7 @@ SPECS = {
         DatasetSpec(
             "mobile_money", "mobile_money_payments", "payment_id",
             {"payment_id": "string*", "timestamp": "timestamp*", "sender_id": "string*", "receiver_id": "string*", "sender_country": "string*", "receiver_country": "string*", "amount": "double", "currency": "string", "payment_type": "string", "operator": "string", "status": "string", "fee_amount": "double", "entity_type": "string*", "country_code": "string*"},
-            {"entity_type": "entity_type", "currency": "currency", "payment_type": "payment_type", "status": "mobile_status"}, "timestamp", ("amount", "fee_amount"),
+            {"entity_type": "entity_type", "currency": "currency", "payment_type": "payment_type", "operator": "mobile_operator", "status": "mobile_status"}, "timestamp", ("amount", "fee_amount"),
         ),
         DatasetSpec(
             "loan_repayments", "loan_repayments", "repayment_id",

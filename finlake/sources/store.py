@@ -5,8 +5,11 @@ adds or rewrites, then a log entry root/<zone>/<table>/_log/<n>.json that names
 partition folders of the version, of this commit and earlier ones. The entry comes
 last, by a rename, so a reader sees all of a commit or none. An append or an
 insert-only merge writes its new rows alone; an upsert rewrites the partitions that
-its source touches. All file work goes through Hadoop's FileSystem, so root may be
-any store that Spark reads.
+its source touches. A merge's source is computed once: it is written first, and the
+check for repeated keys, the partitions and the merge read what was written. Rows are
+dealt to writers by the partition columns, and adaptive execution splits a large
+partition among several. All file work goes through Hadoop's FileSystem, so root may
+be any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import json
 import threading
 import time
+import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
 
@@ -28,6 +32,11 @@ _GUARD = threading.Lock()
 _COMMIT, _NULL = "finlake_commit", "__HIVE_DEFAULT_PARTITION__"
 
 
+def _place():
+    """The folder of a row's file, from the commit's on."""
+    return F.regexp_extract("_metadata.file_path", rf"({_COMMIT}=.*)/[^/]*$", 1)
+
+
 class DuplicateKeys(ValueError):
     """The source of a merge holds a key more than once."""
 
@@ -83,13 +92,15 @@ class TableStore:
     def tables(self, zone: str) -> list[str]:
         return sorted(i.getPath().getName() for i in self._list(f"{self.root}/{zone}") if i.isDirectory())
 
-    def _frame(self, zone: str, table: str, entry: dict, parts: list[dict]) -> DataFrame:
+    def _frame(self, zone: str, table: str, entry: dict, parts: list[dict], folder: bool = False) -> DataFrame:
+        """Rows of the parts; with folder also _folder, the part that holds a row."""
         schema = StructType.fromJson(json.loads(entry["schema"]))
         if not parts:
             return self.spark.createDataFrame([], schema)
         top = self.path(zone, table)
         reader = self.spark.read.schema(StructType([*schema.fields, StructField(_COMMIT, StringType())])).option("basePath", top)
-        return reader.parquet(*[f"{top}/{p['path']}" for p in parts]).select(*[F.col(f"`{n}`") for n in schema.names])
+        more = [_place().alias("_folder")] if folder else []
+        return reader.parquet(*[f"{top}/{p['path']}" for p in parts]).select(*[F.col(f"`{n}`") for n in schema.names], *more)
 
     def read(self, zone: str, table: str) -> DataFrame:
         """The current version; schema and folders come from the log."""
@@ -116,15 +127,19 @@ class TableStore:
         return self.spark.createDataFrame([(k, *v) for k, v in out.items()], "partition string, file_count bigint, record_count bigint")
 
     # commits
-    def _commit(self, zone: str, table: str, df: DataFrame | None, by: Iterable[str], operation: str, kept: list[dict], schema: StructType | None = None) -> dict:
-        """A version of the kept folders and of df's rows."""
+    def _commit(
+        self, zone: str, table: str, df: DataFrame | None, by: Iterable[str], operation: str, kept: list[dict], schema: StructType | None = None, dealt: bool = False
+    ) -> dict:
+        """A version of the kept folders and of df's rows. Unless they are dealt to
+        writers already, rows of a partition meet, and adaptive execution splits a
+        large partition among several writers."""
         now = self.current(zone, table)
         version, top = (now["version"] + 1 if now else 1), self.path(zone, table)
         schema = schema or df.schema
         by, new = [c for c in by if c in schema.names], []
         if df is not None:
             name = f"{_COMMIT}={version:010d}"
-            writer = (df.repartition(*by) if by else df).write.mode("overwrite").option("compression", "zstd")  # one writer a partition value
+            writer = (df.hint("rebalance", *by) if by and not dealt else df).write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(*by) if by else writer).parquet(f"{top}/{name}")
             todo = [name]
             while todo:
@@ -135,7 +150,7 @@ class TableStore:
                 if files:
                     new.append({"path": folder, "files": len(files), "bytes": sum(b for _, b in files), "rows": 0})
             if new:
-                place = F.regexp_extract("_metadata.file_path", rf"({_COMMIT}=.*)/[^/]*$", 1).alias("p")
+                place = _place().alias("p")
                 found = self.spark.read.option("basePath", top).parquet(*[f"{top}/{p['path']}" for p in new]).groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
                 count = {k: r.n for r in found for k in (r.p, unquote(r.p))}
                 for p in new:
@@ -214,47 +229,81 @@ class TableStore:
     def merge(self, zone: str, table: str, source: DataFrame, keys: list[str], by: Iterable[str] = (), mode: str = "upsert") -> dict:
         """insert_only: rows of new keys; upsert: also replace rows of known keys;
         replace_partitions: the source's partitions become what the source says.
-        Keys match null-safely; a key twice in the source is an error. Only
-        partitions that can hold a key of the source are read, by those partition
-        columns that are keys; an upsert rewrites these, insert_only adds files."""
+        Keys match null-safely; a key twice in the source is an error. Partitions
+        that cannot hold a key of the source, by those partition columns that are keys,
+        are not read. insert_only adds files; an upsert adds them too, and rewrites only
+        the folders in which a scan of the key columns has found a key of the source."""
         with self.lock(zone, table):
-            twice = source.groupBy(*keys).count().where("count > 1").limit(1).count()
-            if twice:
-                raise DuplicateKeys(f"{zone}.{table}: the source repeats a key of {keys}")
             now = self.current(zone, table)
-            if now is None:
-                return self._commit(zone, table, source, by, mode, [])
-            by = now["partitioned_by"]
-            schema, _ = self._widened(now, source)
-            source = self._shaped(source, schema)
-            prune = [b for b in by if b in keys or mode == "replace_partitions"]
-            touched, others = now["parts"], []
-            if prune:
-                values = {tuple(r) for r in source.select(*[F.col(b).cast("string") for b in prune]).distinct().collect()}  # a row a partition
-                touched = [p for p in now["parts"] if tuple(_values(p)[b] for b in prune) in values]
-                others = [p for p in now["parts"] if p not in touched]
-            if mode == "replace_partitions":
-                return self._commit(zone, table, source, by, mode, others, schema)
+            schema = self._widened(now, source)[0] if now else source.schema
+            draft = f"{self.root}/_drafts/{uuid.uuid4().hex}"
+            try:
+                self._shaped(source, schema).write.parquet(draft)
+                source = self.spark.read.schema(schema).parquet(draft)
+                if source.groupBy(*keys).count().where("count > 1").limit(1).count():
+                    raise DuplicateKeys(f"{zone}.{table}: the source repeats a key of {keys}")
+                if now is None:
+                    return self._commit(zone, table, source, by, mode, [])
+                return self._merged(zone, table, source, keys, mode, now, schema)
+            finally:
+                jvm, fs = self._fs()
+                fs.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
+
+    def _merged(self, zone: str, table: str, source: DataFrame, keys: list[str], mode: str, now: dict, schema: StructType) -> dict:
+        by = now["partitioned_by"]
+        prune = [b for b in by if b in keys or mode == "replace_partitions"]
+        touched, others = now["parts"], []
+        if prune:
+            values = {tuple(r) for r in source.select(*[F.col(b).cast("string") for b in prune]).distinct().collect()}  # a row a partition
+            touched = [p for p in now["parts"] if tuple(_values(p)[b] for b in prune) in values]
+            others = [p for p in now["parts"] if p not in touched]
+        if mode == "replace_partitions":
+            return self._commit(zone, table, source, by, mode, others, schema)
+        if mode == "insert_only":
             target = self._shaped(self._frame(zone, table, now, touched), schema)
-            if mode == "insert_only":
-                return self._commit(zone, table, missing(source, target, keys), by, mode, now["parts"], schema)
-            return self._commit(zone, table, upsert(target, source, keys), by, mode, others, schema)
+            return self._commit(zone, table, missing(source, target, keys), by, mode, now["parts"], schema)
+        hold = self._holders(zone, table, now, touched, source, keys)
+        rewritten = [p for p in touched if p["path"] in hold]
+        kept = [p for p in now["parts"] if p["path"] not in hold]
+        if not rewritten:
+            return self._commit(zone, table, source, by, mode, kept, schema)
+        target = self._shaped(self._frame(zone, table, now, rewritten), schema)
+        return self._commit(zone, table, upsert(target, source, keys), by, mode, kept, schema)
+
+    def _holders(self, zone: str, table: str, now: dict, parts: list[dict], source: DataFrame, keys: list[str]) -> set[str]:
+        """Folders that hold a key of the source: a scan of the key columns alone."""
+        if not parts:
+            return set()
+        probe = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        held = self._frame(zone, table, now, parts, True)
+        found = held.join(probe, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi").select("_folder").distinct().collect()  # a row a folder
+        return {x for r in found for x in (r[0], unquote(r[0]))} & {p["path"] for p in parts}
 
     def compact(self, zone: str, table: str, target_mb: int = 32, min_files: int = 2) -> dict | None:
-        """Rewrite partitions of at least min_files files into files of about target_mb."""
+        """Rewrite partitions that hold at least min_files files, and more than their
+        bytes need, into files of about target_mb."""
         with self.lock(zone, table):
             now = self.current(zone, table)
-            files: dict[str, int] = {}
+            files, size = {}, {}
             where = lambda p: p["path"].partition("/")[2]
             for p in now["parts"] if now else []:
                 files[where(p)] = files.get(where(p), 0) + p["files"]
-            small = [p for p in (now["parts"] if now else []) if files[where(p)] >= min_files]
+                size[where(p)] = size.get(where(p), 0) + p["bytes"]
+            enough = {k: max(1, -(-size[k] // (target_mb << 20))) for k in files}
+            small = [p for p in (now["parts"] if now else []) if files[where(p)] >= min_files and files[where(p)] > enough[where(p)]]
             if not small:
                 return None
             df, by = self._frame(zone, table, now, small), now["partitioned_by"]
-            if not by:
-                df = df.repartition(max(1, round(sum(p["bytes"] for p in small) / (target_mb << 20))))
-            return self._commit(zone, table, df, by, "compact", [p for p in now["parts"] if p not in small], df.schema)
+            if by:  # a partition goes to as many writers as it needs files
+                needs = {where(p): (*(_values(p)[b] for b in by), enough[where(p)]) for p in small}
+                need = self.spark.createDataFrame(list(needs.values()), ", ".join([f"_b{i} string" for i in range(len(by))] + ["_need int"]))
+                same = [F.col(b).cast("string").eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+                salt = F.pmod(F.xxhash64(*df.columns), F.col("_need"))
+                df = df.join(F.broadcast(need), same).repartition(sum(n[-1] for n in needs.values()), *by, salt).select(*df.columns)  # a row a partition
+            else:
+                df = df.repartition(max(enough.values()))
+            kept = [p for p in now["parts"] if p not in small]
+            return self._commit(zone, table, df, by, "compact", kept, df.schema, True)
 
     def view(self, zone: str, table: str, name: str | None = None) -> None:
         self.read(zone, table).createOrReplaceTempView(name or f"{zone}_{table}")

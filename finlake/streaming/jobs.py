@@ -76,7 +76,7 @@ def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, che
                 return
             silver = table.build(quality.typed(good, spec), lambda t: store.read("raw", t)).persist()  # referentials are read anew each batch
             try:
-                store.merge("silver", spec.table, silver, [spec.key, "country_code"], ["country_code"])  # the table first, then the topic
+                store.merge("silver", spec.table, silver, [spec.key, "country_code"], table.partitioning)  # the table first, then the topic
                 if dataset in domain.SILVER_TOPICS:
                     bus.publish(silver, domain.SILVER_TOPICS[dataset], "country_code", name)
             finally:
@@ -88,9 +88,14 @@ def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, che
 
 
 # job 2
-def _silver_schema(store: TableStore, dataset: str) -> T.StructType:
-    """The silver table is the contract of its topic."""
-    return store.read("silver", SPECS[dataset].table).schema
+def _silver_schema(spark: SparkSession, store: TableStore, dataset: str) -> T.StructType:
+    """The contract of a silver topic: the silver table's schema, or before the table
+    exists the schema that job 1 gives it."""
+    table = TABLES[SPECS[dataset].table]
+    if store.exists("silver", SPECS[dataset].table):
+        return store.read("silver", SPECS[dataset].table).schema
+    empty = lambda name: spark.createDataFrame([], next(s.ddl for s in SPECS.values() if s.table == name))
+    return table.build(empty(SPECS[dataset].table), empty).schema
 
 
 def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
@@ -105,9 +110,7 @@ def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
             name = f"unit-{number}"
             parsed = {}
             for dataset, topic in topics.items():
-                if not store.exists("silver", SPECS[dataset].table):
-                    continue
-                own = rows.where(c("topic") == topic).withColumn("_v", F.from_json("payload", _silver_schema(store, dataset)))
+                own = rows.where(c("topic") == topic).withColumn("_v", F.from_json("payload", _silver_schema(spark, store, dataset)))
                 bad = own.withColumn("_why", F.when(c(f"_v.{SPECS[dataset].key}").isNull(), F.lit(f"{SPECS[dataset].key} manquant")))
                 lost = dead_letters(bad, dataset, "silver_to_gold", "_why", None)
                 if not lost.isEmpty():
@@ -141,15 +144,15 @@ def _emit(store: TableStore, bus, alerts: DataFrame, table: str, key: str, topic
         alerts.unpersist()
 
 
-def _silver_events(bus, store: TableStore) -> DataFrame:
+def _silver_events(spark: SparkSession, bus, store: TableStore) -> DataFrame:
     """Bank transactions of the topic by event time, one a transaction."""
-    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]]).select(F.from_json("payload", _silver_schema(store, "bank_txn")).alias("_v")).select("_v.*").where("transaction_id is not null")
+    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]]).select(F.from_json("payload", _silver_schema(spark, store, "bank_txn")).alias("_v")).select("_v.*").where("transaction_id is not null")
     return rows.withWatermark("timestamp", EVENT_WATERMARK).dropDuplicates(["transaction_id", "timestamp"])
 
 
 def burst_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
     """Bursts by sliding windows, in update mode: the last windows of a bounded run count too."""
-    windows = rules.burst_windows(rules.large(_silver_events(bus, store)))
+    windows = rules.burst_windows(rules.large(_silver_events(spark, bus, store)))
 
     def batch(rows: DataFrame, number: int) -> None:
         _emit(store, bus, rules.burst_alerts(rules.collapse(rows)).dropDuplicates(["alert_id"]), "fraud_alerts", "alert_id", domain.FRAUD_TOPIC, f"burst-{number}")
@@ -158,7 +161,7 @@ def burst_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
 
 
 def liquidity_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
-    windows = rules.liquidity_windows(_silver_events(bus, store))
+    windows = rules.liquidity_windows(_silver_events(spark, bus, store))
 
     def batch(rows: DataFrame, number: int) -> None:
         stock = rules.outstanding(store.read("silver", "accounts"))
@@ -186,7 +189,10 @@ def supervise(queries: list[StreamingQuery], once: bool) -> list[str]:
     return errors
 
 
-def lag(query: StreamingQuery) -> int:
-    """Rows that wait: of the last progress, those read less those processed a second."""
+def lag(query: StreamingQuery) -> int | None:
+    """Messages that wait, by the last progress: what its sources say is behind the latest
+    offset (Kafka does), else by files not yet read; None before there is a figure."""
     last = query.lastProgress
-    return 0 if not last else max(0, int((last["inputRowsPerSecond"] or 0) - (last["processedRowsPerSecond"] or 0)))
+    figures = [dict(s.get("metrics") or {}) for s in (last or {}).get("sources", [])]
+    behind = [float(m[k]) for m in figures for k in ("maxOffsetsBehindLatest", "numFilesOutstanding") if k in m]
+    return round(sum(behind)) if behind else None

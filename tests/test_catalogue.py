@@ -44,3 +44,15 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "o_orderstatus" not in plan
     dedup = catalogue.QUERIES["dedup_earliest"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in dedup
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_join_and_scan_what_they_read(spark, data):
+    report = plan_of(catalogue.regulatory_report(spark, data))
+    assert "s_suppkey" not in report and "r_name" not in report
+    volumes = plan_of(catalogue.volumes_by_type(spark, data))
+    assert "r_name" not in volumes and "percentile_approx" in volumes and "percentile_disc" not in volumes
+    assert plan_of(catalogue.arpu_monthly(spark, data)).count("o_totalprice") and plan_of(catalogue.arpu_monthly(spark, data)).count("Relation [o_orderkey") == 1
