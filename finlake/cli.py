@@ -30,8 +30,15 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, **kw)
 
     tables = ("--tables", {"type": _names})
-    once = [("--once", {"action": "store_true"}), ("--bus", {"required": True, "help": "folder, or kafka:HOST:PORT"}), ("--checkpoints", {"required": True}), ("--starting-offsets", {"default": "earliest"})]
-    command("ingest", ("--landing", {"required": True}), ("--datasets", {"type": _names}), ("--batch-size", {"type": int, "default": landing.CHUNK}), ("--archive", {}), ("--archive-after", {"type": float, "default": landing.GRACE_MINUTES}), ("--no-archive", {"action": "store_true"}), ("--bus", {"help": "where files that no rule routes are reported"}))
+    once = [
+        ("--once", {"action": "store_true"}), ("--bus", {"required": True, "help": "folder, or kafka:HOST:PORT"}),
+        ("--checkpoints", {"required": True}), ("--starting-offsets", {"default": "earliest"}),
+    ]
+    command(
+        "ingest", ("--landing", {"required": True}), ("--datasets", {"type": _names}), ("--batch-size", {"type": int, "default": landing.CHUNK}),
+        ("--archive", {}), ("--archive-after", {"type": float, "default": landing.GRACE_MINUTES}), ("--no-archive", {"action": "store_true"}),
+        ("--bus", {"help": "where files that no rule routes are reported"}),
+    )
     for name in ("silver", "gold"):
         command(name, tables, ("--window-days", {"type": int, "default": silver.WINDOW_DAYS}))
     command("regulatory", ("--report-date", {"type": date.fromisoformat, "required": True}))
@@ -39,7 +46,11 @@ def parser() -> argparse.ArgumentParser:
     command("raw-to-silver", ("--datasets", {"type": _names}), *once)
     command("silver-to-gold", ("--rules", {"type": _names}), *once)
     command("query", ("--name", {"required": True, "choices": [*analytics.QUERIES, *analytics.CHARTS, "sante_partitionnement"]}), ("--bus", {}))
-    command("seed", ("--landing", {"required": True}), ("--preset", {"choices": ("demo", "full"), "default": "demo"}), ("--customers", {"type": int}), ("--accounts", {"type": int}), ("--rows", {"type": int}), ("--seed", {"type": int, "default": 20260813}), ("--anomalies", {"type": int, "default": 5}))
+    command(
+        "seed", ("--landing", {"required": True}), ("--preset", {"choices": ("demo", "full"), "default": "demo"}), ("--customers", {"type": int}),
+        ("--accounts", {"type": int}), ("--rows", {"type": int}), ("--seed", {"type": int, "default": 20260813}),
+        ("--anomalies", {"type": int, "default": 5}),
+    )
     return p
 
 
@@ -80,7 +91,9 @@ def main(argv: list[str] | None = None) -> int:
         return int(bool(errors))
     elif a.command == "query":
         analytics.register(spark, store, bus)
-        df = analytics.partition_health(store) if a.name == "sante_partitionnement" else analytics.run(spark, a.name) if a.name in analytics.QUERIES else analytics.chart(spark, a.name, a.countries)
+        df = analytics.partition_health(store) if a.name == "sante_partitionnement" else analytics.run(spark, a.name) if a.name in analytics.QUERIES else analytics.chart(
+            spark, a.name, a.countries,
+        )
         df.show(1000, False)
     else:
         sizes = {"demo": (6_000, 10_000, 3_000), "full": (500_000, 800_000, 240_000)}[a.preset]

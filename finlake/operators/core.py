@@ -38,8 +38,13 @@ def running_share(df: DataFrame, name: str, group: str, by: Column, amount: Colu
     rows = df.withColumns({"_hash": F.xxhash64(by), "_amount": amount}).withColumn("_bucket", F.shiftrightunsigned("_hash", 58).cast("int"))
     sums = rows.groupBy(group, "_bucket").agg(F.sum("_amount").alias("_sum"))
     w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    sums = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias("_total"))
-    inside = F.sum("_amount").over(Window.partitionBy(group, "_bucket").orderBy("_hash", by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = sums.select(
+        group, "_bucket", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)).alias("_before"),
+        F.sum("_sum").over(Window.partitionBy(group)).alias("_total"),
+    )
+    inside = F.sum("_amount").over(
+        Window.partitionBy(group, "_bucket").orderBy("_hash", by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     out = rows.join(sums, [group, "_bucket"]).withColumn(name, F.try_divide(F.col("_before") + inside, F.col("_total")))
     return out.drop("_hash", "_amount", "_bucket", "_before", "_total")
 
@@ -73,7 +78,9 @@ def sum_where(flag: Column, value: Column, digits: int = 2) -> Column:
 
 def with_total(df: DataFrame, keys: list[str], part: str, label: str, *measures: Column) -> DataFrame:
     """Measures by keys and part, and by keys alone with part = label, in one pass."""
-    grouped = df.groupingSets([[*map(F.col, keys), F.col(part)], [F.col(k) for k in keys]], *keys, part).agg(*measures, F.grouping(part).alias("_all"))
+    grouped = df.groupingSets(
+        [[*map(F.col, keys), F.col(part)], [F.col(k) for k in keys]], *keys, part,
+    ).agg(*measures, F.grouping(part).alias("_all"))
     return grouped.withColumn(part, F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.col(part))).drop("_all")
 
 

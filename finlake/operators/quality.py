@@ -38,4 +38,6 @@ def typed(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
 def rejects(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Rows with a reason, as rows of the rejects table."""
     raw = F.concat_ws(" | ", *[F.coalesce(F.col(c), F.lit("")) for c in spec.columns])
-    return rows.where(F.col(REASON).isNotNull()).select(F.lit(spec.name).alias("dataset"), SOURCE_FILE, INGESTED, F.col(REASON).alias("reject_reason"), raw.alias("raw_record"))
+    return rows.where(F.col(REASON).isNotNull()).select(
+        F.lit(spec.name).alias("dataset"), SOURCE_FILE, INGESTED, F.col(REASON).alias("reject_reason"), raw.alias("raw_record"),
+    )

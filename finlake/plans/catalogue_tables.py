@@ -23,7 +23,11 @@ from finlake.sources.store import TableStore
 
 
 # relational operators
-@query("country_restriction", "SELECT n_name AS country, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('FRANCE', 'KENYA', 'NATION_3', 'NATION_7') GROUP BY 1")
+@query(
+    "country_restriction",
+    "SELECT n_name AS country, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('FRANCE',"
+    " 'KENYA', 'NATION_3', 'NATION_7') GROUP BY 1",
+)
 def country_restriction(spark, d):
     rows = core.within_countries(clients(spark, d), ["FRANCE", "KENYA", "NATION_3", "NATION_7"], "n_name")
     return rows.groupBy(c("n_name").alias("country")).agg(F.count("*").alias("n"))
@@ -49,16 +53,28 @@ def cte_and_ordinals(spark, d):
 
 #: The left joins of silver by dimension: fact, its key, and the columns that the dimension gives.
 _SIDES = {
-    "insurance_client_join": ("lineitem", "l_suppkey", "l_orderkey, l_linenumber", Dimension("supplier", "s_suppkey", "l_suppkey", {"s_name": "holder", "s_nationkey": "home"})),
-    "mobile_sender_join": ("orders", "o_custkey", "o_orderkey", Dimension("customer", "c_custkey", "o_custkey", {"c_nationkey": "home", "c_mktsegment": "segment"})),
-    "loan_account_join": ("lineitem", "l_partkey", "l_orderkey, l_linenumber", Dimension("part", "p_partkey", "l_partkey", {"p_retailprice": "outstanding", "p_brand": "brand"})),
+    "insurance_client_join": (
+        "lineitem", "l_suppkey", "l_orderkey, l_linenumber",
+        Dimension("supplier", "s_suppkey", "l_suppkey", {"s_name": "holder", "s_nationkey": "home"}),
+    ),
+    "mobile_sender_join": (
+        "orders", "o_custkey", "o_orderkey", Dimension("customer", "c_custkey", "o_custkey", {"c_nationkey": "home", "c_mktsegment": "segment"}),
+    ),
+    "loan_account_join": (
+        "lineitem", "l_partkey", "l_orderkey, l_linenumber",
+        Dimension("part", "p_partkey", "l_partkey", {"p_retailprice": "outstanding", "p_brand": "brand"}),
+    ),
 }
 for _name, (_fact, _at, _ids, _side) in _SIDES.items():
     _cols = ", ".join(f"{a} AS {b}" for a, b in _side.columns.items())
 
     _show = [f"coalesce({x}, -1) AS {x}" if x == "home" else x for x in _side.columns.values()]
 
-    @query(_name, f"SELECT {_ids}, {', '.join(_show)} FROM {_fact} LEFT JOIN (SELECT {_side.key} AS k, {_cols} FROM {_side.table} WHERE {_side.key} % 3 <> 0) ON k = {_at}")
+    @query(
+        _name,
+        f"SELECT {_ids}, {', '.join(_show)} FROM {_fact} LEFT JOIN (SELECT {_side.key} AS k, {_cols} FROM {_side.table} WHERE {_side.key}"
+        f" % 3 <> 0) ON k = {_at}",
+    )
     def _joined(spark, d, fact=_fact, ids=_ids, side=_side, show=tuple(_show)):
         """A referential with gaps, reduced to a row a key, joined as silver does it."""
         names = [x.strip() for x in ids.split(",")]
@@ -76,9 +92,15 @@ for _name, (_fact, _at, _ids, _side) in _SIDES.items():
 def npl_composite_join(spark, d):
     """Kinds by client and country, joined on both."""
     home = table(spark, d, "nation").select("n_nationkey", c("n_name").alias("country"))
-    sup = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(home, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "country")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
-    kinds = lines.join(sup, c("l_suppkey") == c("s_suppkey")).groupBy(c("o_custkey").alias("c_custkey"), "country").agg(F.max("l_returnflag").alias("kind"))
+    sup = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(
+        home, c("s_nationkey") == c("n_nationkey"),
+    ).select("s_suppkey", "country")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(
+        table(spark, d, "orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"),
+    )
+    kinds = lines.join(sup, c("l_suppkey") == c("s_suppkey")).groupBy(
+        c("o_custkey").alias("c_custkey"), "country",
+    ).agg(F.max("l_returnflag").alias("kind"))
     stock = table(spark, d, "customer").join(home, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "country")
     rows = stock.join(kinds, ["c_custkey", "country"], "left")
     return rows.groupBy("country", F.coalesce("kind", F.lit("NON_VENTILE")).alias("kind")).agg(F.count("*").alias("n"))
@@ -87,7 +109,10 @@ def npl_composite_join(spark, d):
 # validation: the engine's own rules over a specification of the star schema
 _SPEC = DatasetSpec(
     "orders", "orders", "o_orderkey",
-    {"o_orderkey": "bigint*", "country_code": "string*", "o_orderdate": "timestamp*", "amount": "double", "currency": "string", "entity_type": "string*"},
+    {
+        "o_orderkey": "bigint*", "country_code": "string*", "o_orderdate": "timestamp*", "amount": "double", "currency": "string",
+        "entity_type": "string*",
+    },
     {"currency": "currency", "entity_type": "entity_type"}, "o_orderdate", ("amount",),
 )
 _CODE = "CASE o_custkey % 9 WHEN 0 THEN 'CI' WHEN 1 THEN 'SN' WHEN 2 THEN 'ML' WHEN 3 THEN 'BF' WHEN 4 THEN 'GN' WHEN 5 THEN 'TG' WHEN 6 THEN 'BJ' WHEN 7 THEN 'GH' ELSE 'FR' END"
@@ -109,7 +134,9 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     name = f"orders_{uuid.uuid4().hex}"
     table(spark, d, "orders").createOrReplaceTempView(name)
     rows = spark.sql(_TEXTS.replace("AS VARCHAR", "AS STRING").replace("FROM orders", f"FROM {name}"))
-    return rows.withColumns({"_corrupt_record": F.lit(None).cast("string"), "source_file": F.lit("f.csv"), "ingestion_timestamp": F.current_timestamp()})
+    return rows.withColumns(
+        {"_corrupt_record": F.lit(None).cast("string"), "source_file": F.lit("f.csv"), "ingestion_timestamp": F.current_timestamp()}
+    )
 
 
 @query("engine_rejection_reasons", f"SELECT coalesce({_BROKEN}, 'valide') AS reason, count(*) AS n FROM ({_TEXTS}) GROUP BY 1")
@@ -120,7 +147,8 @@ def engine_rejection_reasons(spark, d):
 
 @query(
     "typed_projection",
-    f"SELECT country_code AS country, count(*) AS n, count(CAST(o_orderkey AS BIGINT)) AS keys, {_s('CAST(amount AS DOUBLE)')} AS total, max(CAST(o_orderdate AS TIMESTAMP)) AS last_at FROM ({_TEXTS}) WHERE {_BROKEN} IS NULL GROUP BY 1",
+    f"SELECT country_code AS country, count(*) AS n, count(CAST(o_orderkey AS BIGINT)) AS keys, {_s('CAST(amount AS DOUBLE)')}"
+    f" AS total, max(CAST(o_orderdate AS TIMESTAMP)) AS last_at FROM ({_TEXTS}) WHERE {_BROKEN} IS NULL GROUP BY 1",
 )
 def typed_projection(spark, d):
     good = quality.typed(_texts(spark, d).where(quality.rejection_reason(_SPEC).isNull()), _SPEC)
@@ -131,7 +159,8 @@ def typed_projection(spark, d):
 
 @query(
     "rejected_records",
-    f"SELECT 'orders' AS dataset, {_BROKEN} AS reject_reason, concat_ws(' | ', coalesce(o_orderkey, ''), country_code, o_orderdate, amount, currency, entity_type) AS raw_record FROM ({_TEXTS}) WHERE {_BROKEN} IS NOT NULL",
+    f"SELECT 'orders' AS dataset, {_BROKEN} AS reject_reason, concat_ws(' | ', coalesce(o_orderkey, ''), country_code, o_orderdate,"
+    f" amount, currency, entity_type) AS raw_record FROM ({_TEXTS}) WHERE {_BROKEN} IS NOT NULL",
 )
 def rejected_records(spark, d):
     rows = _texts(spark, d).withColumn(quality.REASON, quality.rejection_reason(_SPEC))
@@ -141,7 +170,11 @@ def rejected_records(spark, d):
 _STAMP = "CASE WHEN event_id % 17 = 0 THEN 'hier' WHEN event_id % 19 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END"
 
 
-@query("timestamp_guard", f"SELECT event_type AS kind, count(*) FILTER (TRY_CAST(t AS TIMESTAMP) IS NULL) AS refused, max(TRY_CAST(t AS TIMESTAMP)) AS last_at FROM (SELECT event_type, {_STAMP} AS t FROM events) GROUP BY 1")
+@query(
+    "timestamp_guard",
+    "SELECT event_type AS kind, count(*) FILTER (TRY_CAST(t AS TIMESTAMP) IS NULL) AS refused, max(TRY_CAST(t AS TIMESTAMP)) AS"
+    f" last_at FROM (SELECT event_type, {_STAMP} AS t FROM events) GROUP BY 1",
+)
 def timestamp_guard(spark, d):
     n = c("event_id")
     text = F.when(n % 17 == 0, "hier").when(n % 19 == 0, F.lit(None)).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -149,19 +182,25 @@ def timestamp_guard(spark, d):
     return rows.groupBy("kind").agg(F.count_if(c("at").isNull()).alias("refused"), F.max("at").cast("timestamp_ntz").alias("last_at"))
 
 
-@query("topic_demultiplex", "SELECT event_type AS topic, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS lost, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query(
+    "topic_demultiplex",
+    "SELECT event_type AS topic, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS lost, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+)
 def topic_demultiplex(spark, d):
     """Messages of mixed topics, each parsed by its topic's schema; those without a key are lost."""
     e = table(spark, d, "events")
     body = F.to_json(F.struct(F.when(c("event_id") % 7 != 0, c("event_id")).alias("event_id"), "user_id"))
     sent = e.select(c("event_type").alias("topic"), body.alias("payload"))
     rows = sent.withColumn("v", F.from_json("payload", "event_id bigint, user_id bigint"))
-    return rows.groupBy("topic").agg(F.count("*").alias("n"), F.count_if(c("v.event_id").isNull()).alias("lost"), F.count_distinct("v.user_id").alias("users"))
+    return rows.groupBy("topic").agg(
+        F.count("*").alias("n"), F.count_if(c("v.event_id").isNull()).alias("lost"), F.count_distinct("v.user_id").alias("users"),
+    )
 
 
 @query(
     "second_job_dead_letters",
-    "SELECT event_type AS dataset, 'event_id manquant' AS rejection_reason, 'silver_to_gold' AS stage, count(*) AS n, min(props) AS original_message FROM events WHERE event_id % 7 = 0 GROUP BY 1",
+    "SELECT event_type AS dataset, 'event_id manquant' AS rejection_reason, 'silver_to_gold' AS stage, count(*) AS n, min(props)"
+    " AS original_message FROM events WHERE event_id % 7 = 0 GROUP BY 1",
 )
 def second_job_dead_letters(spark, d):
     from finlake.streaming.jobs import dead_letters
@@ -171,7 +210,9 @@ def second_job_dead_letters(spark, d):
         "_why": F.when(c("event_id") % 7 == 0, F.lit("event_id manquant")),
     })
     lost = dead_letters(rows, "events", "silver_to_gold", "_why", None)
-    return lost.groupBy(c("source_topic").alias("dataset"), "rejection_reason", "stage").agg(F.count("*").alias("n"), F.min("original_message").alias("original_message"))
+    return lost.groupBy(c("source_topic").alias("dataset"), "rejection_reason", "stage").agg(
+        F.count("*").alias("n"), F.min("original_message").alias("original_message"),
+    )
 
 
 # tables: written, merged, evolved, compacted and read back
@@ -206,11 +247,14 @@ def store_partitions(spark, d):
 
 @query(
     "store_history",
-    f"SELECT 1 AS version, 'upsert' AS operation, count(*) AS n, count(*) AS added FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 2, 'upsert', (SELECT count(*) FROM {_BUILT}), (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0)",
+    "SELECT 1 AS version, 'upsert' AS operation, count(*) AS n, count(*) AS added FROM orders WHERE o_orderkey % 3 <> 0 UNION"
+    f" ALL SELECT 2, 'upsert', (SELECT count(*) FROM {_BUILT}), (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0)",
 )
 def store_history(spark, d):
     log = _built(spark, d).history("q", "orders")
-    return spark.createDataFrame([(e["version"], e["operation"], e["rows"], e["added"]) for e in log], "version int, operation string, n bigint, added bigint")
+    return spark.createDataFrame(
+        [(e["version"], e["operation"], e["rows"], e["added"]) for e in log], "version int, operation string, n bigint, added bigint",
+    )
 
 
 @query("store_compaction", "SELECT 'o_orderstatus=' || o_orderstatus AS partition, count(*) AS record_count, 1 AS file_count FROM orders GROUP BY 1")
@@ -225,7 +269,8 @@ def store_compaction(spark, d):
 
 @query(
     "store_insert_only",
-    "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS first, (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0) AS added, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AS n, 0 AS again",
+    "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS first, (SELECT count(*) FROM orders WHERE o_orderkey"
+    " % 6 = 0) AS added, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AS n, 0 AS again",
 )
 def store_insert_only(spark, d):
     store, rows, key = _store(spark), _orders(spark, d), ["o_orderkey"]
@@ -235,7 +280,10 @@ def store_insert_only(spark, d):
     return spark.createDataFrame([(first, more["added"], more["rows"], again)], "first bigint, added bigint, n bigint, again int")
 
 
-@query("store_evolution", "SELECT o_orderstatus AS status, count(*) AS n, count(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS priced FROM orders GROUP BY 1")
+@query(
+    "store_evolution",
+    "SELECT o_orderstatus AS status, count(*) AS n, count(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS priced FROM orders GROUP BY 1",
+)
 def store_evolution(spark, d):
     """A table made from its specification, then rows with a column more."""
     store, rows = _store(spark), _orders(spark, d)
@@ -254,7 +302,9 @@ def partition_health(spark, d):
     store, out = _store(spark), None
     for name, by in (("orders", "o_orderstatus"), ("customer", "c_mktsegment")):
         store.append("q", name, table(spark, d, name), [by])
-        one = store.partitions("q", name).agg(F.count("*").alias("partitions"), F.round(F.avg("record_count")).cast("long").alias("rows_per_partition"))
+        one = store.partitions("q", name).agg(
+            F.count("*").alias("partitions"), F.round(F.avg("record_count")).cast("long").alias("rows_per_partition"),
+        )
         one = one.select(F.lit(name).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -267,27 +317,44 @@ def _charted(spark, source: DataFrame, by: dict, measure: dict, filters=(), limi
 
 _EUR = "CAST(o_totalprice AS DECIMAL(18,2))"
 _CHARTS = {
-    "chart_fees_by_country_and_entity": ("deal", {"country": "n_name", "entity": "c_mktsegment"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, (), 10_000),
+    "chart_fees_by_country_and_entity": (
+        "deal", {"country": "n_name", "entity": "c_mktsegment"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, (), 10_000,
+    ),
     "chart_amount_map": ("deal", {"country": "n_name"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, (), 100),
-    "chart_monthly_mean": ("deal", {"month": "CAST(date_trunc('month', o_orderdate) AS DATE)", "country": "n_name"}, {"highest": "max(o_totalprice)"}, (), 10_000),
+    "chart_monthly_mean": (
+        "deal", {"month": "CAST(date_trunc('month', o_orderdate) AS DATE)", "country": "n_name"}, {"highest": "max(o_totalprice)"}, (), 10_000,
+    ),
     "chart_share_of_total": ("deal", {"country": "n_name"}, {"highest": "max(o_totalprice)"}, ("o_orderpriority = '5-LOW'",), 100),
-    "chart_declarations_by_day": ("deal", {"day": "CAST(o_orderdate AS DATE)", "country": "n_name"}, {"n": "sum(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END)"}, (), 100_000),
+    "chart_declarations_by_day": (
+        "deal", {"day": "CAST(o_orderdate AS DATE)", "country": "n_name"}, {"n": "sum(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END)"}, (),
+        100_000,
+    ),
     "chart_delays": ("deal", {"country": "n_name", "line": "o_orderpriority"}, {"n": "count(*)"}, (), 5000),
-    "chart_corridors": ("deal", {"corridor": "concat(n_name, '-', c_mktsegment)"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, ("o_orderstatus = 'O'",), 5),
+    "chart_corridors": (
+        "deal", {"corridor": "concat(n_name, '-', c_mktsegment)"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, ("o_orderstatus = 'O'",), 5,
+    ),
 }
 _FROM = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 for _name, (_, _by, _measure, _filters, _limit) in _CHARTS.items():
-    _cols = ", ".join(f"{e} AS {n}" for n, e in (_by | {n: f"CAST({e} AS BIGINT)" if e.startswith("sum(CASE") else e for n, e in _measure.items()}).items())
+    _cols = ", ".join(
+        f"{e} AS {n}" for n, e in (_by | {n: f"CAST({e} AS BIGINT)" if e.startswith("sum(CASE") else e for n, e in _measure.items()}).items()
+    )
     _where = " AND ".join(_filters) or "true"
 
-    @query(_name, f"SELECT {_cols} FROM {_FROM} WHERE {_where} GROUP BY {', '.join(_by.values())} ORDER BY {next(iter(_measure))} DESC, {', '.join(_by)} LIMIT {_limit}")
+    @query(
+        _name,
+        f"SELECT {_cols} FROM {_FROM} WHERE {_where} GROUP BY {', '.join(_by.values())} ORDER BY {next(iter(_measure))} DESC, {', '.join(_by)}"
+        f" LIMIT {_limit}",
+    )
     def _chart(spark, d, by=_by, measure=_measure, filters=_filters, limit=_limit):
         source = deals(spark, d, "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate").where("n_name is not null")
         return _charted(spark, source, by, measure, filters, limit)
 
 
 # streams
-@query("stream_mixed_topics", "SELECT event_type AS topic, count(*) AS n FROM (SELECT DISTINCT event_type, event_id % 500 AS k FROM events) GROUP BY 1")
+@query(
+    "stream_mixed_topics", "SELECT event_type AS topic, count(*) AS n FROM (SELECT DISTINCT event_type, event_id % 500 AS k FROM events) GROUP BY 1",
+)
 def stream_mixed_topics(spark, d):
     """Repeats told by key over several topics in one stream, within a long watermark."""
     from finlake.streaming.jobs import drop_repeats
@@ -317,6 +384,8 @@ def burst_alert_texts(spark, d):
     """Alerts of exact bursts: their ids, subjects and sizes."""
     from finlake.streaming import rules
 
-    rows = table(spark, d, "events").where("value > 20").withColumns({"account_id": c("user_id"), "country_code": F.lit("CI"), "entity_type": F.lit("BANK"), "currency": F.lit("XOF")})
+    rows = table(spark, d, "events").where("value > 20").withColumns(
+        {"account_id": c("user_id"), "country_code": F.lit("CI"), "entity_type": F.lit("BANK"), "currency": F.lit("XOF")}
+    )
     bursts = rules.bursts_exact(rows, 3600, 3, ("account_id", "country_code", "entity_type", "currency"), "ts", "value", "event_id")
     return rules.burst_alerts(bursts).select("alert_id", "subject_id", "occurrences")

@@ -27,7 +27,11 @@ def _failures(total: str, ok: str):
 
 
 def daily_volume(read) -> DataFrame:
-    measures = [F.count("*").alias("nb_transactions"), core.count_true(c("est_aboutie")).alias("nb_abouties"), _sum("amount_eur", "montant_total_eur"), F.round(F.avg("amount_eur"), 2).alias("montant_moyen_eur"), _sum("fee_amount_eur", "commissions_eur"), core.count_true(c("depasse_seuil_aml")).alias("nb_au_dessus_seuil_aml")]
+    measures = [
+        F.count("*").alias("nb_transactions"), core.count_true(c("est_aboutie")).alias("nb_abouties"), _sum("amount_eur", "montant_total_eur"),
+        F.round(F.avg("amount_eur"), 2).alias("montant_moyen_eur"), _sum("fee_amount_eur", "commissions_eur"),
+        core.count_true(c("depasse_seuil_aml")).alias("nb_au_dessus_seuil_aml"),
+    ]
     rows = read("bank_transactions").groupBy("country_code", "transaction_date", "entity_type", "transaction_type").agg(*measures)
     return rows.select("*", _failures("nb_transactions", "nb_abouties"))
 
@@ -35,8 +39,13 @@ def daily_volume(read) -> DataFrame:
 def npl(read) -> DataFrame:
     """Stock of loans by country and type, and by country (ENSEMBLE): one pass over grouping sets."""
     kinds = read("loan_repayments").groupBy(c("loan_account_id").alias("account_id"), "country_code").agg(F.max("loan_type").alias("loan_type"))
-    loans = read("accounts").where("est_pret").join(kinds, ["account_id", "country_code"], "left").withColumn("loan_type", F.coalesce("loan_type", F.lit("NON_VENTILE")))
-    measures = [F.count("*").alias("nb_prets"), core.count_true(c("est_douteux")).alias("nb_prets_douteux"), _sum("balance_eur", "encours_total_eur"), core.sum_where(c("est_douteux"), c("balance_eur")).alias("encours_douteux_eur")]
+    loans = read("accounts").where("est_pret").join(kinds, ["account_id", "country_code"], "left").withColumn(
+        "loan_type", F.coalesce("loan_type", F.lit("NON_VENTILE")),
+    )
+    measures = [
+        F.count("*").alias("nb_prets"), core.count_true(c("est_douteux")).alias("nb_prets_douteux"), _sum("balance_eur", "encours_total_eur"),
+        core.sum_where(c("est_douteux"), c("balance_eur")).alias("encours_douteux_eur"),
+    ]
     rows = core.with_total(loans, ["country_code"], "loan_type", "ENSEMBLE", *measures)
     rows = rows.withColumn("npl_ratio", ratio(c("encours_douteux_eur"), c("encours_total_eur"), 4))
     return rows.withColumn("seuil_bceao_depasse", c("npl_ratio") > domain.NPL_CEILING)
@@ -44,19 +53,29 @@ def npl(read) -> DataFrame:
 
 def arpu(read) -> DataFrame:
     """Revenue of three flows by customer's month; segments come from the customers."""
-    flows = [("bank_transactions", "est_aboutie", "customer_id", "transaction_date", "fee_amount_eur"), ("mobile_money_payments", "est_aboutie", "sender_id", "payment_date", "fee_amount_eur"), ("loan_repayments", "true", "customer_id", "repayment_date", "interest_amount_eur")]
+    flows = [
+        ("bank_transactions", "est_aboutie", "customer_id", "transaction_date", "fee_amount_eur"),
+        ("mobile_money_payments", "est_aboutie", "sender_id", "payment_date", "fee_amount_eur"),
+        ("loan_repayments", "true", "customer_id", "repayment_date", "interest_amount_eur"),
+    ]
     revenue = None
     for table, cond, who, when, what in flows:
-        one = read(table).where(cond).select(c(who).alias("customer_id"), "country_code", F.trunc(when, "month").alias("mois"), c(what).alias("revenu_eur"))
+        one = read(table).where(cond).select(
+            c(who).alias("customer_id"), "country_code", F.trunc(when, "month").alias("mois"), c(what).alias("revenu_eur"),
+        )
         revenue = one if revenue is None else revenue.unionByName(one)
     rows = revenue.join(read("customers").select("customer_id", "segment"), "customer_id", "left")
-    rows = rows.groupBy("country_code", "mois", "segment").agg(F.count_distinct("customer_id").alias("clients_actifs"), _sum("revenu_eur", "revenus_eur"))
+    rows = rows.groupBy("country_code", "mois", "segment").agg(
+        F.count_distinct("customer_id").alias("clients_actifs"), _sum("revenu_eur", "revenus_eur"),
+    )
     return rows.withColumn("arpc_eur", ratio(c("revenus_eur"), c("clients_actifs"), 2))
 
 
 def loss_ratio(read) -> DataFrame:
     rows = read("insurance_operations").groupBy("country_code", "product_line", c("operation_month").alias("mois")).agg(
-        core.sum_where(c("est_prime"), c("amount_eur")).alias("primes_acquises_eur"), core.sum_where(c("est_sinistre_regle"), c("amount_eur")).alias("sinistres_regles_eur"), core.count_true(c("est_sinistre_regle")).alias("nb_sinistres_regles")
+        core.sum_where(c("est_prime"), c("amount_eur")).alias("primes_acquises_eur"), core.sum_where(
+            c("est_sinistre_regle"), c("amount_eur"),
+        ).alias("sinistres_regles_eur"), core.count_true(c("est_sinistre_regle")).alias("nb_sinistres_regles")
     )
     rows = rows.withColumn("loss_ratio", F.when(c("primes_acquises_eur") > 0, ratio(c("sinistres_regles_eur"), c("primes_acquises_eur"), 4)))
     return rows.withColumn("seuil_cima_depasse", c("loss_ratio") > domain.LOSS_RATIO_ALERT)
@@ -67,13 +86,17 @@ def claims_time(read) -> DataFrame:
     line = F.when(c("product_line").isin(*domain.LIFE_LINES), "VIE").otherwise("IARD")
     days = "processing_days"
     return claims.groupBy("country_code", line.alias("ligne_metier")).agg(
-        F.count("*").alias("nb_sinistres"), F.round(F.avg(days), 1).alias("delai_moyen_jours"), F.percentile_approx(days, 0.5).alias("delai_median_jours"), F.percentile_approx(days, 0.9).alias("delai_p90_jours"), F.max(days).alias("delai_max_jours")
+        F.count("*").alias("nb_sinistres"), F.round(F.avg(days), 1).alias("delai_moyen_jours"), F.percentile_approx(days, 0.5).alias(
+            "delai_median_jours"
+        ), F.percentile_approx(days, 0.9).alias("delai_p90_jours"), F.max(days).alias("delai_max_jours")
     )
 
 
 def mobile_flow(read) -> DataFrame:
     rows = read("mobile_money_payments").groupBy("country_code", "payment_date").agg(
-        F.count("*").alias("nb_paiements"), core.count_true(c("est_aboutie")).alias("nb_abouties"), _sum("amount_eur", "montant_total_eur"), _sum("fee_amount_eur", "commissions_eur"),
+        F.count("*").alias("nb_paiements"), core.count_true(c("est_aboutie")).alias("nb_abouties"), _sum("amount_eur", "montant_total_eur"), _sum(
+            "fee_amount_eur", "commissions_eur",
+        ),
         F.count_distinct("sender_id").alias("utilisateurs_actifs"), core.count_true(c("est_transfrontalier")).alias("nb_transfrontaliers"),
     )
     return rows.select("*", _failures("nb_paiements", "nb_abouties"))
@@ -81,9 +104,18 @@ def mobile_flow(read) -> DataFrame:
 
 def cross_border(read) -> DataFrame:
     """Each transfer counts for its sender's and its receiver's country: one scan, two rows."""
-    sides = F.explode(F.array(F.struct(c("sender_country").alias("country_code"), F.lit("SORTANT").alias("sens")), F.struct(c("receiver_country").alias("country_code"), F.lit("ENTRANT").alias("sens"))))
-    rows = read("mobile_money_payments", False).where("est_transfrontalier").select("corridor", "amount_eur", F.date_trunc("week", "payment_date").cast("date").alias("semaine"), sides.alias("s")).select("corridor", "amount_eur", "semaine", "s.*")
-    return rows.groupBy("country_code", "corridor", "sens", "semaine").agg(F.count("*").alias("nb_transferts"), _sum("amount_eur", "montant_total_eur"), F.round(F.avg("amount_eur"), 2).alias("montant_moyen_eur"))
+    sides = F.explode(
+        F.array(
+            F.struct(c("sender_country").alias("country_code"), F.lit("SORTANT").alias("sens")),
+            F.struct(c("receiver_country").alias("country_code"), F.lit("ENTRANT").alias("sens")),
+        )
+    )
+    rows = read("mobile_money_payments", False).where("est_transfrontalier").select(
+        "corridor", "amount_eur", F.date_trunc("week", "payment_date").cast("date").alias("semaine"), sides.alias("s"),
+    ).select("corridor", "amount_eur", "semaine", "s.*")
+    return rows.groupBy("country_code", "corridor", "sens", "semaine").agg(
+        F.count("*").alias("nb_transferts"), _sum("amount_eur", "montant_total_eur"), F.round(F.avg("amount_eur"), 2).alias("montant_moyen_eur"),
+    )
 
 
 @dataclass(frozen=True)

@@ -53,7 +53,10 @@ def load(spark: SparkSession, store: TableStore, name: str, files: list, chunk:
     return out
 
 
-def run(spark: SparkSession, store: TableStore, root: str, datasets=None, countries=None, chunk: int = landing.CHUNK, archive_to: str | None = None, archive_after: float = landing.GRACE_MINUTES) -> list[Outcome]:
+def run(
+    spark: SparkSession, store: TableStore, root: str, datasets=None, countries=None, chunk: int = landing.CHUNK, archive_to: str | None = None,
+    archive_after: float = landing.GRACE_MINUTES,
+) -> list[Outcome]:
     """All datasets, referentials first; one that fails does not stop the others."""
     found = landing.discover(spark, root, datasets, countries)
     store.create("raw", "ingestion_rejects", REJECTS_DDL, ["dataset"])

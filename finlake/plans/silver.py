@@ -95,11 +95,15 @@ TABLES = {
     t.spec.table: t
     for t in (
         SilverTable("customers", (), lambda: (
-            "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "segment", "kyc_level", "onboarding_date", "region", "is_active",
+            "customer_id", (
+                "customer_token", _customer(),
+            ), "country_code", "entity_type", "segment", "kyc_level", "onboarding_date", "region", "is_active",
             ("anciennete_mois", F.floor(F.months_between(c("_today"), c("onboarding_date"))).cast("int")),
             ("kyc_limite", c("kyc_level") == "BASIC"),
         )),
-        SilverTable("accounts", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), lambda: (
+        SilverTable("accounts", (
+            Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),
+        ), lambda: (
             "account_id", "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "account_type",
             ("account_number_masked", mask_tail(c("account_number"), 4)), ("iban_masked", mask_tail(c("iban"), 4, 2)),
             "currency", "balance", _eur("balance"), _eur("credit_limit"), "opened_date", "status", "customer_segment", "customer_kyc", "days_past_due",
@@ -112,7 +116,9 @@ TABLES = {
             Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment"}),
             Dimension("branches", "branch_id", "branch_id", {"city": "branch_city", "branch_type": "branch_type"}),
         ), lambda: (
-            "transaction_id", "timestamp", ("transaction_date", F.to_date("timestamp")), "account_id", "customer_id", ("customer_token", _customer()), "customer_segment", "account_type",
+            "transaction_id", "timestamp", (
+                "transaction_date", F.to_date("timestamp"),
+            ), "account_id", "customer_id", ("customer_token", _customer()), "customer_segment", "account_type",
             "beneficiary_account", "beneficiary_country", "branch_id", "branch_city", "branch_type", "country_code", "entity_type", "transaction_type", "channel", "transaction_status",
             "currency", "amount", _eur("amount"), _eur("fee_amount"),
             ("est_aboutie", c("transaction_status") == "SUCCESS"),
@@ -121,23 +127,45 @@ TABLES = {
             ("frais_aberrants", (c("amount") > 0) & (F.try_divide(c("fee_amount"), c("amount")) > domain.MAX_FEE_RATIO)),
             ("beneficiaire_hors_groupe", c("beneficiary_country").isNull()), *_LINEAGE,
         )),
-        SilverTable("insurance_ops", (Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),), lambda: (
-            "operation_id", "timestamp", ("operation_date", F.to_date("timestamp")), ("operation_month", F.trunc("timestamp", "month")), "customer_id", ("customer_token", _customer()),
+        SilverTable("insurance_ops", (
+            Dimension("customers", "customer_id", "customer_id", {"segment": "customer_segment", "kyc_level": "customer_kyc"}),
+        ), lambda: (
+            "operation_id", "timestamp", ("operation_date", F.to_date("timestamp")), (
+                "operation_month", F.trunc("timestamp", "month"),
+            ), "customer_id", ("customer_token", _customer()),
             "customer_segment", "customer_kyc", "account_id", "country_code", "entity_type", "operation_type", "product_line", "currency", "amount", _eur("amount"), "claim_status", "processing_days",
-            ("est_sinistre", _claim()), ("est_prime", c("operation_type").isin(*domain.PREMIUMS)), ("est_sinistre_regle", c("operation_type") == "CLAIM_PAYMENT"),
+            ("est_sinistre", _claim()), ("est_prime", c("operation_type").isin(*domain.PREMIUMS)), (
+                "est_sinistre_regle", c("operation_type") == "CLAIM_PAYMENT",
+            ),
             ("delai_manquant", _claim() & c("processing_days").isNull()), *_LINEAGE,
         )),
-        SilverTable("mobile_money", (Dimension("customers", "customer_id", "sender_id", {"country_code": "sender_home_country", "segment": "sender_segment"}),), lambda: (
-            "payment_id", "timestamp", ("payment_date", F.to_date("timestamp")), ("payment_hour", F.hour("timestamp")), "sender_id", ("sender_token", token(c("sender_id"))), "receiver_id",
-            ("receiver_token", token(c("receiver_id"))), "sender_segment", "sender_country", "receiver_country", "country_code", "entity_type", "payment_type", "operator", "status", "currency", "amount",
-            _eur("amount"), _eur("fee_amount"), ("est_aboutie", c("status") == "SUCCESS"), ("est_transfrontalier", c("sender_country") != c("receiver_country")),
+        SilverTable("mobile_money", (
+            Dimension("customers", "customer_id", "sender_id", {"country_code": "sender_home_country", "segment": "sender_segment"}),
+        ), lambda: (
+            "payment_id", "timestamp", (
+                "payment_date", F.to_date("timestamp"),
+            ), ("payment_hour", F.hour("timestamp")), "sender_id", ("sender_token", token(c("sender_id"))), "receiver_id",
+            (
+                "receiver_token", token(c("receiver_id")),
+            ), "sender_segment", "sender_country", "receiver_country", "country_code", "entity_type", "payment_type", "operator", "status", "currency", "amount",
+            _eur("amount"), _eur("fee_amount"), ("est_aboutie", c("status") == "SUCCESS"), (
+                "est_transfrontalier", c("sender_country") != c("receiver_country"),
+            ),
             ("corridor", F.concat_ws("-", "sender_country", "receiver_country")),
             ("origine_inhabituelle", c("sender_home_country").isNotNull() & (c("sender_home_country") != c("sender_country"))), *_LINEAGE,
         )),
-        SilverTable("loan_repayments", (Dimension("accounts", "account_id", "loan_account_id", {"balance": "encours", "currency": "account_currency"}),), lambda: (
-            "repayment_id", "timestamp", ("repayment_date", F.to_date("timestamp")), "loan_account_id", "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "loan_type", "currency",
-            "amount_due", "amount_paid", "interest_amount", _eur("amount_due"), _eur("amount_paid"), _eur("interest_amount"), _eur("encours", "account_currency"), "due_date", "payment_date",
-            "days_overdue", "repayment_status", ("est_douteux", c("days_overdue") > domain.NPL_DAYS), ("echeance_soldee", c("amount_paid") >= c("amount_due")),
+        SilverTable("loan_repayments", (
+            Dimension("accounts", "account_id", "loan_account_id", {"balance": "encours", "currency": "account_currency"}),
+        ), lambda: (
+            "repayment_id", "timestamp", (
+                "repayment_date", F.to_date("timestamp"),
+            ), "loan_account_id", "customer_id", ("customer_token", _customer()), "country_code", "entity_type", "loan_type", "currency",
+            "amount_due", "amount_paid", "interest_amount", _eur("amount_due"), _eur("amount_paid"), _eur("interest_amount"), _eur(
+                "encours", "account_currency",
+            ), "due_date", "payment_date",
+            "days_overdue", "repayment_status", ("est_douteux", c("days_overdue") > domain.NPL_DAYS), (
+                "echeance_soldee", c("amount_paid") >= c("amount_due"),
+            ),
             ("surpaiement", c("amount_paid") > c("amount_due") * domain.OVERPAID), *_LINEAGE,
         )),
     )

@@ -55,7 +55,9 @@ class FileBus:
         """All topics as one stream."""
         out = None
         for path in self._ready(topics):
-            one = self.spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", self.max_files).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path)
+            one = self.spark.readStream.schema(ENVELOPE).option(
+                "maxFilesPerTrigger", self.max_files,
+            ).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path)
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -66,7 +68,10 @@ class FileBus:
     def values(self, topic: str, schema) -> DataFrame:
         """Messages parsed by a schema, with _timestamp, _partition_id, _partition_offset, _message."""
         parsed = self.table(topic).withColumn("_v", F.from_json("payload", schema))
-        return parsed.select("_v.*", F.col("kafka_timestamp").alias("_timestamp"), F.col("partition").alias("_partition_id"), F.col("offset").alias("_partition_offset"), F.col("payload").alias("_message"))
+        return parsed.select(
+            "_v.*", F.col("kafka_timestamp").alias("_timestamp"), F.col("partition").alias("_partition_id"),
+            F.col("offset").alias("_partition_offset"), F.col("payload").alias("_message"),
+        )
 
 
 class KafkaBus:
@@ -76,14 +81,21 @@ class KafkaBus:
         self.spark, self.servers, self.starting = spark, servers, starting
 
     def _options(self, topics: list[str]) -> dict[str, str]:
-        return {"kafka.bootstrap.servers": self.servers, "subscribe": ",".join(topics), "startingOffsets": self.starting, "failOnDataLoss": "false", "kafka.isolation.level": "read_committed"}
+        return {
+            "kafka.bootstrap.servers": self.servers, "subscribe": ",".join(topics), "startingOffsets": self.starting, "failOnDataLoss": "false",
+            "kafka.isolation.level": "read_committed",
+        }
 
     @staticmethod
     def _envelope(df: DataFrame) -> DataFrame:
-        return df.selectExpr("topic", "partition", "offset", "cast(key as string) as kafka_key", "timestamp as kafka_timestamp", "cast(value as string) as payload")
+        return df.selectExpr(
+            "topic", "partition", "offset", "cast(key as string) as kafka_key", "timestamp as kafka_timestamp", "cast(value as string) as payload",
+        )
 
     def stream(self, topics: list[str]) -> DataFrame:
-        return self._envelope(self.spark.readStream.format("kafka").options(**self._options(topics)).option("maxOffsetsPerTrigger", MAX_PER_TRIGGER).load())
+        return self._envelope(
+            self.spark.readStream.format("kafka").options(**self._options(topics)).option("maxOffsetsPerTrigger", MAX_PER_TRIGGER).load()
+        )
 
     def table(self, topic: str) -> DataFrame:
         return self._envelope(self.spark.read.format("kafka").options(**self._options([topic])).load())

@@ -96,7 +96,9 @@ def scan(spark: SparkSession, spec: DatasetSpec, paths: list[str]) -> DataFrame:
     """Files as text columns with lineage; rows that do not fit are kept in CORRUPT.
     The header is checked, so that reordered columns are not read as others."""
     reader = spark.read.options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-    return reader.schema(spec.text_schema).csv(paths).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.current_timestamp().alias(INGESTED))
+    return reader.schema(spec.text_schema).csv(paths).select(
+        "*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.current_timestamp().alias(INGESTED),
+    )
 
 
 def settled(spark: SparkSession, root: str, pending: str, min_age: float = 5.0, now: float | None = None) -> int:
@@ -120,10 +122,16 @@ def stream_events(spark: SparkSession, spec: DatasetSpec, root: str, max_files:
     """A stream of (topic, kafka_key, payload) from CSV files that arrive below
     root/<country>/<dataset>/: every row as a JSON event with its lineage."""
     schema = spec.text_schema
-    rows = spark.readStream.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, maxFilesPerTrigger=max_files, maxFileAge=max_age).schema(schema).csv(f"{root}/*/{spec.name}")
-    lined = rows.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(INGESTED))
+    rows = spark.readStream.options(
+        header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, maxFilesPerTrigger=max_files, maxFileAge=max_age,
+    ).schema(schema).csv(f"{root}/*/{spec.name}")
+    lined = rows.select(
+        "*", F.col("_metadata.file_path").alias(SOURCE_FILE), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(INGESTED),
+    )
     body = F.to_json(F.struct(*spec.columns, INGESTED, SOURCE_FILE))
-    return lined.select(topic_of(F.col(SOURCE_FILE)).alias("topic"), F.col("country_code").alias("kafka_key"), body.alias("payload")).where("topic is not null")
+    return lined.select(
+        topic_of(F.col(SOURCE_FILE)).alias("topic"), F.col("country_code").alias("kafka_key"), body.alias("payload"),
+    ).where("topic is not null")
 
 
 def file_rejects(spark: SparkSession, root: str) -> DataFrame:

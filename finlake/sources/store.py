@@ -151,7 +151,9 @@ class TableStore:
                     new.append({"path": folder, "files": len(files), "bytes": sum(b for _, b in files), "rows": 0})
             if new:
                 place = _place().alias("p")
-                found = self.spark.read.option("basePath", top).parquet(*[f"{top}/{p['path']}" for p in new]).groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
+                found = self.spark.read.option("basePath", top).parquet(
+                    *[f"{top}/{p['path']}" for p in new]
+                ).groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
                 count = {k: r.n for r in found for k in (r.p, unquote(r.p))}
                 for p in new:
                     p["rows"] = count.get(p["path"], 0)
@@ -160,7 +162,10 @@ class TableStore:
                 new = [p for p in new if p["rows"]]
         parts = [*kept, *new]
         total = {k: sum(p[k] for p in parts) for k in ("rows", "files", "bytes")}
-        entry = {"version": version, "committed_at": time.time(), "operation": operation, "schema": schema.json(), "partitioned_by": by, "added": total["rows"] - (now["rows"] if now else 0), "parts": parts} | total
+        entry = {
+            "version": version, "committed_at": time.time(), "operation": operation, "schema": schema.json(), "partitioned_by": by,
+            "added": total["rows"] - (now["rows"] if now else 0), "parts": parts,
+        } | total
         jvm, fs = self._fs()
         P = jvm.org.apache.hadoop.fs.Path
         fs.mkdirs(P(f"{top}/_log"))
@@ -211,7 +216,9 @@ class TableStore:
     def _shaped(df: DataFrame, schema: StructType) -> DataFrame:
         """df with the schema's columns in order, absent ones null."""
         have = {n.lower(): n for n in df.columns}
-        return df.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        return df.select(
+            *[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        )
 
     def append(self, zone: str, table: str, df: DataFrame, by: Iterable[str] = ()) -> dict:
         """Add rows; nothing that is there is read or rewritten."""
@@ -276,7 +283,9 @@ class TableStore:
             return set()
         probe = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
         held = self._frame(zone, table, now, parts, True)
-        found = held.join(probe, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi").select("_folder").distinct().collect()  # a row a folder
+        found = held.join(
+            probe, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi",
+        ).select("_folder").distinct().collect()  # a row a folder
         return {x for r in found for x in (r[0], unquote(r[0]))} & {p["path"] for p in parts}
 
     def compact(self, zone: str, table: str, target_mb: int = 32, min_files: int = 2) -> dict | None:
@@ -299,7 +308,9 @@ class TableStore:
                 need = self.spark.createDataFrame(list(needs.values()), ", ".join([f"_b{i} string" for i in range(len(by))] + ["_need int"]))
                 same = [F.col(b).cast("string").eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
                 salt = F.pmod(F.xxhash64(*df.columns), F.col("_need"))
-                df = df.join(F.broadcast(need), same).repartition(sum(n[-1] for n in needs.values()), *by, salt).select(*df.columns)  # a row a partition
+                df = df.join(F.broadcast(need), same).repartition(
+                    sum(n[-1] for n in needs.values()), *by, salt,
+                ).select(*df.columns)  # a row a partition
             else:
                 df = df.repartition(max(enough.values()))
             kept = [p for p in now["parts"] if p not in small]

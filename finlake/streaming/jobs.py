@@ -51,7 +51,9 @@ def dead_letters(rows: DataFrame, dataset: str, stage: str, reason: str = qualit
     """Rejected messages with where they came from, and the message as it was."""
     return rows.where(c(reason).isNotNull()).select(
         F.lit(dataset).alias("dataset"), c("topic").alias("source_topic"), c("partition").alias("source_partition"), c("offset").alias("source_offset"), c("kafka_timestamp").alias("received_at"),
-        c(reason).alias("rejection_reason"), (c(source) if source else F.lit(None).cast("string")).alias("source_file"), F.lit(stage).alias("stage"), c("payload").alias("original_message"),
+        c(reason).alias("rejection_reason"), (
+            c(source) if source else F.lit(None).cast("string")
+        ).alias("source_file"), F.lit(stage).alias("stage"), c("payload").alias("original_message"),
     )
 
 
@@ -84,7 +86,12 @@ def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, che
         finally:
             rows.unpersist()
 
-    return _trigger(events.writeStream.queryName(f"raw_to_silver_{dataset}").option("checkpointLocation", f"{checkpoints}/raw_to_silver/{dataset}").foreachBatch(batch), once).start()
+    return _trigger(
+        events.writeStream.queryName(f"raw_to_silver_{dataset}").option(
+            "checkpointLocation", f"{checkpoints}/raw_to_silver/{dataset}",
+        ).foreachBatch(batch),
+        once,
+    ).start()
 
 
 # job 2
@@ -102,7 +109,9 @@ def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
     """Declaration threshold, foreign origin and excessive claims: one query over three topics."""
     topics = domain.SILVER_TOPICS
     keys = [F.get_json_object("payload", f"$.{SPECS[d].key}") for d in topics]
-    stream = drop_repeats(bus.stream(list(topics.values())).withColumn("_dedup_key", F.coalesce(*keys, F.sha2(F.coalesce("payload", F.lit("")), 256))))
+    stream = drop_repeats(
+        bus.stream(list(topics.values())).withColumn("_dedup_key", F.coalesce(*keys, F.sha2(F.coalesce("payload", F.lit("")), 256)))
+    )
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
@@ -130,7 +139,9 @@ def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
         finally:
             rows.unpersist()
 
-    return _trigger(stream.writeStream.queryName("unit_rules").option("checkpointLocation", f"{checkpoints}/silver_to_gold/unit").foreachBatch(batch), once).start()
+    return _trigger(
+        stream.writeStream.queryName("unit_rules").option("checkpointLocation", f"{checkpoints}/silver_to_gold/unit").foreachBatch(batch), once,
+    ).start()
 
 
 def _emit(store: TableStore, bus, alerts: DataFrame, table: str, key: str, topic: str, batch: str) -> None:
@@ -146,7 +157,9 @@ def _emit(store: TableStore, bus, alerts: DataFrame, table: str, key: str, topic
 
 def _silver_events(spark: SparkSession, bus, store: TableStore) -> DataFrame:
     """Bank transactions of the topic by event time, one a transaction."""
-    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]]).select(F.from_json("payload", _silver_schema(spark, store, "bank_txn")).alias("_v")).select("_v.*").where("transaction_id is not null")
+    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]]).select(
+        F.from_json("payload", _silver_schema(spark, store, "bank_txn")).alias("_v")
+    ).select("_v.*").where("transaction_id is not null")
     return rows.withWatermark("timestamp", EVENT_WATERMARK).dropDuplicates(["transaction_id", "timestamp"])
 
 
@@ -155,9 +168,17 @@ def burst_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
     windows = rules.burst_windows(rules.large(_silver_events(spark, bus, store)))
 
     def batch(rows: DataFrame, number: int) -> None:
-        _emit(store, bus, rules.burst_alerts(rules.collapse(rows)).dropDuplicates(["alert_id"]), "fraud_alerts", "alert_id", domain.FRAUD_TOPIC, f"burst-{number}")
+        _emit(
+            store, bus, rules.burst_alerts(rules.collapse(rows)).dropDuplicates(["alert_id"]), "fraud_alerts", "alert_id", domain.FRAUD_TOPIC,
+            f"burst-{number}",
+        )
 
-    return _trigger(windows.writeStream.queryName("burst_rule").outputMode("update").option("checkpointLocation", f"{checkpoints}/silver_to_gold/burst").foreachBatch(batch), once).start()
+    return _trigger(
+        windows.writeStream.queryName("burst_rule").outputMode("update").option(
+            "checkpointLocation", f"{checkpoints}/silver_to_gold/burst",
+        ).foreachBatch(batch),
+        once,
+    ).start()
 
 
 def liquidity_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
@@ -167,7 +188,12 @@ def liquidity_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str
         stock = rules.outstanding(store.read("silver", "accounts"))
         _emit(store, bus, rules.liquidity_alerts(rows, stock), "liquidity_alerts", "alert_id", domain.LIQUIDITY_TOPIC, f"liquidity-{number}")
 
-    return _trigger(windows.writeStream.queryName("liquidity_rule").outputMode("update").option("checkpointLocation", f"{checkpoints}/silver_to_gold/liquidity").foreachBatch(batch), once).start()
+    return _trigger(
+        windows.writeStream.queryName("liquidity_rule").outputMode("update").option(
+            "checkpointLocation", f"{checkpoints}/silver_to_gold/liquidity",
+        ).foreachBatch(batch),
+        once,
+    ).start()
 
 
 RULES = {"unitaires": unit_rules, "rafales": burst_rule, "liquidite": liquidity_rule}
