@@ -208,8 +208,8 @@ def lines(page: str) -> list[Line]:
         scrap = len(text) < SCRAP and not last.prose and not _END.search(text)
         weight = 0.0 if 2 * links > len(text) or scrap else float(plain + EDGE * last.heading)
         found.append((Line(text, weight, True), last.inside))
-        by_main[last.inside] = by_main.get(last.inside, 0) + len(text)
-    dense = {k for k, n in by_main.items() if k >= 0 and 2 * n >= sum(by_main.values())}
+        by_main[last.inside] = by_main.get(last.inside, 0) + weight
+    dense = {k for k, n in by_main.items() if k >= 0 and n and 2 * n >= sum(by_main.values())}
     if dense:
         for line, inside in found:
             if line.main:
