@@ -48,8 +48,10 @@ STAGE_WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 25, 4
 #: Positional bytes of a signature that copies share at least: of 100, 80 +- 4 at 0.8, so fewer with probability 1e-8.
 SHARED = 55
-#: Rounds of leads before members are compared pair by pair; ids up to which a side of a join is broadcast.
-ROUNDS, BROADCAST_ROWS = 3, 300_000
+#: Members up to which all pairs of a list are compared; members of a longer one's main component that others meet, and how often.
+LIST_PAIRS, LEADS, ROUNDS = 48, 8, 2
+#: Ids up to which a side of a join is broadcast.
+BROADCAST_ROWS = 300_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 # fixed odd multiplier of the rolling hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -456,46 +458,55 @@ def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float)
     return stash(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _between(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _text and _root (the class), a row a row of docs: classes are the
-    components of all pairs of a Jaccard similarity of at least ``least``.
-
-    A list holds the sets that agree in a band. All are compared with its lead, the
-    smallest key, first. While members that have not led are in different components,
-    one of them leads for those of other components; after ROUNDS rounds, the members
-    of different components that none of them has settled are compared pair by pair.
+    components of pairs of a Jaccard similarity of at least ``least``.
+
+    A list holds the sets that agree in a band. Every set is compared with one lead of
+    its lists first. Then, of members in different components only: in lists of up to
+    LIST_PAIRS members each pair; in longer ones, where that would grow with the square
+    of a group, each member outside the list's main component with LEADS members of it,
+    ROUNDS times. So a set joins a long list's component unless it is similar to few of
+    its members; in short lists no link is lost.
     """
     rows = stash(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
     kinds = stash(rows.groupBy("_key").agg(first, *[F.first(c).alias(c) for c in ("_size", "_bytes", "_bands")]))
     posts = kinds.select("_key", F.explode("_bands").alias("v"))
-    lists = stash(posts.groupBy("v").agg(F.min("_key").alias("_lead"), F.count("*").alias("_of")).where("_of > 1"))
+    any_ = F.min(F.struct(F.xxhash64("_key", "v"), "_key"))["_key"].alias("_lead")
+    lists = stash(posts.groupBy("v").agg(any_, F.count("*").alias("_of")).where("_of > 1"))
     members = stash(posts.join(lists, "v"))
 
     def classes_of(found: DataFrame) -> DataFrame:
         return components(found).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
 
-    found = verified(docs, kinds, members.where("_key <> _lead").select(F.col("_lead").alias("a"), F.col("_key").alias("b")).distinct(), least)
+    def between(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    one = F.max_by("_lead", F.struct("_of", F.xxhash64("_lead"))).alias("_lead")
+    pairs = members.where("_key <> _lead").groupBy("_key").agg(one).select(*between("_lead", "_key")).distinct()
+    found = verified(docs, kinds, pairs, least)
     roots = classes_of(found)
-    rest = members.where("_of > 2 and _key <> _lead").select("v", "_key")
-    for at in range(ROUNDS + 1):
-        placed = rest.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-        # large components have small roots, so the largest root leads: one that few share
-        lead = F.max(F.struct("_root", F.xxhash64("_key", "v"), "_key")).alias("_l")
-        open_ = placed.groupBy("v").agg(F.min("_root").alias("_lo"), lead).where("_lo <> _l._root").select("v", F.col("_l._key").alias("_lead"), F.col("_l._root").alias("_main"))
+    for at in range(ROUNDS):
+        placed = (members if at == 0 else members.where(F.col("_of") > LIST_PAIRS)).select("v", "_key", "_of").join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+        open_ = placed.groupBy("v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("v")
         placed = stash(placed.join(open_, "v"))
         if placed.isEmpty():
             break
-        if at < ROUNDS:
-            pairs = placed.where("_root <> _main").select(*_between("_lead", "_key"))
-            rest = placed.where("_key <> _lead").select("v", "_key")
-        else:
-            pairs = placed.alias("x").join(placed.alias("y"), "v").where("x._root <> y._root and x._key < y._key").select(F.col("x._key").alias("a"), F.col("y._key").alias("b"))
-        found = found.unionAll(verified(docs, kinds, pairs.distinct(), least))
+        # the main component of a long list, and LEADS of its members
+        long = placed.where(F.col("_of") > LIST_PAIRS)
+        parts = long.groupBy("v", "_root").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("_key", "v", F.lit(at * LEADS + k)), "_key"))["_key"].alias(f"l{k}") for k in range(LEADS)])
+        main = parts.groupBy("v").agg(F.max(F.struct("n", "_root", F.array(*[f"l{k}" for k in range(LEADS)]).alias("leads"))).alias("m")).select("v", F.col("m._root").alias("_main"), "m.leads")
+        asked = long.join(main, "v").where("_root <> _main").groupBy("_key").agg(F.max(F.struct("_of", F.xxhash64("v"), "leads"))["leads"].alias("leads"))
+        pairs = asked.select("_key", F.explode(F.array_distinct("leads")).alias("_lead")).select(*between("_lead", "_key"))
+        if at == 0:
+            short = placed.where(F.col("_of") <= LIST_PAIRS)
+            each = short.alias("x").join(short.alias("y"), "v").where("x._root <> y._root and x._key < y._key")
+            pairs = pairs.unionAll(each.select(F.col("x._key").alias("a"), F.col("y._key").alias("b")))
+        more = verified(docs, kinds, pairs.distinct(), least)
+        if more.isEmpty():
+            break
+        found = found.unionAll(more)
         roots = classes_of(found)
     return stash(rows.select("doc_id", "_text", "_key").join(roots, "_key", "left").select("doc_id", "_text", F.coalesce("_root", "_key").alias("_root")))
 
