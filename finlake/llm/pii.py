@@ -32,7 +32,7 @@ _AROUND_AT = rf"(?<!{_IN}){_IN.replace('[^', '[^@')}++@{_IN}++"
 _TOKEN = rf"(?<!{_IN})(?={_IN.replace('[^', '[^0-9')}*+[0-9]){_IN}{{{LEAST},}}+"
 MENTION = f"{_GROUPS}|{_AROUND_AT}|{_TOKEN}"
 #: A pattern's least share of known entities, the width of its interval, and of how many different ones; rounds of scoring.
-CONFIDENCE, WIDTH, SUPPORT, ROUNDS = 0.8, 2.0, 5, 3
+CONFIDENCE, WIDTH, SUPPORT, ROUNDS = 0.7, 2.0, 5, 3
 #: New spans, in all rows together, up to which they are broadcast to the texts.
 BROADCAST_SPANS = 300_000
 

@@ -465,7 +465,7 @@ def test_pii_recall_and_precision_of_discovery(spark, docs_of):
     kinds = {
         "email": ("write to", "today", lambda: f"{word()}@{word()}.org", lambda: f"{word()}@{word()}"),
         "phone": ("call us on", "please", lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"0{digits(3)} 555 {digits(4)}"),
-        "ip": ("from host", "port", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"fe80::{digits(4)}a{digits(3)}"),
+        "ip": ("from host", "port", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"ip-{digits(2)}-{digits(3)}-{digits(2)}-{digits(3)}"),
     }
     texts, planted = [], {}
     for k in range(600):
