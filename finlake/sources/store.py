@@ -117,6 +117,18 @@ class TableStore:
     def _data(self, folder: str) -> list[tuple[str, int]]:
         return [(i.getPath().toString(), i.getLen()) for i in self._list(folder) if i.getPath().getName().startswith("part-")]
 
+    def _below(self, folder: str) -> list[tuple[str, int]]:
+        """(path from the folder on, bytes) of all data files below it, by one recursive listing."""
+        jvm, fs = self._fs()
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        base, out, files = fs.makeQualified(where).toString(), [], fs.listFiles(where, True)
+        while files.hasNext():
+            item = files.next()
+            path = item.getPath().toString()
+            if path.rpartition("/")[2].startswith("part-"):
+                out.append((path.removeprefix(base), item.getLen()))
+        return out
+
     def partitions(self, zone: str, table: str) -> DataFrame:
         """partition, file_count, record_count of the current version, from the log alone."""
         now, out = self.current(zone, table), {}
@@ -141,19 +153,13 @@ class TableStore:
             name = f"{_COMMIT}={version:010d}"
             writer = (df.hint("rebalance", *by) if by and not dealt else df).write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(*by) if by else writer).parquet(f"{top}/{name}")
-            todo = [name]
-            while todo:
-                folder = todo.pop()
-                items = self._list(f"{top}/{folder}")
-                todo += [f"{folder}/{i.getPath().getName()}" for i in items if i.isDirectory()]
-                files = self._data(f"{top}/{folder}")
-                if files:
-                    new.append({"path": folder, "files": len(files), "bytes": sum(b for _, b in files), "rows": 0})
+            held: dict[str, list[int]] = {}
+            for path, size in self._below(f"{top}/{name}"):
+                held.setdefault(path.rpartition("/")[0], []).append(size)
+            new = [{"path": f"{name}{k}", "files": len(v), "bytes": sum(v), "rows": 0} for k, v in sorted(held.items())]
             if new:
                 place = _place().alias("p")
-                found = self.spark.read.option("basePath", top).parquet(
-                    *[f"{top}/{p['path']}" for p in new]
-                ).groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
+                found = self.spark.read.option("basePath", top).parquet(f"{top}/{name}").groupBy(place).agg(F.count("*").alias("n")).collect()  # a row a folder
                 count = {k: r.n for r in found for k in (r.p, unquote(r.p))}
                 for p in new:
                     p["rows"] = count.get(p["path"], 0)
