@@ -26,7 +26,7 @@ BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
 SAMPLE, EPOCHS, RATE, SEED = 4000, 6, 0.5, 7
 KEEP = 0.3
 #: Distinct words whose share of the score a worker remembers.
-MEMO = 200_000
+MEMO = 500_000
 
 
 def features(word: str) -> list[int]:
