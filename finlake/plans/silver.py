@@ -22,6 +22,8 @@ from finlake.sources.store import TableStore
 
 log = logging.getLogger(__name__)
 WINDOW_DAYS = 7
+#: Whether new tables of events are partitioned by day beside the country; small lakes do without.
+BY_DAY = True
 #: Flags whose rows a run counts as outliers.
 OUTLIERS = ("frais_aberrants", "delai_manquant", "origine_inhabituelle", "surpaiement")
 c = F.col
@@ -66,7 +68,7 @@ class SilverTable:
 
     @property
     def partitioning(self) -> list[str]:
-        return ["country_code", *([self.day] if self.day else [])]
+        return ["country_code", *([self.day] if self.day and BY_DAY else [])]
 
     def build(self, source: DataFrame, read, as_of: date | None = None, keep: str = "earliest") -> DataFrame:
         """read(table) gives a raw referential; each is reduced to a row a key first."""
