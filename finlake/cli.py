@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "raw-to-silver":
             running = [jobs.raw_to_silver(spark, bus, store, d, a.checkpoints, a.once) for d in a.datasets or jobs.DATASETS]
         else:
-            running = [jobs.RULES[r](spark, bus, store, a.checkpoints, a.once) for r in a.rules or jobs.RULES]
+            running = [jobs.ALL_RULES[r](spark, bus, store, a.checkpoints, a.once) for r in a.rules or jobs.RULES]
         errors = jobs.supervise(running, a.once)
         print("\n".join(errors))
         return int(bool(errors))

@@ -609,12 +609,12 @@ def _windows(spark, d) -> DataFrame:
     )
 
 
-def _burst_columns(rows: DataFrame, windows: bool) -> DataFrame:
+def _burst_columns(rows: DataFrame, windows: bool, *more) -> DataFrame:
     at = lambda x, name: c(x).cast("timestamp_ntz").alias(name)
     start = [at("span.start", "window_start")] if windows else []
     return rows.select(
         "user_id", *start, c("held.events").alias("occurrences"), c("held.total").cast("double").alias("total"), at("since", "first_ts"),
-        at("held.until", "last_ts"),
+        at("held.until", "last_ts"), *more,
     )
 
 
@@ -982,8 +982,35 @@ def stream_burst(spark, d):
     )
 
 
+@query(
+    "stream_burst_alerts",
+    "WITH a AS (SELECT user_id, ts, event_id, value, coalesce(epoch_us(lead(ts, 2) OVER w) - epoch_us(ts) <= 3600000000, false)"
+    " AS s FROM events WHERE value > 20 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, coalesce(lag(s,"
+    " 1) OVER w, false) OR coalesce(lag(s, 2) OVER w, false) AS r FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),"
+    " g AS (SELECT *, sum(CASE WHEN s AND NOT r THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED"
+    f" PRECEDING) AS k FROM b) SELECT user_id, count(*) AS occurrences, {_s('value')} AS total, min(ts) AS first_ts, max(ts) AS last_ts,"
+    " max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR AS closed FROM g WHERE s OR r GROUP BY user_id, k",
+)
+def stream_burst_alerts(spark, d):
+    """One row a burst from keyed state: what was told last of it, and whether it is final."""
+    from finlake.streaming import bursts, state
+
+    before = {k: spark.conf.get(k, None) for k in state.SETTINGS}
+    state.use_rocksdb(spark)
+    try:
+        rows = _stream(spark, d).withWatermark("ts", "2 hours").where("value > 20")
+        told = _drain(bursts.stream_bursts(rows, None, 3600, 3, ("user_id",), "ts", "value", "event_id"), "append")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
+    last = told.groupBy("user_id", "since").agg(F.max_by(F.struct("held", "told"), F.struct("_batch", c("told") == bursts.CLOSED)).alias("s"))
+    rows = last.select("user_id", "since", "s.*").where(c("told") != bursts.WITHDRAWN)
+    return _burst_columns(rows, False, (c("told") == bursts.CLOSED).alias("closed")).withColumn("total", _r(c("total"), 2))
+
+
 def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     return balances_by_country(spark, d).orderBy(F.desc("eur_total"))
 
 
 from finlake.plans import catalogue_tables  # noqa: E402,F401  adds its queries
+from finlake.plans import catalogue_increments  # noqa: E402,F401  adds its queries

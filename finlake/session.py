@@ -1,9 +1,11 @@
-"""Session builder: UTC, ANSI casts, adaptive execution."""
+"""Session builder: UTC, ANSI casts, adaptive execution, stream state on disk."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from finlake.streaming.state import SETTINGS
+
 
 def build(name: str = "finlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC. Sizes are left to adaptive execution unless conf gives them."""
@@ -17,5 +19,6 @@ def build(name: str = "finlake", master: str | None = None, **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
+        **SETTINGS,
     }
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()

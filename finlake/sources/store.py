@@ -10,6 +10,10 @@ check for repeated keys, the partitions and the merge read what was written. Row
 dealt to writers by the partition columns, and adaptive execution splits a large
 partition among several. All file work goes through Hadoop's FileSystem, so root may
 be any store that Spark reads.
+
+A folder that a commit drops stays for ``keep_hours``, so that a job which began before
+the commit reads on, and so that changes() can tell what a merge has replaced: the rows
+of the folders that it dropped, less those of the folders that it wrote.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from finlake.operators.core import missing, upsert
+from finlake.operators.core import missing
 
 _LOCKS: dict[str, threading.RLock] = {}
 _GUARD = threading.Lock()
@@ -48,8 +52,8 @@ def _values(part: dict) -> dict[str, str | None]:
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 3):
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep_versions
+    def __init__(self, spark: SparkSession, root: str, keep_hours: float = 24.0):
+        self.spark, self.root, self.keep_hours = spark, root.rstrip("/"), keep_hours
 
     # files
     def _fs(self):
@@ -140,11 +144,13 @@ class TableStore:
 
     # commits
     def _commit(
-        self, zone: str, table: str, df: DataFrame | None, by: Iterable[str], operation: str, kept: list[dict], schema: StructType | None = None, dealt: bool = False
+        self, zone: str, table: str, df: DataFrame | None, by: Iterable[str], operation: str, kept: list[dict], schema: StructType | None = None, dealt: bool = False,
+        note: dict | None = None, unique: list[str] | None = None,
     ) -> dict:
         """A version of the kept folders and of df's rows. Unless they are dealt to
         writers already, rows of a partition meet, and adaptive execution splits a
-        large partition among several writers."""
+        large partition among several writers. note is kept with the version; unique
+        names keys that what was written must hold once, else nothing is committed."""
         now = self.current(zone, table)
         version, top = (now["version"] + 1 if now else 1), self.path(zone, table)
         schema = schema or df.schema
@@ -153,6 +159,8 @@ class TableStore:
             name = f"{_COMMIT}={version:010d}"
             writer = (df.hint("rebalance", *by) if by and not dealt else df).write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(*by) if by else writer).parquet(f"{top}/{name}")
+            if unique:
+                self._once(self.spark.read.schema(schema).option("basePath", top).parquet(f"{top}/{name}"), unique, f"{zone}.{table}")
             held: dict[str, list[int]] = {}
             for path, size in self._below(f"{top}/{name}"):
                 held.setdefault(path.rpartition("/")[0], []).append(size)
@@ -170,7 +178,8 @@ class TableStore:
         total = {k: sum(p[k] for p in parts) for k in ("rows", "files", "bytes")}
         entry = {
             "version": version, "committed_at": time.time(), "operation": operation, "schema": schema.json(), "partitioned_by": by,
-            "added": total["rows"] - (now["rows"] if now else 0), "parts": parts,
+            "added": total["rows"] - (now["rows"] if now else 0), "note": note if note is not None else (now or {}).get("note", {}), "parts": parts,
+            "dropped": sorted({p["path"].split("/")[0] for p in (now["parts"] if now else [])} - {p["path"].split("/")[0] for p in parts}),
         } | total
         jvm, fs = self._fs()
         P = jvm.org.apache.hadoop.fs.Path
@@ -185,13 +194,40 @@ class TableStore:
         return entry
 
     def _sweep(self, zone: str, table: str) -> None:
-        """Delete folders that none of the last versions names."""
+        """Delete the folders that commits older than keep_hours have dropped, then the
+        log entries of these commits but for the last of them; an entry is read once."""
         jvm, fs = self._fs()
-        used = {p["path"].split("/")[0] for e in self._entries(zone, table, self.keep) for p in e["parts"]}
-        for item in self._list(self.path(zone, table)):
-            name = item.getPath().getName()
-            if name.startswith(f"{_COMMIT}=") and name not in used:
-                fs.delete(item.getPath(), True)
+        before = (time.time() - self.keep_hours * 3600) * 1000
+        entries = sorted((i.getPath().getName(), i.getModificationTime()) for i in self._list(f"{self.path(zone, table)}/_log") if i.getPath().getName().endswith(".json"))
+        old = [name for name, at in entries[:-1] if at < before]
+        if len(old) < 2:
+            return
+        top = self.path(zone, table)
+        for row in self.spark.read.text([f"{top}/_log/{n}" for n in old]).collect():  # one line a version
+            for folder in json.loads(row.value).get("dropped", []):
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{top}/{folder}"), True)
+        for name in old[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{top}/_log/{name}"), False)
+
+    @staticmethod
+    def _once(rows: DataFrame, keys: list[str], what: str) -> None:
+        if rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise DuplicateKeys(f"{what}: the source repeats a key of {keys}")
+
+    def changes(self, zone: str, table: str, since: int, upto: int | None = None) -> DataFrame | None:
+        """What the versions after ``since`` have changed: rows of the folders that are
+        no longer there with _sign -1, and of those that are new with 1. An upsert's rows
+        that stayed as they were are in both and cancel out. None if a version is no
+        longer in the log, or its folders may be gone."""
+        found = {e["version"]: e for e in self._entries(zone, table)}
+        new = found.get(upto or max(found))
+        old = found.get(since) if since else {"parts": []}
+        if old is None or new is None:
+            return None
+        had, has = ({p["path"]: p for p in e["parts"]} for e in (old, new))
+        sides = [self._shaped(self._frame(zone, table, e, [p for k, p in side.items() if k not in other]), StructType.fromJson(json.loads(new["schema"]))).withColumn("_sign", F.lit(sign))
+                 for e, side, other, sign in ((old if since else new, had, has, -1), (new, has, had, 1))]
+        return sides[0].unionAll(sides[1])
 
     def create(self, zone: str, table: str, ddl: str, by: Iterable[str] = ()) -> None:
         """An empty table, if it does not exist; new columns are added to one that does."""
@@ -235,34 +271,47 @@ class TableStore:
             schema, _ = self._widened(now, df)
             return self._commit(zone, table, self._shaped(df, schema), now["partitioned_by"], "append", now["parts"], schema)
 
-    def overwrite(self, zone: str, table: str, df: DataFrame, by: Iterable[str] = ()) -> dict:
+    def overwrite(self, zone: str, table: str, df: DataFrame, by: Iterable[str] = (), note: dict | None = None) -> dict:
+        """The table becomes df; what df reads of the table is its version before."""
         with self.lock(zone, table):
-            return self._commit(zone, table, df, by, "overwrite", [])
+            return self._commit(zone, table, df, by, "overwrite", [], note=note)
 
-    def merge(self, zone: str, table: str, source: DataFrame, keys: list[str], by: Iterable[str] = (), mode: str = "upsert") -> dict:
+    def merge(
+        self, zone: str, table: str, source: DataFrame, keys: list[str], by: Iterable[str] = (), mode: str = "upsert", removed: str | None = None, unique: bool = False,
+        note: dict | None = None,
+    ) -> dict:
         """insert_only: rows of new keys; upsert: also replace rows of known keys;
         replace_partitions: the source's partitions become what the source says.
-        Keys match null-safely; a key twice in the source is an error. Partitions
-        that cannot hold a key of the source, by those partition columns that are keys,
+        Keys match null-safely; a key twice in the source is an error, which is not
+        looked for if the source is known to be unique. With ``removed``, rows of an
+        upsert in which this column is true remove their key's row. Partitions that
+        cannot hold a key of the source, by those partition columns that are keys,
         are not read. insert_only adds files; an upsert adds them too, and rewrites only
-        the folders in which a scan of the key columns has found a key of the source."""
+        the folders in which a scan of the key columns has found a key of the source.
+        A table's first rows are written where they stay; else the source is written
+        once and read from there."""
         with self.lock(zone, table):
             now = self.current(zone, table)
-            schema = self._widened(now, source)[0] if now else source.schema
+            plain = source.drop(removed) if removed else source
+            schema = self._widened(now, plain)[0] if now else plain.schema
+            if now is None or not now["parts"]:
+                rows = source.where(~F.col(removed)) if removed else source
+                return self._commit(zone, table, self._shaped(rows, schema), now["partitioned_by"] if now else by, mode, [], schema, note=note, unique=None if unique else keys)
+            kept = StructType([*schema.fields, StructField(removed, BooleanType())]) if removed else schema
             draft = f"{self.root}/_drafts/{uuid.uuid4().hex}"
             try:
-                self._shaped(source, schema).write.parquet(draft)
-                source = self.spark.read.schema(schema).parquet(draft)
-                if source.groupBy(*keys).count().where("count > 1").limit(1).count():
-                    raise DuplicateKeys(f"{zone}.{table}: the source repeats a key of {keys}")
-                if now is None:
-                    return self._commit(zone, table, source, by, mode, [])
-                return self._merged(zone, table, source, keys, mode, now, schema)
+                self._shaped(source, kept).write.parquet(draft)
+                source = self.spark.read.schema(kept).parquet(draft)
+                if not unique:
+                    self._once(source, keys, f"{zone}.{table}")
+                return self._merged(zone, table, source, keys, mode, now, schema, removed, note)
             finally:
                 jvm, fs = self._fs()
                 fs.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
 
-    def _merged(self, zone: str, table: str, source: DataFrame, keys: list[str], mode: str, now: dict, schema: StructType) -> dict:
+    def _merged(
+        self, zone: str, table: str, source: DataFrame, keys: list[str], mode: str, now: dict, schema: StructType, removed: str | None = None, note: dict | None = None
+    ) -> dict:
         by = now["partitioned_by"]
         prune = [b for b in by if b in keys or mode == "replace_partitions"]
         touched, others = now["parts"], []
@@ -271,17 +320,18 @@ class TableStore:
             touched = [p for p in now["parts"] if tuple(_values(p)[b] for b in prune) in values]
             others = [p for p in now["parts"] if p not in touched]
         if mode == "replace_partitions":
-            return self._commit(zone, table, source, by, mode, others, schema)
+            return self._commit(zone, table, source, by, mode, others, schema, note=note)
         if mode == "insert_only":
             target = self._shaped(self._frame(zone, table, now, touched), schema)
-            return self._commit(zone, table, missing(source, target, keys), by, mode, now["parts"], schema)
+            return self._commit(zone, table, missing(source, target, keys), by, mode, now["parts"], schema, note=note)
         hold = self._holders(zone, table, now, touched, source, keys)
         rewritten = [p for p in touched if p["path"] in hold]
         kept = [p for p in now["parts"] if p["path"] not in hold]
+        fresh = source.where(~F.col(removed)).drop(removed) if removed else source
         if not rewritten:
-            return self._commit(zone, table, source, by, mode, kept, schema)
+            return self._commit(zone, table, fresh, by, mode, kept, schema, note=note)
         target = self._shaped(self._frame(zone, table, now, rewritten), schema)
-        return self._commit(zone, table, upsert(target, source, keys), by, mode, kept, schema)
+        return self._commit(zone, table, fresh.unionByName(missing(target, source, keys)), by, mode, kept, schema, note=note)
 
     def _holders(self, zone: str, table: str, now: dict, parts: list[dict], source: DataFrame, keys: list[str]) -> set[str]:
         """Folders that hold a key of the source: a scan of the key columns alone."""

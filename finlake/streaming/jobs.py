@@ -21,7 +21,8 @@ from finlake.plans.silver import TABLES
 from finlake.sources.specs import CORRUPT, INGESTED, SOURCE_FILE, SPECS
 from finlake.sources.store import TableStore
 
-from . import rules
+from . import bursts, rules
+from .state import use_rocksdb
 
 c = F.col
 ARRIVAL_WATERMARK, EVENT_WATERMARK, TRIGGER = "10 minutes", "3 days", "20 seconds"
@@ -144,26 +145,52 @@ def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
     ).start()
 
 
-def _emit(store: TableStore, bus, alerts: DataFrame, table: str, key: str, topic: str, batch: str) -> None:
-    """Table first, then topic: a crash between both repeats the topic's batch by the same name."""
+def _emit(store: TableStore, bus, alerts: DataFrame, table: str, key: str, topic: str, batch: str, removed: str | None = None) -> None:
+    """Table first, then topic: a crash between both repeats the topic's batch by the same
+    name. Fraud alerts are dealt to a topic's partitions by their id, of which there are
+    many. Alerts of which ``removed`` is true go from the table and are not published."""
     alerts = alerts.persist()
     try:
         if not alerts.isEmpty():
-            store.merge("gold", table, alerts, [key, "country_code"], ["country_code"])
-            bus.publish(alerts, topic, "country_code", batch)
+            store.merge("gold", table, alerts, [key, "country_code"], ["country_code"], removed=removed, unique=True)
+            alive = alerts.where(~c(removed)).drop(removed) if removed else alerts
+            if not removed or not alive.isEmpty():
+                bus.publish(alive, topic, key if topic == domain.FRAUD_TOPIC else "country_code", batch)
     finally:
         alerts.unpersist()
 
 
+def _silver_messages(spark: SparkSession, bus, store: TableStore) -> DataFrame:
+    """Bank transactions of the topic."""
+    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]])
+    return rows.select(F.from_json("payload", _silver_schema(spark, store, "bank_txn")).alias("_v")).select("_v.*").where("transaction_id is not null")
+
+
 def _silver_events(spark: SparkSession, bus, store: TableStore) -> DataFrame:
     """Bank transactions of the topic by event time, one a transaction."""
-    rows = bus.stream([domain.SILVER_TOPICS["bank_txn"]]).select(
-        F.from_json("payload", _silver_schema(spark, store, "bank_txn")).alias("_v")
-    ).select("_v.*").where("transaction_id is not null")
-    return rows.withWatermark("timestamp", EVENT_WATERMARK).dropDuplicates(["transaction_id", "timestamp"])
+    return _silver_messages(spark, bus, store).withWatermark("timestamp", EVENT_WATERMARK).dropDuplicates(["transaction_id", "timestamp"])
 
 
 def burst_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
+    """One alert a burst, by keyed state: told when it opens and when it changes, final once
+    the watermark has passed. The table holds what bursts_exact() finds in all that came."""
+    use_rocksdb(spark)
+    told = bursts.stream_bursts(rules.large(_silver_messages(spark, bus, store)), EVENT_WATERMARK)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        try:
+            sides = [rules.burst_alerts(rows.where((c("told") == bursts.WITHDRAWN) == gone)).withColumn("_removed", F.lit(gone)) for gone in (False, True)]
+            _emit(store, bus, sides[0].unionByName(sides[1]).dropDuplicates(["alert_id"]), "fraud_alerts", "alert_id", domain.FRAUD_TOPIC, f"burst-{number}", "_removed")
+        finally:
+            rows.unpersist()
+
+    return _trigger(
+        told.writeStream.queryName("burst_rule").outputMode("append").option("checkpointLocation", f"{checkpoints}/silver_to_gold/burst_state").foreachBatch(batch), once
+    ).start()
+
+
+def burst_window_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
     """Bursts by sliding windows, in update mode: the last windows of a bounded run count too."""
     windows = rules.burst_windows(rules.large(_silver_events(spark, bus, store)))
 
@@ -174,7 +201,7 @@ def burst_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
         )
 
     return _trigger(
-        windows.writeStream.queryName("burst_rule").outputMode("update").option(
+        windows.writeStream.queryName("burst_window_rule").outputMode("update").option(
             "checkpointLocation", f"{checkpoints}/silver_to_gold/burst",
         ).foreachBatch(batch),
         once,
@@ -197,6 +224,8 @@ def liquidity_rule(spark: SparkSession, bus, store: TableStore, checkpoints: str
 
 
 RULES = {"unitaires": unit_rules, "rafales": burst_rule, "liquidite": liquidity_rule}
+#: Also by name: bursts by sliding windows, with an alert for each first event of a window.
+ALL_RULES = RULES | {"rafales_fenetres": burst_window_rule}
 
 
 def supervise(queries: list[StreamingQuery], once: bool) -> list[str]:
