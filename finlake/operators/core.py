@@ -6,7 +6,8 @@ from datetime import timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +50,15 @@ def running_share(df: DataFrame, name: str, group: str, by: Column, amount: Colu
     return out.drop("_hash", "_amount", "_bucket", "_before", "_total")
 
 
+def figures(observation: Observation) -> dict:
+    """What an observation has found, once its frame was written; empty where the
+    optimizer has found that there was nothing to read."""
+    try:
+        return observation.get
+    except Py4JJavaError:  # no row of figures was made
+        return {}
+
+
 def within_countries(df: DataFrame, countries: list[str] | None, column: str = "country_code") -> DataFrame:
     """Rows of the given countries; all rows if none are given."""
     return df.where(F.col(column).isin(*countries)) if countries else df

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from finlake import domain
@@ -22,8 +22,9 @@ from finlake.sources.store import TableStore
 
 log = logging.getLogger(__name__)
 WINDOW_DAYS = 7
-#: Whether new tables of events are partitioned by day beside the country; small lakes do without.
-BY_DAY = True
+#: Whether new tables of events are partitioned by day beside the country; None: if the raw
+#: table is, and fills these folders.
+BY_DAY: bool | None = None
 #: Flags whose rows a run counts as outliers.
 OUTLIERS = ("frais_aberrants", "delai_manquant", "origine_inhabituelle", "surpaiement")
 c = F.col
@@ -68,7 +69,14 @@ class SilverTable:
 
     @property
     def partitioning(self) -> list[str]:
-        return ["country_code", *([self.day] if self.day and BY_DAY else [])]
+        return ["country_code", *([self.day] if self.day and BY_DAY is not False else [])]
+
+    def grain(self, store: TableStore) -> list[str]:
+        """The partitioning of a new table: days only if there is enough for a file a day.
+        A table keeps what it was made with; TableStore.repartition() changes it."""
+        raw = store.current("raw", self.spec.table) if BY_DAY is None else None
+        full = BY_DAY or bool(raw and "event_day" in raw["partitioned_by"] and store.fills("raw", self.spec.table))
+        return self.partitioning if full else ["country_code"]
 
     def build(self, source: DataFrame, read, as_of: date | None = None, keep: str = "earliest") -> DataFrame:
         """read(table) gives a raw referential; each is reduced to a row a key first."""
@@ -184,15 +192,13 @@ def run(spark: SparkSession, store: TableStore, tables=None, countries=None, win
             source = core.within_countries(store.read("raw", name), countries)
             if not table.spec.is_referential:
                 source = core.recent(source, table.spec.event_time, window_days, "day")
-            rows = table.build(source, lambda t: store.read("raw", t)).cache()
-            try:
-                odd = F.coalesce(*[c(f) for f in OUTLIERS if f in rows.columns], F.lit(False))
-                written, outliers = rows.agg(F.count("*"), F.count_if(odd)).first()
-                read = source.count()
-                done = store.merge("silver", name, rows, [table.spec.key, "country_code"], table.partitioning)
-            finally:
-                rows.unpersist()
-            out[name] = {"rows_in": read, "rows_out": written, "duplicates": read - written, "outliers": outliers, "added": done["added"]}
+            read, made = Observation(), Observation()  # filled by the write, so that nothing is read or kept for a count
+            rows = table.build(source.observe(read, F.count("*").alias("n")), lambda t: store.read("raw", t))
+            odd = F.coalesce(*[c(f) for f in OUTLIERS if f in rows.columns], F.lit(False))
+            rows = rows.observe(made, F.count("*").alias("n"), F.count_if(odd).alias("odd"))
+            done = store.merge("silver", name, rows, [table.spec.key, "country_code"], table.grain(store), unique=True)  # build() has left one row a key
+            n_in, n_out, outliers = core.figures(read).get("n", 0), core.figures(made).get("n", 0), core.figures(made).get("odd", 0)
+            out[name] = {"rows_in": n_in, "rows_out": n_out, "duplicates": n_in - n_out, "outliers": outliers, "added": done["added"]}
         except Exception as e:
             log.exception("silver %s failed", name)
             out[name] = {"error": str(e)[:500]}

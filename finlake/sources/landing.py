@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -40,6 +41,13 @@ def country_of(path: str) -> str:
     return parts[-3] if len(parts) > 2 and parts[-3] in domain.COUNTRIES else ""
 
 
+def day_of(path: str) -> str:
+    """The day in a file's name (eight digits, or with dashes), else the name."""
+    name = path.rpartition("/")[2]
+    found = re.search(r"\d{4}-?\d{2}-?\d{2}", name)
+    return found[0] if found else name
+
+
 def topic_of(path: Column) -> Column:
     """The raw topic of a file's path, as an expression; null for referentials and strangers."""
     return domain.lookup(domain.RAW_TOPICS, F.try_element_at(F.split(path, "/"), F.lit(-2)))

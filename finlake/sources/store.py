@@ -33,6 +33,8 @@ from finlake.operators.core import missing
 
 _LOCKS: dict[str, threading.RLock] = {}
 _GUARD = threading.Lock()
+#: Bytes from which on a folder of its own pays for a partition.
+FOLDER_BYTES = 8 << 20
 _COMMIT, _NULL = "finlake_commit", "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -113,6 +115,11 @@ class TableStore:
             raise LookupError(f"no table {zone}.{table}")
         return self._frame(zone, table, now, now["parts"])
 
+    def added(self, zone: str, table: str, entry: dict) -> DataFrame:
+        """The rows that a commit has written."""
+        own = f"{_COMMIT}={entry['version']:010d}"
+        return self._frame(zone, table, entry, [p for p in entry["parts"] if p["path"].partition("/")[0] == own])
+
     def files(self, zone: str, table: str) -> list[tuple[str, int]]:
         """(path, bytes) of the current version's data files, from listing alone."""
         now = self.current(zone, table)
@@ -344,6 +351,16 @@ class TableStore:
         ).select("_folder").distinct().collect()  # a row a folder
         return {x for r in found for x in (r[0], unquote(r[0]))} & {p["path"] for p in parts}
 
+    def repartition(self, zone: str, table: str, by: Iterable[str]) -> dict:
+        """Deal a table that has outgrown its folders anew, by other columns."""
+        with self.lock(zone, table):
+            return self._commit(zone, table, self.read(zone, table), by, "repartition", [])
+
+    def fills(self, zone: str, table: str, folders: int | None = None) -> bool:
+        """Whether the table's bytes fill its folders (or so many)."""
+        now = self.current(zone, table)
+        return bool(now and now["parts"]) and now["bytes"] >= FOLDER_BYTES * (folders or len({p["path"].partition("/")[2] for p in now["parts"]}))
+
     def compact(self, zone: str, table: str, target_mb: int = 32, min_files: int = 2) -> dict | None:
         """Rewrite partitions that hold at least min_files files, and more than their
         bytes need, into files of about target_mb."""

@@ -79,7 +79,7 @@ def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, che
                 return
             silver = table.build(quality.typed(good, spec), lambda t: store.read("raw", t)).persist()  # referentials are read anew each batch
             try:
-                store.merge("silver", spec.table, silver, [spec.key, "country_code"], table.partitioning)  # the table first, then the topic
+                store.merge("silver", spec.table, silver, [spec.key, "country_code"], table.grain(store), unique=True)  # the table first, then the topic
                 if dataset in domain.SILVER_TOPICS:
                     bus.publish(silver, domain.SILVER_TOPICS[dataset], "country_code", name)
             finally:
