@@ -81,12 +81,16 @@ def main(argv: list[str] | None = None) -> int:
             print(t, store.compact("raw", t, a.target_size_mb, a.min_input_files))
     elif a.command in ("raw-to-silver", "silver-to-gold"):
         from finlake.streaming import jobs
+        from finlake.streaming.state import Watch, watched
 
+        watch = Watch()
+        spark.streams.addListener(watch)
         if a.command == "raw-to-silver":
             running = [jobs.raw_to_silver(spark, bus, store, d, a.checkpoints, a.once) for d in a.datasets or jobs.DATASETS]
         else:
             running = [jobs.ALL_RULES[r](spark, bus, store, a.checkpoints, a.once) for r in a.rules or jobs.RULES]
-        errors = jobs.supervise(running, a.once)
+        errors = watched(running, watch, a.once, store)
+        spark.streams.removeListener(watch)
         print("\n".join(errors))
         return int(bool(errors))
     elif a.command == "query":

@@ -83,15 +83,18 @@ QUERIES = {
         SELECT coalesce(b.country_code, t.country_code) AS pays, coalesce(b.jour, CAST(t.timestamp AS date)) AS jour, coalesce(max(b.n), 0) AS operations_batch,
         count_if(t.processed_at > coalesce(b.at, TIMESTAMP '1970-01-01 00:00:00')) AS operations_temps_reel, round(coalesce(max(b.eur), 0) + coalesce(sum(CASE WHEN t.processed_at > coalesce(b.at, TIMESTAMP '1970-01-01 00:00:00') THEN t.amount_eur END), 0), 2) AS montant_total_eur
         FROM batch b FULL OUTER JOIN (SELECT * FROM topic_silver_bank_transactions WHERE transaction_id IS NOT NULL) t ON b.country_code = t.country_code AND b.jour = CAST(t.timestamp AS date) GROUP BY 1, 2 ORDER BY 1, 2""",
-    "alertes_de_fraude": """WITH flux AS (SELECT alert_type, count(*) AS m, count(DISTINCT alert_id) AS d FROM topic_gold_fraud_alerts WHERE alert_id IS NOT NULL GROUP BY 1),
-        histo AS (SELECT alert_type, count(*) AS n, count(DISTINCT subject_id) AS s, sum(occurrences) AS e, round(sum(amount_eur), 2) AS eur FROM gold_fraud_alerts GROUP BY 1)
-        SELECT coalesce(h.alert_type, f.alert_type) AS type_alerte, coalesce(h.n, 0) AS alertes_table, coalesce(f.d, 0) AS alertes_topic, coalesce(f.m, 0) AS messages_topic, coalesce(h.s, 0) AS sujets_incrimines,
-        coalesce(h.e, 0) AS evenements_couverts, coalesce(h.eur, 0) AS montant_eur, CASE WHEN coalesce(h.n, 0) = coalesce(f.d, 0) THEN 'cohérent' ELSE 'ÉCART' END AS double_recepteur
-        FROM histo h FULL OUTER JOIN flux f ON f.alert_type = h.alert_type ORDER BY 1""",
-    "surveillance_aml": """WITH live AS (SELECT country_code, count(DISTINCT transaction_id) AS n, count(DISTINCT account_id) AS a, round(sum(amount_eur), 2) AS eur, round(max(threshold_ratio), 1) AS m FROM topic_gold_aml_events WHERE event_id IS NOT NULL GROUP BY 1),
-        batch AS (SELECT country_code, sum(nb_au_dessus_seuil_aml) AS n FROM gold_daily_transaction_volume GROUP BY 1)
-        SELECT coalesce(b.country_code, l.country_code) AS pays, coalesce(b.n, 0) AS declarables_batch, coalesce(l.n, 0) AS declarables_temps_reel, coalesce(l.a, 0) AS comptes_concernes, coalesce(l.eur, 0) AS montant_temps_reel_eur,
-        coalesce(l.m, 0) AS depassement_max_du_seuil, coalesce(b.n, 0) - coalesce(l.n, 0) AS detenus_par_le_batch_seul FROM batch b FULL OUTER JOIN live l ON l.country_code = b.country_code ORDER BY 1""",
+    # one row a kind or country from the rows of both sides, told apart by where they come from
+    "alertes_de_fraude": """SELECT alert_type AS type_alerte, count_if(NOT publiee) AS alertes_table, count(DISTINCT alert_id) FILTER (WHERE publiee) AS alertes_topic, count_if(publiee) AS messages_topic,
+        count(DISTINCT subject_id) FILTER (WHERE NOT publiee) AS sujets_incrimines, sum(if(publiee, 0, occurrences)) AS evenements_couverts, round(sum(if(publiee, 0, amount_eur)), 2) AS montant_eur,
+        if(count_if(NOT publiee) = count(DISTINCT alert_id) FILTER (WHERE publiee), 'cohérent', 'ÉCART') AS double_recepteur
+        FROM (SELECT alert_id, alert_type, subject_id, occurrences, amount_eur, false AS publiee FROM gold_fraud_alerts
+            UNION ALL SELECT alert_id, alert_type, subject_id, occurrences, amount_eur, true FROM topic_gold_fraud_alerts WHERE alert_id IS NOT NULL)
+        GROUP BY alert_type ORDER BY type_alerte""",
+    "surveillance_aml": """SELECT country_code AS pays, sum(declares) AS declarables_batch, count(DISTINCT vu.transaction_id) AS declarables_temps_reel, count(DISTINCT vu.account_id) AS comptes_concernes,
+        round(coalesce(sum(vu.amount_eur), 0), 2) AS montant_temps_reel_eur, round(coalesce(max(vu.threshold_ratio), 0), 1) AS depassement_max_du_seuil, sum(declares) - count(DISTINCT vu.transaction_id) AS detenus_par_le_batch_seul
+        FROM (SELECT country_code, 0 AS declares, struct(transaction_id, account_id, amount_eur, threshold_ratio) AS vu FROM topic_gold_aml_events WHERE event_id IS NOT NULL
+            UNION ALL SELECT country_code, coalesce(nb_au_dessus_seuil_aml, 0), NULL FROM gold_daily_transaction_volume)
+        GROUP BY country_code ORDER BY pays""",
     "file_de_rebut": _grouped(
         "topic_dlq_financial_events", {"etape": "stage", "jeu_de_donnees": "coalesce(dataset, '(fichier)')", "motif": "rejection_reason"},
         {"messages": "count(*)", "premier": "min(received_at)", "dernier": "max(received_at)", "exemple": "substr(max(original_message), 1, 60)"},

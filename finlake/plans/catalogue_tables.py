@@ -316,20 +316,21 @@ def _charted(spark, source: DataFrame, by: dict, measure: dict, filters=(), limi
 
 
 _EUR = "CAST(o_totalprice AS DECIMAL(18,2))"
+_EUR_SUM = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)"
 _CHARTS = {
     "chart_fees_by_country_and_entity": (
         "deal", {"country": "n_name", "entity": "c_mktsegment"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, (), 10_000,
     ),
     "chart_amount_map": ("deal", {"country": "n_name"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, (), 100),
     "chart_monthly_mean": (
-        "deal", {"month": "CAST(date_trunc('month', o_orderdate) AS DATE)", "country": "n_name"}, {"highest": "max(o_totalprice)"}, (), 10_000,
+        "deal", {"month": "CAST(date_trunc('month', o_orderdate) AS DATE)", "country": "n_name"}, {"mean": f"CAST(round(CAST({_EUR_SUM} / count(*) AS DECIMAL(18,6)), 2) AS DOUBLE)"}, (), 10_000,
     ),
     "chart_share_of_total": ("deal", {"country": "n_name"}, {"highest": "max(o_totalprice)"}, ("o_orderpriority = '5-LOW'",), 100),
     "chart_declarations_by_day": (
         "deal", {"day": "CAST(o_orderdate AS DATE)", "country": "n_name"}, {"n": "sum(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END)"}, (),
         100_000,
     ),
-    "chart_delays": ("deal", {"country": "n_name", "line": "o_orderpriority"}, {"n": "count(*)"}, (), 5000),
+    "chart_delays": ("deal", {"country": "n_name", "line": "o_orderpriority"}, {"mean_days": "CAST(sum(extract(DOY FROM o_orderdate)) AS DOUBLE) / count(*)"}, (), 5000),
     "chart_corridors": (
         "deal", {"corridor": "concat(n_name, '-', c_mktsegment)"}, {"total": f"CAST(sum({_EUR}) AS DOUBLE)"}, ("o_orderstatus = 'O'",), 5,
     ),

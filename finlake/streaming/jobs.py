@@ -22,7 +22,7 @@ from finlake.sources.specs import CORRUPT, INGESTED, SOURCE_FILE, SPECS
 from finlake.sources.store import TableStore
 
 from . import bursts, rules
-from .state import use_rocksdb
+from .state import behind, use_rocksdb
 
 c = F.col
 ARRIVAL_WATERMARK, EVENT_WATERMARK, TRIGGER = "10 minutes", "3 days", "20 seconds"
@@ -247,7 +247,4 @@ def supervise(queries: list[StreamingQuery], once: bool) -> list[str]:
 def lag(query: StreamingQuery) -> int | None:
     """Messages that wait, by the last progress: what its sources say is behind the latest
     offset (Kafka does), else by files not yet read; None before there is a figure."""
-    last = query.lastProgress
-    figures = [dict(s.get("metrics") or {}) for s in (last or {}).get("sources", [])]
-    behind = [float(m[k]) for m in figures for k in ("maxOffsetsBehindLatest", "numFilesOutstanding") if k in m]
-    return round(sum(behind)) if behind else None
+    return behind((query.lastProgress or {}).get("sources", []))

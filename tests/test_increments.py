@@ -280,3 +280,29 @@ def test_histograms_give_exact_quantiles(spark):
     for r in got:
         values = sorted(x.days for x in rows.where(F.col("g") == r.g).collect())
         assert (r.rows, r.p50, r.p90) == (333, values[166], values[299])
+
+
+# supervision
+def test_a_failing_query_is_told_by_name(spark, tmp_path):
+    store, watch = TableStore(spark, str(tmp_path / "tables")), state.Watch({"good", "fails"})
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def put(df, number):
+        if number == 1:
+            raise ValueError("second batch")
+        df.count()
+
+    spark.streams.addListener(watch)
+    try:
+        stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        good = stream().writeStream.queryName("good").option("checkpointLocation", f"{tmp_path}/c1").foreachBatch(lambda df, n: None).start()
+        bad = stream().writeStream.queryName("fails").option("checkpointLocation", f"{tmp_path}/c2").foreachBatch(put).start()
+        errors = state.watched([good, bad], watch, False, store, most=120)
+    finally:
+        spark.streams.removeListener(watch)
+    assert len(errors) == 1 and errors[0].startswith("fails: ") and "second batch" in errors[0] and not good.isActive
+    watch.write(store)
+    rows = store.read("ops", "stream_events").collect()
+    assert {r.kind for r in rows if r.query == "fails"} >= {"progress", "failed"} and any(r.kind == "progress" and r.rows == 10 for r in rows if r.query == "fails")
+    assert state.behind([{"metrics": {"maxOffsetsBehindLatest": "7"}}, {}]) == 7 and state.behind([{}]) is None
