@@ -94,6 +94,41 @@ def with_total(df: DataFrame, keys: list[str], part: str, label: str, *measures:
     return grouped.withColumn(part, F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.col(part))).drop("_all")
 
 
+#: Share of the sampled rows from which on a key is heavy, and how many rows are sampled.
+HEAVY_SHARE, SAMPLE_ROWS = 0.01, 100_000
+
+
+def heavy_keys(rows: DataFrame, columns: list[str], share: float = HEAVY_SHARE, sample: float = 1.0) -> dict[str, list]:
+    """Of each column the values that at least ``share`` of the (sampled) rows hold; at
+    most 1 / share each, all from one job. A value that a sample misses costs speed alone."""
+    part = rows.select(*columns)
+    part = part.sample(sample, 42) if sample < 1 else part
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in columns])).alias("p")
+    counts = part.select(pairs).groupBy("p.k", "p.v").count()
+    n = counts.groupBy("k").agg(F.sum("count").alias("n"))
+    found = counts.join(F.broadcast(n), "k").where(F.col("v").isNotNull() & (F.col("count") >= share * F.col("n"))).collect()  # 1 / share rows a column
+    return {k: sorted(r.v for r in found if r.k == k) for k in columns}
+
+
+def lookup_join(rows: DataFrame, side: DataFrame, at: str, key: str, heavy: list | None = None) -> DataFrame:
+    """rows left-joined with side, which holds ``key`` once. Rows without a key match
+    nothing, so they are dealt to all partitions instead of one. Rows with a heavy key
+    take their match from a broadcast copy of those rows of side (one a heavy key), and
+    are dealt to all partitions too. The other columns of side are added."""
+    c, columns = F.col, [k for k in side.columns if k != key]
+    free = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("string"))
+    text = c(at).cast("string")
+    hot = c(at).isin(*heavy) if heavy else F.lit(False)
+    cold = side.select(c(key).cast("string").alias("_key"), *[c(k).alias(f"_cold_{k}") for k in columns])
+    keyed = rows.withColumn("_at", F.when(text.isNull() | F.coalesce(hot, F.lit(False)), free).otherwise(text))
+    out = keyed.join(cold, c("_at") == c("_key"), "left")
+    if heavy:
+        few = side.where(c(key).isin(*heavy)).select(c(key).alias("_hot"), *[c(k).alias(f"_hot_{k}") for k in columns])
+        out = out.join(F.broadcast(few), c(at) == c("_hot"), "left")
+    pick = [(F.when(c("_hot").isNotNull(), c(f"_hot_{k}")).otherwise(c(f"_cold_{k}")) if heavy else c(f"_cold_{k}")).alias(k) for k in columns]
+    return out.select(*rows.columns, *pick)
+
+
 def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with the keys of either side."""
     return left.join(right, keys, "full_outer")

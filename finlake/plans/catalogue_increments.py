@@ -4,11 +4,14 @@ sliding windows by panes, distinct counts by bitmaps, quantiles by histogram and
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from finlake.operators import core
 from finlake.plans import distinct, increments
 from finlake.plans.catalogue import _BURST, _LIQ, _burst_columns, _d, _events, _q, _r, _s, c, clients, query, table
 from finlake.plans.catalogue_tables import _store
 from finlake.streaming import rules
+from finlake.streaming.jobs import keyed, opened
 
 _MONTH = "CAST(date_trunc('month', o_orderdate) AS DATE)"
 # what the table holds in the end: moved and repriced orders, late ones, some taken out
@@ -123,3 +126,28 @@ def quantiles_by_sketch(spark, d):
     off = 2 * distinct.RANK_ERROR
     within = lambda q, share: (below(q) <= share + off) & (upto(q) >= share - off)
     return rows.join(found, "n_name").groupBy(c("n_name").alias("country")).agg(F.count("*").alias("n"), within("_p50", 0.5).alias("p50_within"), within("_p90", 0.9).alias("p90_within"))
+
+
+@query(
+    "heavy_key_join",
+    "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n, count(k) AS keyed FROM (SELECT CASE WHEN event_id % 10 < 5 THEN 1 WHEN event_id % 10 < 8 THEN NULL ELSE user_id END AS k FROM events) LEFT JOIN customer ON k = c_custkey GROUP BY 1",
+)
+def heavy_key_join(spark, d):
+    """Half of the rows on one key, three tenths without a key."""
+    key = F.when(c("event_id") % 10 < 5, F.lit(1)).when(c("event_id") % 10 < 8, F.lit(None)).otherwise(c("user_id"))
+    rows = table(spark, d, "events").select("event_id", key.cast("long").alias("k"))
+    heavy = core.heavy_keys(rows, ["k"])["k"]
+    side = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    out = core.lookup_join(rows, side, "k", "c_custkey", [int(x) for x in heavy])
+    return out.groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.count("*").alias("n"), F.count("k").alias("keyed"))
+
+
+@query(
+    "messages_parsed_once",
+    "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, count(DISTINCT coalesce(json_extract_string(props, '$.id'), json_extract_string(props, '$.k'), sha256(props))) AS keys FROM events GROUP BY 1",
+)
+def messages_parsed_once(spark, d):
+    """Keys and columns of a message from one parse."""
+    rows = keyed(table(spark, d, "events").select(c("props").alias("payload")), ["id", "k"])
+    rows = rows.select("_dedup_key", *opened("_json", StructType([StructField("k", LongType())])))
+    return rows.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("_dedup_key").alias("keys"))

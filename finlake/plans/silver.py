@@ -25,6 +25,8 @@ WINDOW_DAYS = 7
 #: Whether new tables of events are partitioned by day beside the country; None: if the raw
 #: table is, and fills these folders.
 BY_DAY: bool | None = None
+#: Bytes of a raw table from which on heavy keys are looked for before its joins.
+SPREAD_BYTES = 1 << 30
 #: Flags whose rows a run counts as outliers.
 OUTLIERS = ("frais_aberrants", "delai_manquant", "origine_inhabituelle", "surpaiement")
 c = F.col
@@ -43,11 +45,12 @@ class Dimension:
     at: str
     columns: dict[str, str]
 
-    def join(self, rows: DataFrame, read) -> DataFrame:
-        """rows with the columns of the referential, reduced to a row a key first; read(table) gives it."""
+    def join(self, rows: DataFrame, read, heavy: list | None = None) -> DataFrame:
+        """rows with the columns of the referential, reduced to a row a key first; read(table)
+        gives it. Rows without a key, and those of heavy keys, do not meet in one partition."""
         side = core.deduplicate(read(self.table).select(self.key, *self.columns), self.key, [self.key])
         side = side.select(c(self.key).alias("_join"), *[c(a).alias(b) for a, b in self.columns.items()])
-        return rows.join(side, c(self.at) == c("_join"), "left").drop("_join")
+        return core.lookup_join(rows, side, self.at, "_join", heavy)
 
 
 @dataclass(frozen=True)
@@ -78,12 +81,13 @@ class SilverTable:
         full = BY_DAY or bool(raw and "event_day" in raw["partitioned_by"] and store.fills("raw", self.spec.table))
         return self.partitioning if full else ["country_code"]
 
-    def build(self, source: DataFrame, read, as_of: date | None = None, keep: str = "earliest") -> DataFrame:
-        """read(table) gives a raw referential; each is reduced to a row a key first."""
+    def build(self, source: DataFrame, read, as_of: date | None = None, keep: str = "earliest", heavy: dict[str, list] | None = None) -> DataFrame:
+        """read(table) gives a raw referential; each is reduced to a row a key first. heavy:
+        of the source's columns that join them, the values that many rows hold."""
         order = [self.spec.key] if self.spec.is_referential else [INGESTED, SOURCE_FILE]
         rows = core.deduplicate(source, self.spec.key, order, keep)
         for d in self.dimensions:
-            rows = d.join(rows, read)
+            rows = d.join(rows, read, (heavy or {}).get(d.at))
         rows = rows.withColumn("_today", F.lit(as_of).cast("date") if as_of else F.current_date())
         return rows.select(*[c(x) if isinstance(x, str) else x[1].alias(x[0]) for x in self.columns()], F.current_timestamp().alias("processed_at"))
 
@@ -192,8 +196,10 @@ def run(spark: SparkSession, store: TableStore, tables=None, countries=None, win
             source = core.within_countries(store.read("raw", name), countries)
             if not table.spec.is_referential:
                 source = core.recent(source, table.spec.event_time, window_days, "day")
+            raw, at = store.current("raw", name), [x for x in dict.fromkeys(d.at for d in table.dimensions) if x in source.columns]
+            many = core.heavy_keys(source, at, sample=min(1.0, core.SAMPLE_ROWS / max(1, raw["rows"]))) if at and raw["bytes"] >= SPREAD_BYTES else None
             read, made = Observation(), Observation()  # filled by the write, so that nothing is read or kept for a count
-            rows = table.build(source.observe(read, F.count("*").alias("n")), lambda t: store.read("raw", t))
+            rows = table.build(source.observe(read, F.count("*").alias("n")), lambda t: store.read("raw", t), heavy=many)
             odd = F.coalesce(*[c(f) for f in OUTLIERS if f in rows.columns], F.lit(False))
             rows = rows.observe(made, F.count("*").alias("n"), F.count_if(odd).alias("odd"))
             done = store.merge("silver", name, rows, [table.spec.key, "country_code"], table.grain(store), unique=True)  # build() has left one row a key

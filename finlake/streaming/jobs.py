@@ -9,7 +9,7 @@ named by its batch, so that a repeated batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -106,13 +106,24 @@ def _silver_schema(spark: SparkSession, store: TableStore, dataset: str) -> T.St
     return table.build(empty(SPECS[dataset].table), empty).schema
 
 
+def keyed(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """messages with _json, the payload parsed once (null if it is no JSON), and
+    _dedup_key, the first of the keys that it holds or else its hash."""
+    parsed = messages.withColumn("_json", F.try_parse_json("payload"))
+    found = [F.try_variant_get("_json", f"$.{k}", "string") for k in keys]
+    return parsed.withColumn("_dedup_key", F.coalesce(*found, F.sha2(F.coalesce("payload", F.lit("")), 256)))
+
+
+def opened(value: str, schema: T.StructType) -> list[Column]:
+    """The fields of a parsed message as columns; what does not fit its type is null."""
+    return [F.try_variant_get(c(value), f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
+
+
 def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, once: bool = True) -> StreamingQuery:
-    """Declaration threshold, foreign origin and excessive claims: one query over three topics."""
+    """Declaration threshold, foreign origin and excessive claims: one query over three
+    topics. A message is parsed once, to a variant that its key and columns are taken from."""
     topics = domain.SILVER_TOPICS
-    keys = [F.get_json_object("payload", f"$.{SPECS[d].key}") for d in topics]
-    stream = drop_repeats(
-        bus.stream(list(topics.values())).withColumn("_dedup_key", F.coalesce(*keys, F.sha2(F.coalesce("payload", F.lit("")), 256)))
-    )
+    stream = drop_repeats(keyed(bus.stream(list(topics.values())), [SPECS[d].key for d in topics]))
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
@@ -120,12 +131,12 @@ def unit_rules(spark: SparkSession, bus, store: TableStore, checkpoints: str, on
             name = f"unit-{number}"
             parsed = {}
             for dataset, topic in topics.items():
-                own = rows.where(c("topic") == topic).withColumn("_v", F.from_json("payload", _silver_schema(spark, store, dataset)))
-                bad = own.withColumn("_why", F.when(c(f"_v.{SPECS[dataset].key}").isNull(), F.lit(f"{SPECS[dataset].key} manquant")))
+                own, key = rows.where(c("topic") == topic), F.try_variant_get("_json", f"$.{SPECS[dataset].key}", "string")
+                bad = own.withColumn("_why", F.when(key.isNull(), F.lit(f"{SPECS[dataset].key} manquant")))
                 lost = dead_letters(bad, dataset, "silver_to_gold", "_why", None)
                 if not lost.isEmpty():
                     bus.publish(lost, domain.DLQ_TOPIC, "dataset", f"{name}-{dataset}")
-                parsed[dataset] = own.where(c(f"_v.{SPECS[dataset].key}").isNotNull()).select("_v.*")
+                parsed[dataset] = own.where(key.isNotNull()).select(*opened("_json", _silver_schema(spark, store, dataset)))
             alerts = None
             if "bank_txn" in parsed:
                 aml = rules.aml_events(parsed["bank_txn"]).dropDuplicates(["event_id"])

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from finlake.operators import core
 from finlake.plans import distinct, gold, increments
 from finlake.sources.store import TableStore
 from finlake.streaming import bursts, rules, state
@@ -282,6 +283,41 @@ def test_histograms_give_exact_quantiles(spark):
         assert (r.rows, r.p50, r.p90) == (333, values[166], values[299])
 
 
+# joins of hot and missing keys, messages parsed once
+def test_heavy_and_missing_keys_are_spread(spark):
+    key = F.when(F.col("id") % 10 < 5, F.lit("k1")).when(F.col("id") % 10 < 8, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 997))
+    rows = spark.range(20_000).select("id", key.alias("at"))
+    side = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 2).alias("v"), F.lit("x").alias("w"))
+    heavy = core.heavy_keys(rows, ["at"])
+    assert heavy == {"at": ["k1"]} and core.heavy_keys(rows.limit(0), ["at"]) == {"at": []}
+    want = {(r.id, r.at, r.v, r.w) for r in rows.join(side, F.col("at") == F.col("key"), "left").collect()}
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for k, v in zip(settings, ("false", "16", "-1")):
+            spark.conf.set(k, v)
+        for keys in (None, [], heavy["at"]):
+            out = core.lookup_join(rows, side, "at", "key", keys)
+            assert {(r.id, r.at, r.v, r.w) for r in out.collect()} == want
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sizes[-1] < 1.5 * sizes[len(sizes) // 2] and len(sizes) == 16
+    finally:
+        for k, v in zip(settings, before):
+            spark.conf.set(k, v)
+
+
+def test_a_message_is_parsed_once(spark):
+    from finlake.streaming import jobs
+
+    rows = [('{"a": "x", "n": 1.5, "t": "2026-01-01T00:00:00", "ok": true}',), ('{"b": 7, "n": "no"}',), ("broken {",), (None,), ("[1]",)]
+    parsed = jobs.keyed(spark.createDataFrame(rows, "payload string"), ["a", "b"])
+    schema = spark.createDataFrame([], "a string, n double, t timestamp, ok boolean").schema
+    got = parsed.select("_dedup_key", *jobs.opened("_json", schema))
+    assert [tuple(r)[1:] for r in got.collect()] == [("x", 1.5, datetime(2026, 1, 1), True), (None,) * 4, (None,) * 4, (None,) * 4, (None,) * 4]
+    assert [r[0] for r in got.collect()][:2] == ["x", "7"] and all(len(r[0]) == 64 for r in got.collect()[2:])
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2  # the column and no copy a key
+
+
 # supervision
 def test_a_failing_query_is_told_by_name(spark, tmp_path):
     store, watch = TableStore(spark, str(tmp_path / "tables")), state.Watch({"good", "fails"})
