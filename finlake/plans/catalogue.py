@@ -1014,3 +1014,4 @@ def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
 
 from finlake.plans import catalogue_tables  # noqa: E402,F401  adds its queries
 from finlake.plans import catalogue_increments  # noqa: E402,F401  adds its queries
+from finlake.plans import catalogue_engine  # noqa: E402,F401  adds its queries
