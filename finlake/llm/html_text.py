@@ -30,7 +30,7 @@ SCRAP, RAISE, LOWER = 25, 100, 50
 
 # Elements whose text never shows, that are never main text, that end a line, and that have no end.
 HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video textarea select option datalist".split())
-ASIDE = set("nav footer aside form button menu dialog fieldset label".split())
+ASIDE = set("nav footer aside form button menu dialog label".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
     " legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +46,10 @@ MARKS = set(
     " comment comments reply replies respond disqus reactions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup"
     " login search share sharing social related recommended recommendations pagination pager skip copyright outbrain taboola".split()
 )
+#: Of these, words (and elements) that say how a page is laid out; the others mark what is never main text.
+PLACES = set("banner banners sidebar sidebars aside complementary widget widgets footer foot header masthead topbar toolbar notice notices alert popup modal overlay related recommended contentinfo dialog".split())
+#: Other parts that a marked name of several parts may have inside an article, where names also tell what a passage is about.
+BESIDE = set("area bar block body box button buttons container content count form group icons inner item items link links list post posts article articles section slot stories text thread title unit wrapper".split())
 #: Ids and roles that do, as a whole; ids are often slugs of headings.
 NAMES = set("ad ads comments sidebar footer header nav navigation navbar menu cookie-notice cookies cookie-banner disqus disqus_thread newsletter respond search-form".split())
 ROLES = set("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
@@ -64,19 +68,20 @@ _SPACE = re.compile(r"\s+")
 _END = re.compile(r"[.!?…:;。！？]")
 
 
-def _marked(tag: str) -> bool:
+def _marked(tag: str, inside: bool) -> set[str]:
+    """The words by which an element's names mark it; inside an article a name of several
+    parts only counts if all of them are such words or usual beside them."""
+    out = set()
     for kind, value in _ATTR.findall(tag):
         for word in value.strip("\"'").lower().split():
             parts = [x for x in re.split(r"[-_]+", word) if x]
             if kind.lower() == "role":
-                found = word in ROLES
+                out |= {word} & ROLES
             elif kind.lower() == "id":
-                found = word in NAMES
-            else:
-                found = bool(parts) and parts[0] not in LAYOUT and (parts[0] in MARKS or parts[-1] in MARKS)
-            if found:
-                return True
-    return False
+                out |= set(parts) & MARKS or {word} if word in NAMES else set()
+            elif parts and parts[0] not in LAYOUT and (not inside or all(x in MARKS or x in BESIDE or x.isdigit() for x in parts)):
+                out |= {parts[0], parts[-1]} & MARKS
+    return out
 
 
 @dataclass
@@ -89,9 +94,10 @@ class Node:
     link: bool
     prose: bool
     heading: bool
-    bars: int  # 0 no, 1 by a mark or a tag, 2 as it never shows
+    bars: int  # 0 no, 1 by where it stands, 2 as it never shows, 3 by what it is
     size: int = 0
     holds: bool = False  # a first heading, a main or an article without a mark
+    heads: bool = False  # a first heading or a main
 
 
 def parse(page: str) -> tuple[list[Node], list[list[tuple[str, int]]]]:
@@ -142,13 +148,14 @@ def parse(page: str) -> tuple[list[Node], list[list[tuple[str, int]]]]:
             if depth:
                 close(depth)
         up = nodes[stack[-1]]
-        marked = tag not in ("html", "body") and tag not in HEADING and _marked(m[0])
-        bars = 2 if tag in HIDDEN else int(tag in ASIDE or (tag == "header" and up.inside < 0) or marked)
+        marked = set() if tag in ("html", "body") or tag in HEADING else _marked(m[0], up.inside >= 0)
+        marked |= {tag} & ASIDE or ({tag} if tag == "header" and up.inside < 0 else set())
+        bars = 2 if tag in HIDDEN else 0 if not marked else 1 if marked <= PLACES else 3
         own = up.inside if up.inside >= 0 else len(nodes) if tag in MAIN and not marked else -1
         block = tag in BLOCK
         nodes.append(Node(tag, stack[-1], own, up.link or tag == "a", tag in PROSE if block else up.prose, tag in HEADING if block else up.heading, bars))
         if tag == "h1" or (tag in MAIN and not marked):
-            nodes[stack[-1]].holds = True
+            nodes[stack[-1]].holds, nodes[stack[-1]].heads = True, tag != "article"
         stack.append(len(nodes) - 1)
     if at < len(page):
         piece(page[at:])
@@ -159,7 +166,8 @@ def parse(page: str) -> tuple[list[Node], list[list[tuple[str, int]]]]:
 
 def _barred(nodes: list[Node], lines: list[list[tuple[str, int]]]) -> list[bool]:
     """Which elements are no main text. A mark does not count on what holds most of the
-    text and its heading, nor on what holds most of it where nothing else would be left."""
+    text and its heading. Where no other text is left, a mark of a place does not count on
+    what holds most of it; comments, menus, forms and adverts stay out even then."""
     for line in lines:
         for text, k in line:
             nodes[k].size += len(text.strip())
@@ -169,19 +177,19 @@ def _barred(nodes: list[Node], lines: list[list[tuple[str, int]]]) -> list[bool]
     for k in range(len(nodes) - 1, 0, -1):
         up = nodes[nodes[k].parent]
         up.size += 0 if hidden[k] else nodes[k].size
-        up.holds = up.holds or nodes[k].holds
+        up.holds, up.heads = up.holds or nodes[k].holds, up.heads or nodes[k].heads
     all_ = nodes[0].size
 
     def bars(strict: bool) -> list[bool]:
         out = [False] * len(nodes)
         for k in range(1, len(nodes)):
             n = nodes[k]
-            out[k] = out[n.parent] or n.bars == 2 or (n.bars == 1 and not (2 * n.size > all_ and (n.holds or not strict)))
+            wraps = 2 * n.size > all_ and (n.heads if n.bars == 3 else n.holds or not strict)
+            out[k] = out[n.parent] or n.bars == 2 or (n.bars > 0 and not wraps)
         return out
 
     out = bars(True)
-    left = sum(len(t.strip()) for line in lines for t, k in line if not out[k])
-    return out if 10 * left >= all_ else bars(False)
+    return out if any(t.strip() for line in lines for t, k in line if not out[k]) else bars(False)
 
 
 @dataclass
@@ -206,7 +214,7 @@ def lines(page: str) -> list[Line]:
         last = nodes[next(k for t, k in line if not barred[k] and t.strip())]
         plain = len(text) - links
         scrap = len(text) < SCRAP and not last.prose and not _END.search(text)
-        weight = 0.0 if 2 * links > len(text) or scrap else float(plain + EDGE * last.heading)
+        weight = 0.0 if 2 * links > len(text) or scrap else float(max(plain, EDGE * last.prose) + EDGE * last.heading)
         found.append((Line(text, weight, True), last.inside))
         by_main[last.inside] = by_main.get(last.inside, 0) + weight
     dense = {k for k, n in by_main.items() if k >= 0 and n and 2 * n >= sum(by_main.values())}

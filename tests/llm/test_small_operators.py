@@ -323,3 +323,27 @@ def test_html_never_fails():
     rng = random.Random(5)
     for _ in range(200):
         html_text.main_text("".join(rng.choice(["<p>", "</p>", "<", ">", "<!--", "-->", "a ", "&#x41;", "&bad;", '<a href="', "<script>", "</div>", "<article>", "</article>"]) for _ in range(40)))
+
+
+LONG = "A sentence of the article that says something at some length, and then ends. "
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>"])
+def test_html_comments_stay_out_of_short_articles(wrap):
+    comments = "".join(f"<p>Reader {k} says a good deal about this and that, at more length than the article itself does.</p>" for k in range(20))
+    for block in (f'<div class="comments">{comments}</div>', f'<section id="comments"><article>{comments}</article></section>', f"<form>{comments}</form>", f"<nav>{comments}</nav>"):
+        page = f"<html><body>{wrap.format('<h1>Title</h1><p>One short sentence.</p>')}{block}</body></html>"
+        assert html_text.main_text(page) == "Title\nOne short sentence."
+    assert html_text.main_text(f'<body><div class="comments">{comments}</div></body>') == ""
+    assert html_text.main_text(f'<body><div class="sidebar"><p>{LONG}</p></div></body>') == LONG.strip()  # a place, and nothing else is left
+
+
+def test_html_names_inside_an_article_tell_what_it_is_about():
+    kept = ['<p class="share-price">', '<p class="social-policy">', '<section class="related-work">', "<fieldset>", '<p class="ad-hoc">']
+    gone = ['<div class="related-posts">', '<div class="share-buttons">', '<div class="comments-area">', '<div class="ad">', '<div class="widget">']
+    for tag in (*kept, *gone):
+        end = f"</{tag[1:].rstrip('>').split()[0]}>"
+        page = f"<article><h1>Title</h1><p>{LONG}</p>{tag}Some words on it.{end}<p>{LONG}</p></article>"
+        want = ["Title", LONG.strip(), *(["Some words on it."] if tag in kept else []), LONG.strip()]
+        assert html_text.main_text(page) == "\n".join(want), tag
+    assert html_text.main_text(f"<body><p>Yes.</p><p>{LONG}</p><p>{LONG}</p></body>").startswith("Yes.\n")
