@@ -3,6 +3,8 @@ sliding windows by panes, distinct counts by bitmaps, quantiles by histogram and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -10,6 +12,7 @@ from finlake.operators import core
 from finlake.plans import distinct, increments
 from finlake.plans.catalogue import _BURST, _LIQ, _burst_columns, _d, _events, _q, _r, _s, c, clients, query, table
 from finlake.plans.catalogue_tables import _store
+from finlake.sources import buckets
 from finlake.streaming import rules
 from finlake.streaming.jobs import keyed, opened
 
@@ -151,3 +154,17 @@ def messages_parsed_once(spark, d):
     rows = keyed(table(spark, d, "events").select(c("props").alias("payload")), ["id", "k"])
     rows = rows.select("_dedup_key", *opened("_json", StructType([StructField("k", LongType())])))
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("_dedup_key").alias("keys"))
+
+
+@query(
+    "bucketed_join",
+    "SELECT o_orderstatus, l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
+)
+def bucketed_join(spark, d):
+    """Both sides bucketed by the order: the join itself shuffles nothing."""
+    names = [f"finlake_{t}_{uuid.uuid4().hex}" for t in ("lines", "orders")]
+    lines = buckets.write(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), names[0], "l_orderkey", 16)
+    orders = buckets.write(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), names[1], "o_orderkey", 16)
+    return lines.join(orders, c("l_orderkey") == c("o_orderkey")).groupBy("o_orderstatus", "l_returnflag").agg(
+        F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity")
+    )

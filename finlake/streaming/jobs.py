@@ -62,8 +62,10 @@ def _trigger(writer, once: bool):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)
 
 
-def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, checkpoints: str, once: bool = True) -> StreamingQuery:
-    """Start job 1 for one dataset."""
+def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, checkpoints: str, once: bool = True, sides=None) -> StreamingQuery:
+    """Start job 1 for one dataset. sides(table) gives the referentials: the raw tables, or
+    buckets.Sides, which are dealt by key once a version instead of once a batch."""
+    sides = sides or (lambda t: store.read("raw", t))
     spec, table = SPECS[dataset], TABLES[SPECS[dataset].table]
     events = drop_repeats(parse_events(bus.stream([domain.RAW_TOPICS[dataset]]), dataset))
 
@@ -77,7 +79,7 @@ def raw_to_silver(spark: SparkSession, bus, store: TableStore, dataset: str, che
             good = rows.where(c(quality.REASON).isNull()).withColumn(INGESTED, c(INGESTED).try_cast("timestamp"))
             if good.isEmpty():
                 return
-            silver = table.build(quality.typed(good, spec), lambda t: store.read("raw", t)).persist()  # referentials are read anew each batch
+            silver = table.build(quality.typed(good, spec), sides).persist()
             try:
                 store.merge("silver", spec.table, silver, [spec.key, "country_code"], table.grain(store), unique=True)  # the table first, then the topic
                 if dataset in domain.SILVER_TOPICS:

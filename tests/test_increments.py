@@ -342,3 +342,29 @@ def test_a_failing_query_is_told_by_name(spark, tmp_path):
     rows = store.read("ops", "stream_events").collect()
     assert {r.kind for r in rows if r.query == "fails"} >= {"progress", "failed"} and any(r.kind == "progress" and r.rows == 10 for r in rows if r.query == "fails")
     assert state.behind([{"metrics": {"maxOffsetsBehindLatest": "7"}}, {}]) == 7 and state.behind([{}]) is None
+
+
+# referentials by key
+def test_bucketed_sides_are_not_shuffled(spark, tmp_path):
+    from finlake.plans.silver import Dimension
+    from finlake.sources.buckets import Sides
+
+    store = TableStore(spark, str(tmp_path))
+    accounts = spark.range(300).select(F.concat(F.lit("a"), "id").alias("account_id"), F.concat(F.lit("c"), F.col("id") % 40).alias("customer_id"), F.lit("CI").alias("country_code"))
+    store.merge("raw", "accounts", accounts, ["account_id", "country_code"], mode="insert_only")
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 9 > 0, F.concat(F.lit("a"), F.col("id") % 350)).alias("account_id"))
+    chain = Dimension("accounts", "account_id", "account_id", {"customer_id": "customer_id"})
+    sides, before = Sides(spark, store, 8), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, bucketed = chain.join(rows, lambda t: store.read("raw", t)), chain.join(rows, sides)
+        assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in bucketed.collect()}
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+        assert (exchanges(plain), exchanges(bucketed)) in {(2, 1), (3, 1)}  # of the facts alone
+        name = sides.made["accounts"][1]
+        store.merge("raw", "accounts", accounts.limit(1).withColumn("account_id", F.lit("a320")), ["account_id", "country_code"], mode="insert_only")
+        assert chain.join(rows, sides).where("account_id = 'a320' and customer_id is not null").count() > 0
+        assert sides.made["accounts"][1] != name and not spark.catalog.tableExists(name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sides.close()
