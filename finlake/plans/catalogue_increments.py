@@ -28,8 +28,8 @@ def _kept_up(spark, d, indicator):
     """A table that is loaded, upserted with late rows and moved groups, and thinned; the indicator after each step."""
     store, keys = _store(spark), ["o_orderkey"]
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", c("o_totalprice").alias("price"), c("o_orderdate").alias("day"))
-    place = lambda df: df.withColumn("month", F.trunc("day", "month").cast("date")).drop("day")
-    store.merge("silver", "orders", place(orders.where("o_orderkey % 10 <> 3")), keys, ["month"], unique=True)
+    place = lambda df: df.withColumns({"month": F.trunc("day", "month").cast("date"), "year": F.year("day")}).drop("day")
+    store.merge("silver", "orders", place(orders.where("o_orderkey % 10 <> 3")), keys, ["year"], unique=True)
     increments.maintain(store, "kept_up", indicator)
     moved = orders.where("o_orderkey % 7 = 0 OR o_orderkey % 10 = 3")
     moved = moved.withColumns({"day": F.when(c("o_orderkey") % 7 == 0, F.date_add("day", 40)).otherwise(c("day")), "price": F.when(c("o_orderkey") % 7 == 0, c("price") + 5).otherwise(c("price"))})
