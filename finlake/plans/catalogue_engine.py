@@ -19,7 +19,7 @@ def _money(x):
 
 
 def _mean(total: str, n: str) -> str:
-    return f"CAST(round(CAST({total} AS DECIMAL(38,6)) / {n}, 2) AS DOUBLE)"
+    return f"CAST(round(CAST({total} / {n} AS DECIMAL(18,6)), 2) AS DOUBLE)"
 
 
 def _bank(spark, d):
