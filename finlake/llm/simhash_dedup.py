@@ -14,7 +14,8 @@ have a Jaccard similarity of 0.8 or more are copies. That lies far beyond the ra
 (5 to 13 bits and more). It goes the same way with a longer signature: one byte of
 each of 100 minima of the set under random orders in place of SimHash's 8 bytes.
 Lists are named by four minima, the shared positional bytes of a pair are tallied,
-and pairs that reach the least number are verified by the exact similarity.
+and pairs that reach the least number are verified by the exact similarity. Members
+of long lists, as a shared template makes them, are listed anew by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, partitions, read, small_batches, stash
@@ -48,8 +49,12 @@ STAGE_WORDS, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 25, 4
 #: Positional bytes of a signature that copies share at least: of 100, 80 +- 4 at 0.8, so fewer with probability 1e-8.
 SHARED = 55
-#: Members up to which all pairs of a list are compared; members of a longer one's main component that others meet, and how often.
-LIST_PAIRS, LEADS, ROUNDS = 48, 8, 2
+#: Members up to which all pairs of a list are compared; members of longer ones meet by rare shingles.
+LIST_PAIRS = 48
+#: Leads that a member of long lists meets in a round, and the rounds before all that is left is paired.
+LEADS, ROUNDS = 3, 2
+#: Most common shingles that are told apart by their counts; all rarer ones come first, by hash.
+COMMON = 1 << 18
 #: Ids up to which a side of a join is broadcast.
 BROADCAST_ROWS = 300_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -57,7 +62,6 @@ _ORDERS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * MINIMA, dtype=n
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash over word shingles, by majority of the shingles' XXH64."""
     words = (text or "").encode().lower().split()
@@ -417,15 +421,10 @@ def tallied(pairs: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of keys, those whose sets have the similarity, by their texts.
-
-    Texts travel compressed, each once to its pairs; a row a pair, none with a list of
-    other members, so a common text is a skewed join, which adaptive execution splits.
-    """
-    pairs = stash(tallied(pairs, kinds, least))
+def texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame) -> DataFrame:
+    """_key and _zip, the compressed text of one row of each of the keys."""
     first = F.col("_first.doc_id").alias("_id"), F.col("_first._text").alias("_hash")
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct().join(kinds, "_key").select("_key", *first))
+    wanted = stash(keys.select("_key").distinct().join(kinds, "_key").select("_key", *first))
     few = wanted.count() <= BROADCAST_ROWS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +437,17 @@ def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float)
     texts = texts if few else texts.mapInArrow(pack, f"_own {kind}, _same bigint, _zip binary")
     texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_hash")))
     texts = texts.select("_key", "text").mapInArrow(pack, "_key bigint, _zip binary") if few else texts.select("_key", "_zip")
-    texts = stash(texts.groupBy("_key").agg(F.first("_zip").alias("_zip")))
+    return stash(texts.groupBy("_key").agg(F.first("_zip").alias("_zip")))
+
+
+def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of keys, those whose sets have the similarity, by their texts.
+
+    Texts travel compressed, each once to its pairs; a row a pair, none with a list of
+    other members, so a common text is a skewed join, which adaptive execution splits.
+    """
+    pairs = stash(tallied(pairs, kinds, least))
+    texts = texts_of(docs, kinds, pairs.select(F.explode(F.array("a", "b")).alias("_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pen, held = zstandard.ZstdDecompressor(), {}
@@ -458,16 +467,100 @@ def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float)
     return stash(both.mapInArrow(run, "a bigint, b bigint"))
 
 
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """_key, _size, _h and _rest: of every set its rarest shingles, and how many of the set
+    come no earlier than each. With all sets in one order, the first shingle that two
+    sets have in common has at least as many after it in both as they share. So sets of
+    the similarity meet in a shingle listed here, whatever the order; rare ones first keep lists short.
+
+    The order is by count, of the COMMON most frequent shingles at most, then by hash.
+    """
+    spark = texts.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pen = zstandard.ZstdDecompressor()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(pen.decompress(z.as_py()).decode()) for z in b.column(1)])], ["_key", "_all"])
+
+    each = stash(texts.mapInArrow(sets, "_key bigint, _all array<bigint>"))
+    counts = stash(each.select(F.explode("_all").alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1"))
+    power, room = 64, COMMON
+    for p, n in sorted(counts.groupBy(F.floor(F.log2("_n")).cast("int")).count().collect(), reverse=True):  # at most 63 rows
+        room -= n
+        if room < 0:
+            break
+        power = p
+    common = counts.where(F.col("_n") >= F.lit(2.0**power)).toArrow()
+    names = common.column("_h").to_numpy().view(np.uint64)
+    by_name = np.argsort(names)
+    shared = spark.sparkContext.broadcast((names[by_name], common.column("_n").to_numpy()[by_name]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
+        for b in batches:
+            for key, x in zip(b.column(0), b.column(1)):
+                own = x.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(names, own)
+                at[at == len(names)] = 0
+                count = np.where(names[at] == own, counts[at], 0) if len(names) else np.zeros(len(own), np.int64)
+                m = len(own)
+                n = min(m, int(m - least * m + 1e-6) + 1)
+                first = own[np.lexsort((own, count))[:n]].view(np.int64)
+                cols = [pa.array([key.as_py()] * n, pa.int64()), pa.array([m] * n, pa.int64()), pa.array(first), pa.array(m - np.arange(n, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["_key", "_size", "_h", "_rest"])
+
+    return stash(each.mapInArrow(run, "_key bigint, _size bigint, _h bigint, _rest bigint"))
+
+
+def _enough(rest: list[str], sizes: list[str], least: float) -> Column:
+    """Whether two sets can have the similarity, by what is left of each where they meet."""
+    return F.least(*rest) >= (F.col(sizes[0]) + F.col(sizes[1])) * (least / (1 + least)) - 1e-6
+
+
+def _between(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def led(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members of different components, LEADS for a member at most: with
+    one member of each of its lists, of the shortest list and of any others."""
+    placed = posts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    lead = F.min(F.struct(F.xxhash64("_key", "_h").alias("o"), F.col("_key").alias("k"), F.col("_size").alias("m"), F.col("_rest").alias("r"), F.col("_root").alias("t"))).alias("l")
+    lists = placed.groupBy("_h").agg(F.count("*").alias("n"), F.min("_root").alias("lo"), F.max("_root").alias("hi"), lead).where("lo <> hi")
+    met = placed.join(lists, "_h").where("_root <> l.t").where(_enough(["_rest", "l.r"], ["_size", "l.m"], least))
+    orders = [F.struct("n", F.xxhash64("_h")), *[F.struct(F.xxhash64("_h", F.lit(k))) for k in range(1, LEADS)]]
+    asked = met.groupBy("_key").agg(F.array_distinct(F.array(*[F.min_by("l.k", o) for o in orders])).alias("leads"))
+    return asked.select("_key", F.explode("leads").alias("_lead")).select(*_between("_key", "_lead")).distinct()
+
+
+def crossing(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of members of different components that meet in a list with enough
+    after it. One of the two is outside the list's largest component; the smaller set
+    meets by fewer of its shingles, as it must share more of them."""
+    placed = posts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    parts = placed.groupBy("_h", "_root").agg(F.count("*").alias("n"))
+    lists = parts.groupBy("_h").agg(F.max(F.struct("n", "_root"))["_root"].alias("_main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = stash(placed.join(lists, "_h").withColumn("_out", F.col("_root") != F.col("_main")))
+    names = ["_key", "_size", "_rest", "_root", "_out"]
+    large = placed.select("_h", *[F.col(c).alias(f"x{c}") for c in names])
+    small = placed.where(F.col("_rest") >= F.col("_size") * (2 * least / (1 + least)) - 1e-6).select("_h", *[F.col(c).alias(f"y{c}") for c in names])
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.join(y, "_h").where("x_root <> y_root and x_size >= y_size").where(_enough(["x_rest", "y_rest"], ["x_size", "y_size"], least))
+        return both.select(*_between("x_key", "y_key"))
+
+    return meet(large, small.where("y_out")).unionAll(meet(large.where("x_out"), small.where("not y_out"))).distinct()
+
+
 def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _text and _root (the class), a row a row of docs: classes are the
     components of pairs of a Jaccard similarity of at least ``least``.
 
     A list holds the sets that agree in a band. Every set is compared with one lead of
-    its lists first. Then, of members in different components only: in lists of up to
-    LIST_PAIRS members each pair; in longer ones, where that would grow with the square
-    of a group, each member outside the list's main component with LEADS members of it,
-    ROUNDS times. So a set joins a long list's component unless it is similar to few of
-    its members; in short lists no link is lost.
+    its lists first, then in lists of up to LIST_PAIRS members each pair of members in
+    different components. Members of longer lists that hold several components are
+    listed anew by their rarest shingles (prefixes), where they meet leads first and
+    then all that is in another component: no link is lost there either.
     """
     rows = stash(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
@@ -480,34 +573,38 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def classes_of(found: DataFrame) -> DataFrame:
         return components(found).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
 
-    def between(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    def still_open(members: DataFrame) -> DataFrame:
+        placed = members.select("v", "_key", "_of").join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+        lists = placed.groupBy("v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("v")
+        return stash(placed.join(lists, "v"))
 
     one = F.max_by("_lead", F.struct("_of", F.xxhash64("_lead"))).alias("_lead")
-    pairs = members.where("_key <> _lead").groupBy("_key").agg(one).select(*between("_lead", "_key")).distinct()
+    pairs = members.where("_key <> _lead").groupBy("_key").agg(one).select(*_between("_lead", "_key")).distinct()
     found = verified(docs, kinds, pairs, least)
     roots = classes_of(found)
-    for at in range(ROUNDS):
-        placed = (members if at == 0 else members.where(F.col("_of") > LIST_PAIRS)).select("v", "_key", "_of").join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-        open_ = placed.groupBy("v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("v")
-        placed = stash(placed.join(open_, "v"))
-        if placed.isEmpty():
-            break
-        # the main component of a long list, and LEADS of its members
-        long = placed.where(F.col("_of") > LIST_PAIRS)
-        parts = long.groupBy("v", "_root").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("_key", "v", F.lit(at * LEADS + k)), "_key"))["_key"].alias(f"l{k}") for k in range(LEADS)])
-        main = parts.groupBy("v").agg(F.max(F.struct("n", "_root", F.array(*[f"l{k}" for k in range(LEADS)]).alias("leads"))).alias("m")).select("v", F.col("m._root").alias("_main"), "m.leads")
-        asked = long.join(main, "v").where("_root <> _main").groupBy("_key").agg(F.max(F.struct("_of", F.xxhash64("v"), "leads"))["leads"].alias("leads"))
-        pairs = asked.select("_key", F.explode(F.array_distinct("leads")).alias("_lead")).select(*between("_lead", "_key"))
-        if at == 0:
-            short = placed.where(F.col("_of") <= LIST_PAIRS)
-            each = short.alias("x").join(short.alias("y"), "v").where("x._root <> y._root and x._key < y._key")
-            pairs = pairs.unionAll(each.select(F.col("x._key").alias("a"), F.col("y._key").alias("b")))
-        more = verified(docs, kinds, pairs.distinct(), least)
+
+    def linked(pairs: DataFrame) -> bool:
+        """Whether pairs hold links; these join what is found."""
+        nonlocal found, roots
+        more = verified(docs, kinds, pairs, least)
         if more.isEmpty():
-            break
+            return False
         found = found.unionAll(more)
         roots = classes_of(found)
+        return True
+
+    placed = still_open(members)
+    short = placed.where(F.col("_of") <= LIST_PAIRS)
+    if not short.isEmpty():
+        each = short.alias("x").join(short.alias("y"), "v").where("x._root <> y._root and x._key < y._key")
+        linked(each.select(F.col("x._key").alias("a"), F.col("y._key").alias("b")).distinct())
+    long = still_open(placed.where(F.col("_of") > LIST_PAIRS)).select("_key").distinct()
+    if not long.isEmpty():
+        by_shingle = prefixes(texts_of(docs, kinds, long), least)
+        for _ in range(ROUNDS):
+            if not linked(led(by_shingle, roots, least)):
+                break
+        linked(crossing(by_shingle, roots, least))
     return stash(rows.select("doc_id", "_text", "_key").join(roots, "_key", "left").select("doc_id", "_text", F.coalesce("_root", "_key").alias("_root")))
 
 
