@@ -24,6 +24,8 @@ from .common import read, stash
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 28
 #: Rows of the items' shingle index up to which it is broadcast; beyond it, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Word positions whose windows are cut together; of those with the same bag the first stays.
+BLOCK_WORDS = 512
 #: Bounds of the R + 1 blocks of a fingerprint.
 _CUTS = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
 
@@ -81,7 +83,7 @@ def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
 
 
 def _starts(keyed: DataFrame, items: DataFrame, lengths: list[int], broadcast: bool, least: float) -> DataFrame:
-    """doc_id, _text, hits (start, n, k): the windows that hold enough shingles of an item."""
+    """doc_id, _text, hits (n, k, starts): the windows that hold enough shingles of an item, by BLOCK_WORDS positions."""
     index = items.select("item", "k", "n", F.size("bag").alias("m"), F.explode(F.array_distinct("bag")).alias("h"))
     index = F.broadcast(index) if broadcast else index
     hashed = keyed.select("doc_id", "_text", words_of(F.col("t")).alias("w")).select(
@@ -98,7 +100,8 @@ def _starts(keyed: DataFrame, items: DataFrame, lengths: list[int], broadcast: b
     starts = F.array_distinct(F.transform(F.expr(near), lambda i: F.least(F.col("at")[i], last)))
     # the outer form again: a filter inferred from the other could be run before ``need`` is checked
     windows = found.select("doc_id", "_text", "n", "k", F.explode_outer(starts).alias("start")).where("start is not null")
-    return stash(windows.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_set(F.struct("start", "n", "k")).alias("hits")))
+    blocks = windows.groupBy("doc_id", "_text", "n", "k", F.floor(F.col("start") / BLOCK_WORDS)).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return stash(blocks.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_list(F.struct("n", "k", "starts")).alias("hits")))
 
 
 def contaminated(
@@ -112,7 +115,8 @@ def contaminated(
     Words are runs of letters and digits in lower case. Items of fewer than five
     words are one shingle; items and documents without words match nothing. Null
     ids are kept as they are. Rows alike in id and text are reported once. Of
-    equally similar windows the first is reported. Other columns are not read.
+    equally similar windows the first is reported; windows near one another with the same
+    bag are judged once, so a text may repeat a line without end. Other columns are not read.
     Empty tables give none.
     """
     items = _items(benchmark, item_col, item_text)
@@ -120,14 +124,20 @@ def contaminated(
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("t"))
     lengths = sorted(r[0] for r in items.select("k").distinct().collect()) or [WORDS]  # at most five
     hits = _starts(keyed, items, lengths, small <= BROADCAST_ROWS, least)
-    hits = F.broadcast(hits) if (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_ROWS // 4 else hits
+    windows = F.expr("aggregate(hits, 0L, (s, x) -> s + size(x.starts))")
+    hits = F.broadcast(hits) if (hits.agg(F.sum(windows)).first()[0] or 0) <= BROADCAST_ROWS // 4 else hits
     texts = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
     whole = texts.dropDuplicates(["doc_id", "_text"]).select("doc_id", "_text", words_of(F.col("t")).alias("w"), "hits")
     whole = whole.select("doc_id", "_text", "hits", F.size("w").alias("size"), F.array(*[shingles(F.col("w"), F.lit(k)) for k in lengths]).alias("all"))
-    # windows are cut inside the row: an exploded row must not carry the whole text
+    # a block's part is cut out first: a row must carry neither the whole text nor all its windows
     at = f"array_position(array({', '.join(map(str, lengths))}), x.k) - 1"
-    cut = f"transform(hits, x -> struct(x.n as n, x.start as start, least(x.n, size) as own, slice(all[{at}], x.start + 1, least(x.n, size) - x.k + 1) as bag))"
-    found = whole.select("doc_id", "_text", F.explode_outer(F.expr(cut)).alias("x")).select("doc_id", "_text", "x.*")
+    part = f"slice(all[{at}], x.starts[0] + 1, element_at(x.starts, -1) - x.starts[0] + least(x.n, size) - x.k + 1)"
+    cut = f"transform(hits, x -> struct(x.n as n, x.k as k, x.starts as starts, least(x.n, size) as own, {part} as part))"
+    blocks = whole.select("doc_id", "_text", F.explode_outer(F.expr(cut)).alias("x")).select("doc_id", "_text", "x.*")
+    bags = blocks.withColumn("bags", F.expr("transform(starts, s -> slice(part, s - starts[0] + 1, own - k + 1))")).drop("part")
+    named = bags.withColumn("names", F.expr("transform(bags, b -> xxhash64(sort_array(b)))"))
+    new = F.expr("filter(transform(bags, (b, i) -> struct(starts[i] as start, b as bag, array_position(names, names[i]) = i + 1 as new)), x -> x.new)")
+    found = named.select("doc_id", "_text", "n", "own", F.explode_outer(new).alias("x")).select("doc_id", "_text", "n", "own", "x.start", "x.bag")
     found = stash(found.withColumn("fp", simhash(F.col("bag"))))
     # multi-index Hamming blocks: a window meets the items of its length that agree with it in a block, in the first such
     left = found.select("*", F.explode_outer(_blocks(F.col("fp"))).alias("z"))

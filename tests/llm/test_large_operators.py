@@ -429,6 +429,19 @@ def test_decontamination_after_random_edits(spark, docs_of, seed):
     assert len(want) > 100 and got == pytest.approx(want)
 
 
+def test_decontamination_of_texts_that_repeat(spark, docs_of, tmp_path):
+    """A million times one word, and a line of 13 words over and over: the first window of each item."""
+    import time
+
+    line = [f"w{k}" for k in range(13)]
+    bench = spark.createDataFrame([(1, " ".join(["same"] * 60)), (2, " ".join((line * 5)[:60])), (3, "none of this is there at all")], "item_id bigint, text string")
+    docs = docs_of([(1, "x " + "same " * 1_000_000), (2, "before " * 700 + " ".join(line * 20_000)), (3, "a b c d e")])
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (1.0, 1, 60), (2, 2): (1.0, 700, 60)}
+    assert time.time() - began < 120  # the whole test took 49 here
+
+
 def test_decontamination_of_odd_rows(spark, odd, tmp_path):
     bench = spark.createDataFrame([(1, "same row twice same row twice"), (2, None), (None, "null id here"), (3, "long word long word long word long word")], "item_id bigint, text string")
     got = sorted((str(r.doc_id), str(r.item_id)) for r in decontamination.contaminated(odd, bench).collect())
