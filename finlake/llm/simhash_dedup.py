@@ -51,8 +51,11 @@ BANDS, MINIMA = 25, 4
 SHARED = 55
 #: Members up to which all pairs of a list are compared; members of longer ones meet by rare shingles.
 LIST_PAIRS = 48
-#: Leads that a member of long lists meets in a round, and the rounds before all that is left is paired.
-LEADS, ROUNDS = 3, 2
+#: Leads that a member of long lists meets in the first round, MORE times as many in each further one, and the rounds
+#: at most before all that is left is paired.
+LEADS, MORE, ROUNDS = 3, 4, 4
+#: Share of a round's pairs that are links, below which all that is left is paired.
+YIELD = 0.005
 #: Most common shingles that are told apart by their counts; all rarer ones come first, by hash.
 COMMON = 1 << 18
 #: Ids up to which a side of a join is broadcast.
@@ -521,26 +524,36 @@ def _between(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def led(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members of different components, LEADS for a member at most: with
-    one member of each of its lists, of the shortest list and of any others."""
+def _placed(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """posts of lists that hold several components, with _root, and _out: not of the list's largest."""
     placed = posts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-    lead = F.min(F.struct(F.xxhash64("_key", "_h").alias("o"), F.col("_key").alias("k"), F.col("_size").alias("m"), F.col("_rest").alias("r"), F.col("_root").alias("t"))).alias("l")
-    lists = placed.groupBy("_h").agg(F.count("*").alias("n"), F.min("_root").alias("lo"), F.max("_root").alias("hi"), lead).where("lo <> hi")
-    met = placed.join(lists, "_h").where("_root <> l.t").where(_enough(["_rest", "l.r"], ["_size", "l.m"], least))
-    orders = [F.struct("n", F.xxhash64("_h")), *[F.struct(F.xxhash64("_h", F.lit(k))) for k in range(1, LEADS)]]
-    asked = met.groupBy("_key").agg(F.array_distinct(F.array(*[F.min_by("l.k", o) for o in orders])).alias("leads"))
-    return asked.select("_key", F.explode("leads").alias("_lead")).select(*_between("_key", "_lead")).distinct()
+    parts = placed.groupBy("_h", "_root").agg(F.count("*").alias("n"))
+    lists = parts.groupBy("_h").agg(F.max(F.struct("n", "_root"))["_root"].alias("_main"), F.sum("n").alias("_of"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stash(placed.join(lists, "_h").withColumn("_out", F.col("_root") != F.col("_main")))
+
+
+def led(posts: DataFrame, roots: DataFrame, least: float, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of members of different components: each member outside the largest
+    component of a list meets leads of the list, one in the first turn and MORE times as
+    many in each further one, drawn anew; LEADS times as many for a member at most, of
+    the shortest list and of any. So it is linked after as many pairs as the share of
+    its links among the lists asks for, however long they are."""
+    width = MORE**turn
+    placed = _placed(posts, roots)
+    slot = F.pmod(F.xxhash64("_key", "_h", F.lit(turn)), F.lit(width)).alias("_slot")
+    lead = F.min(F.struct(F.xxhash64("_h", "_key", F.lit(turn)).alias("o"), F.col("_key").alias("k"), F.col("_size").alias("m"), F.col("_rest").alias("r"), F.col("_root").alias("t"))).alias("l")
+    met = placed.where("_out").join(placed.groupBy("_h", slot).agg(lead), "_h").where("_root <> l.t").where(_enough(["_rest", "l.r"], ["_size", "l.m"], least))
+    drawn = F.struct(F.xxhash64("_h", "_slot", F.lit(turn)).alias("o"), F.col("l.k").alias("k"))
+    asked = met.groupBy("_key").agg(F.min_by("l.k", F.struct("_of", drawn["o"])).alias("_near"), F.array_sort(F.collect_set(drawn))["k"].alias("_any"))
+    leads = F.slice(F.array_distinct(F.concat(F.array("_near"), "_any")), 1, LEADS * width)
+    return asked.select("_key", F.explode(leads).alias("_lead")).select(*_between("_key", "_lead")).distinct()
 
 
 def crossing(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) of members of different components that meet in a list with enough
     after it. One of the two is outside the list's largest component; the smaller set
     meets by fewer of its shingles, as it must share more of them."""
-    placed = posts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-    parts = placed.groupBy("_h", "_root").agg(F.count("*").alias("n"))
-    lists = parts.groupBy("_h").agg(F.max(F.struct("n", "_root"))["_root"].alias("_main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = stash(placed.join(lists, "_h").withColumn("_out", F.col("_root") != F.col("_main")))
+    placed = _placed(posts, roots)
     names = ["_key", "_size", "_rest", "_root", "_out"]
     large = placed.select("_h", *[F.col(c).alias(f"x{c}") for c in names])
     small = placed.where(F.col("_rest") >= F.col("_size") * (2 * least / (1 + least)) - 1e-6).select("_h", *[F.col(c).alias(f"y{c}") for c in names])
@@ -557,15 +570,16 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     components of pairs of a Jaccard similarity of at least ``least``.
 
     A list holds the sets that agree in a band. Every set is compared with one lead of
-    its lists first, then in lists of up to LIST_PAIRS members each pair of members in
-    different components. Members of longer lists that hold several components are
-    listed anew by their rarest shingles (prefixes), where they meet leads first and
-    then all that is in another component: no link is lost there either.
+    its lists first, then with a few more where these leave several components, then in
+    lists of up to LIST_PAIRS members each pair of members in different components. Members of longer lists that hold several components are
+    listed anew by their rarest shingles (prefixes), where they meet other leads in each
+    round, as long as these link, and then all that is still in another component: no
+    link is lost there either, and a large class is not compared with its own members.
     """
     rows = stash(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
     kinds = stash(rows.groupBy("_key").agg(first, *[F.first(c).alias(c) for c in ("_size", "_bytes", "_bands")]))
-    posts = kinds.select("_key", F.explode("_bands").alias("v"))
+    posts = kinds.select("_key", "_size", F.explode("_bands").alias("v"))
     any_ = F.min(F.struct(F.xxhash64("_key", "v"), "_key"))["_key"].alias("_lead")
     lists = stash(posts.groupBy("v").agg(any_, F.count("*").alias("_of")).where("_of > 1"))
     members = stash(posts.join(lists, "v"))
@@ -583,16 +597,22 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = verified(docs, kinds, pairs, least)
     roots = classes_of(found)
 
-    def linked(pairs: DataFrame) -> bool:
-        """Whether pairs hold links; these join what is found."""
+    def linked(pairs: DataFrame) -> int:
+        """How many of the pairs are links; these join what is found."""
         nonlocal found, roots
         more = verified(docs, kinds, pairs, least)
-        if more.isEmpty():
-            return False
-        found = found.unionAll(more)
-        roots = classes_of(found)
-        return True
+        if links := more.count():
+            found = found.unionAll(more)
+            roots = classes_of(found)
+        return links
+
+    def rounds(posts: DataFrame, most: int) -> None:
+        for turn in range(most):
+            asked = stash(led(posts, roots, least, turn))
+            if linked(asked) < max(1, YIELD * asked.count()):
+                break
 
+    rounds(members.select("_key", "_size", F.col("v").alias("_h"), F.col("_size").alias("_rest")), 2)
     placed = still_open(members)
     short = placed.where(F.col("_of") <= LIST_PAIRS)
     if not short.isEmpty():
@@ -601,9 +621,7 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     long = still_open(placed.where(F.col("_of") > LIST_PAIRS)).select("_key").distinct()
     if not long.isEmpty():
         by_shingle = prefixes(texts_of(docs, kinds, long), least)
-        for _ in range(ROUNDS):
-            if not linked(led(by_shingle, roots, least)):
-                break
+        rounds(by_shingle, ROUNDS)
         linked(crossing(by_shingle, roots, least))
     return stash(rows.select("doc_id", "_text", "_key").join(roots, "_key", "left").select("doc_id", "_text", F.coalesce("_root", "_key").alias("_root")))
 

@@ -188,6 +188,26 @@ def test_simhash_stage_finds_pairs_within_a_template(spark, docs_of, texts, word
     assert len(set(got.values())) >= texts / 2
 
 
+def test_simhash_stage_compares_a_large_class_in_few_pairs(spark, docs_of, monkeypatch):
+    """A quarter of the texts has links to few of a class, which most pairs of them do not show."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for at in rng.sample(range(150), 3 if k % 4 == 0 else rng.choice([1, 2])):
+            own[at] = f"own{rng.randrange(10**9)}"
+        texts.append(own)
+    bags = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for i in range(len(bags)) for j in range(i) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
+    asked, verified = [], simhash_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "verified", lambda docs, kinds, pairs, least: asked.append(pairs.count()) or verified(docs, kinds, pairs, least))
+    got = {r.doc_id: r._root for r in simhash_dedup.similar(docs_of([" ".join(w) for w in texts])).collect()}
+    want = components(range(len(bags)), links)
+    assert len(set(zip(got.values(), (want[k] for k in got)))) == len(set(want.values())) == len(set(got.values()))
+    assert sum(asked) <= 8 * len(texts)
+
+
 @pytest.mark.parametrize("common", [0, 40, 1 << 18])
 def test_prefixes_lose_no_pair(spark, monkeypatch, common):
     """Whatever order the counts give, sets of the similarity meet with enough after the shingle."""
