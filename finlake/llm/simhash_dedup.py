@@ -10,9 +10,10 @@ positions; pairs that reach the guaranteed 8 - R are verified by their Hamming
 distance. A list gives a spanning forest of its links, not all pairs.
 
 The pipeline's stage has a rule of its own: texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more are copies. That lies far beyond the radius
-(5 to 13 bits and more). It goes the same way with a longer signature: one byte of
-each of 100 minima of the set under random orders in place of SimHash's 8 bytes.
+have a Jaccard similarity of 0.8 or more are copies. The SimHash of the set is looked
+up in the same index first, and its links are verified by the exact similarity. Most
+copies lie beyond the radius (5 to 13 bits and more). They are found the same way with
+a longer signature: one byte of each of 100 minima of the set under random orders.
 Lists are named by four minima, the shared positional bytes of a pair are tallied,
 and pairs that reach the least number are verified by the exact similarity. Members
 of long lists, as a shared template makes them, are listed anew by their rarest shingles.
@@ -367,6 +368,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles, by majority of their hashes; zero of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 16):
+        counts += np.unpackbits(own[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(((counts * 2 > len(own)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+
+
 def _minima(own: np.ndarray) -> np.ndarray:
     """The least of a set under each of the random orders."""
     low, out = own.astype(np.uint32), np.full(BANDS * MINIMA, np.uint32(2**32 - 1))
@@ -389,25 +398,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, _key (a hash of the set of shingles), _size, _bytes (one of each
-    minimum) and _bands, a row a row of docs."""
+    """doc_id, _text, _key (a hash of the set of shingles), _size, _fp (its SimHash), _bytes
+    (one of each minimum) and _bands, a row a row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, signs, bands = [], [], [], []
+            keys, sizes, fps, signs, bands = [], [], [], [], []
             for t in b.column(2):
                 own = shingle_set(t.as_py())
                 least = _minima(own)
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
+                fps.append(set_fingerprint(own))
                 signs.append((least & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 bands.append(_bands(least) if len(own) else own)
-            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), _lists(bands)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_text", "_key", "_size", "_bytes", "_bands"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(signs, pa.binary()), _lists(bands)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_text", "_key", "_size", "_fp", "_bytes", "_bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, _key bigint, _size bigint, _bytes binary, _bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, _key bigint, _size bigint, _fp bigint, _bytes binary, _bands array<bigint>")
+
+
+def by_fingerprint(kinds: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints link: each key with one key of its own
+    fingerprint, and those of the index's links with one another. Their components
+    are those of all links."""
+    of = stash(kinds.groupBy("_fp").agg(F.min("_key").alias("_rep")))
+    same = kinds.join(of, "_fp").where("_key <> _rep").select(*_between("_key", "_rep"))
+    met = links(of.select("_fp"), radius).join(of.toDF("a", "_x"), "a").join(of.toDF("b", "_y"), "b")
+    return same.unionAll(met.select(*_between("_x", "_y"))).distinct()
 
 
 def tallied(pairs: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
@@ -569,19 +589,19 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _text and _root (the class), a row a row of docs: classes are the
     components of pairs of a Jaccard similarity of at least ``least``.
 
-    A list holds the sets that agree in a band. Every set is compared with one lead of
-    its lists first, then with a few more where these leave several components, then in
-    lists of up to LIST_PAIRS members each pair of members in different components. Members of longer lists that hold several components are
+    Pairs within the SimHash radius come first. Then a list holds the sets that agree in
+    a band. A set is compared with a few leads of its lists first where these hold several
+    components, then in lists of up to LIST_PAIRS members each pair of members in
+    different components. Members of longer lists that hold several components are
     listed anew by their rarest shingles (prefixes), where they meet other leads in each
     round, as long as these link, and then all that is still in another component: no
     link is lost there either, and a large class is not compared with its own members.
     """
     rows = stash(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_first")
-    kinds = stash(rows.groupBy("_key").agg(first, *[F.first(c).alias(c) for c in ("_size", "_bytes", "_bands")]))
+    kinds = stash(rows.groupBy("_key").agg(first, *[F.first(c).alias(c) for c in ("_size", "_fp", "_bytes", "_bands")]))
     posts = kinds.select("_key", "_size", F.explode("_bands").alias("v"))
-    any_ = F.min(F.struct(F.xxhash64("_key", "v"), "_key"))["_key"].alias("_lead")
-    lists = stash(posts.groupBy("v").agg(any_, F.count("*").alias("_of")).where("_of > 1"))
+    lists = stash(posts.groupBy("v").agg(F.count("*").alias("_of")).where("_of > 1"))
     members = stash(posts.join(lists, "v"))
 
     def classes_of(found: DataFrame) -> DataFrame:
@@ -592,9 +612,7 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         lists = placed.groupBy("v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("v")
         return stash(placed.join(lists, "v"))
 
-    one = F.max_by("_lead", F.struct("_of", F.xxhash64("_lead"))).alias("_lead")
-    pairs = members.where("_key <> _lead").groupBy("_key").agg(one).select(*_between("_lead", "_key")).distinct()
-    found = verified(docs, kinds, pairs, least)
+    found = verified(docs, kinds, by_fingerprint(kinds), least)
     roots = classes_of(found)
 
     def linked(pairs: DataFrame) -> int:

@@ -188,6 +188,27 @@ def test_simhash_stage_finds_pairs_within_a_template(spark, docs_of, texts, word
     assert len(set(got.values())) >= texts / 2
 
 
+def test_simhash_stage_looks_fingerprints_up_first(spark, docs_of, monkeypatch):
+    """Texts of one changed word: fingerprints of their sets as a plain loop gives them, and every link within the radius."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(own), " ".join(own[:-1] + ["last"]), " ".join(["first"] + own[1:])]
+    kinds = simhash_dedup.sketches(docs_of([*texts, "", "one"])).dropDuplicates(["_key"])
+    have = {r._key: r._fp & (2**64 - 1) for r in kinds.collect()}
+    own = simhash_dedup.shingle_set(texts[0]).tolist()
+    assert sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) in have.values()
+    near = lambda x, y: (have[x] ^ have[y]).bit_count() <= 4
+    pairs = [(r.a, r.b) for r in simhash_dedup.by_fingerprint(kinds).collect()]
+    links = [(x, y) for x in have for y in have if x < y and near(x, y)]
+    assert len(links) > 20 and all(near(*p) for p in pairs) and components(have, pairs) == components(have, links)
+    asked, verified = [], simhash_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "verified", lambda docs, kinds, pairs, least: asked.append(pairs) or verified(docs, kinds, pairs, least))
+    simhash_dedup.similar(docs_of([*texts, "", "one"]))
+    assert {(r.a, r.b) for r in asked[0].collect()} == set(pairs)
+
+
 def test_simhash_stage_compares_a_large_class_in_few_pairs(spark, docs_of, monkeypatch):
     """A quarter of the texts has links to few of a class, which most pairs of them do not show."""
     rng = random.Random(8)
