@@ -59,8 +59,8 @@ LEADS, MORE, ROUNDS = 3, 4, 4
 YIELD = 0.005
 #: Most common shingles that are told apart by their counts; all rarer ones come first, by hash.
 COMMON = 1 << 18
-#: Ids up to which a side of a join is broadcast.
-BROADCAST_ROWS = 300_000
+#: Ids up to which a side of a join is broadcast, and pairs of a node and its root.
+BROADCAST_ROWS, FEW_ROWS = 300_000, 1 << 16
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 # fixed odd multiplier of the rolling hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -312,25 +312,43 @@ def dense_masks(mask: np.uint64, radius: int) -> list[np.uint64]:
     return [np.uint64(int(mask) | sum(1 << b for f in c for b in f)) for c in combinations(fields, radius)]
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side of a join: broadcast where it has few rows."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is its component's
-    smallest node. Alternates large-star and small-star steps until they change
-    nothing; every step is cut from its lineage."""
-    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    smallest node. Alternates large-star and small-star steps until every node is
+    a root or has its root as the only neighbour; every step is cut from its lineage."""
+    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == mark or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b"), F.col("b")).distinct())
-        mark = now
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        near = stash(both.groupBy("a").agg(F.min("b").alias("_lo"), F.max("b").alias("_hi")))
+        nodes, unsettled = near.agg(F.count("*"), F.expr("count_if(_lo < a and _lo < _hi)")).first()
+        least = near.select("a", F.least("a", "_lo").alias("_m"))
+        if not unsettled:
+            return least.toDF("node", "root")
+        large = both.where("b > a").join(_few(least, nodes), "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(least, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionAll(least.select("a", F.col("_m").alias("b")))
+        small = large.join(_few(least, nodes), "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionAll(least.select("a", F.col("_m").alias("b")))
         e = stash(small.distinct())
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (_key, _root) of all links so far with more of them (a, b), from the
+    components of what these join: whole classes, and keys that are in none yet."""
+    rows = roots.count()
+    ends = links
+    for end in "ab":
+        ends = ends.join(_few(roots.toDF(end, f"_{end}"), rows), end, "left")
+    more = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    n = more.count()
+    moved = roots.join(_few(more.toDF("_root", "_to"), n), "_root", "left").select("_key", F.coalesce("_to", "_root").alias("_root"))
+    fresh = more.toDF("_key", "_root").join(_few(roots.select("_key"), rows), "_key", "left_anti")
+    return stash(moved.unionAll(fresh))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, _text, _fp and _root (the class), a row a row of docs."""
     rows = stash(fingerprints(docs, id_col, text_col))
@@ -470,6 +488,8 @@ def verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, least: float)
     other members, so a common text is a skewed join, which adaptive execution splits.
     """
     pairs = stash(tallied(pairs, kinds, least))
+    if pairs.isEmpty():
+        return pairs
     texts = texts_of(docs, kinds, pairs.select(F.explode(F.array("a", "b")).alias("_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -604,25 +624,20 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     lists = stash(posts.groupBy("v").agg(F.count("*").alias("_of")).where("_of > 1"))
     members = stash(posts.join(lists, "v"))
 
-    def classes_of(found: DataFrame) -> DataFrame:
-        return components(found).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    roots = kinds.where("false").select("_key", F.col("_key").alias("_root"))
 
     def still_open(members: DataFrame) -> DataFrame:
         placed = members.select("v", "_key", "_of").join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
         lists = placed.groupBy("v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("v")
         return stash(placed.join(lists, "v"))
 
-    found = verified(docs, kinds, by_fingerprint(kinds), least)
-    roots = classes_of(found)
-
     def linked(pairs: DataFrame) -> int:
-        """How many of the pairs are links; these join what is found."""
-        nonlocal found, roots
+        """How many of the pairs are links; these join classes."""
+        nonlocal roots
         more = verified(docs, kinds, pairs, least)
-        if links := more.count():
-            found = found.unionAll(more)
-            roots = classes_of(found)
-        return links
+        if n := more.count():
+            roots = joined(roots, more)
+        return n
 
     def rounds(posts: DataFrame, most: int) -> None:
         for turn in range(most):
@@ -630,6 +645,7 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             if linked(asked) < max(1, YIELD * asked.count()):
                 break
 
+    linked(by_fingerprint(kinds))
     rounds(members.select("_key", "_size", F.col("v").alias("_h"), F.col("_size").alias("_rest")), 2)
     placed = still_open(members)
     short = placed.where(F.col("_of") <= LIST_PAIRS)

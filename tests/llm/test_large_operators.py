@@ -209,6 +209,62 @@ def test_simhash_stage_looks_fingerprints_up_first(spark, docs_of, monkeypatch):
     assert {(r.a, r.b) for r in asked[0].collect()} == set(pairs)
 
 
+def tasks_of(spark, group, run):
+    """run's result, and how many tasks Spark ran for it."""
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = map(sc.statusTracker().getJobInfo, sc.statusTracker().getJobIdsForGroup(group))
+    stages = {x for job in jobs for x in job.stageIds}
+    return out, sum(i.numCompletedTasks for x in stages if (i := sc.statusTracker().getStageInfo(x)))
+
+
+@pytest.fixture
+def even(spark):
+    """As many shuffle partitions as asked for, none of them merged."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_components_take_few_tasks(spark, even):
+    even(40)
+    star = spark.createDataFrame([(0, k) for k in range(1, 200)] + [(500, 501)], "a long, b long")
+    got, tasks = tasks_of(spark, "star", lambda: {r["node"]: r["root"] for r in simhash_dedup.components(star).collect()})
+    assert got == {k: 0 for k in range(200)} | {500: 500, 501: 500}
+    assert tasks < 150  # stars are seen as such; a round of steps to find that nothing changes took 366
+
+
+def test_joined_classes_are_those_of_all_links(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(min(x), max(x)) for x in (rng.sample(range(60), 2) for _ in range(44))]
+    for few in (simhash_dedup.FEW_ROWS, 0):
+        monkeypatch.setattr(simhash_dedup, "FEW_ROWS", few)
+        roots = spark.createDataFrame([], "_key long, _root long")
+        for k in (0, 22):
+            roots = simhash_dedup.joined(roots, spark.createDataFrame(links[k : k + 22], "a long, b long"))
+        want = components({x for p in links for x in p}, links)
+        rows = [tuple(r) for r in roots.collect()]
+        assert len(rows) == len(want) and dict(rows) == want
+
+
+def test_simhash_stage_takes_few_tasks(spark, docs_of, even):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    near = [" ".join(w if k != 7 * n % 300 else f"v{n}" for k, w in enumerate(base)) for n in range(20)]
+    docs = stash(docs_of([*near, *(" ".join(f"u{rng.randrange(9**9)}" for _ in range(60)) for _ in range(20))]))
+    even(40)
+    out, tasks = tasks_of(spark, "stage", lambda: simhash_dedup.stage(spark, docs, "").count())
+    assert out == 21
+    assert tasks < 2200  # the driver keeps a record of each; classes made anew from all links took 3259
+
+
 def test_simhash_stage_compares_a_large_class_in_few_pairs(spark, docs_of, monkeypatch):
     """A quarter of the texts has links to few of a class, which most pairs of them do not show."""
     rng = random.Random(8)
